@@ -1,4 +1,4 @@
-"""The queries p6, p7 and p8 (p3 in names), and the SQL some of them are compared with."""
+"""The queries p3, p6, p7 and p8, and the SQL some of them are compared with."""
 
 from __future__ import annotations
 
@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import byte_bpe, leakage, mojibake
+from tapeloom.llm import byte_bpe, leakage, mojibake, names
 from tapeloom.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _links(spark: SparkSession, folder: str) -> DataFrame:
+    return names.link_names(table(spark, folder, "entity_aliases"), table(spark, folder, "entities"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _links(spark, folder).select("alias_id", "entity_id")
+
+
+def p3_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    linked = _links(spark, folder).join(table(spark, folder, "entity_aliases").select("alias_id", "alias_key"), "alias_id")
+    return linked.groupBy("entity_id").agg(F.count("*").alias("n_rows"), F.countDistinct("alias_key").alias("n_spellings"), F.max("cost").alias("farthest"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.encode_texts(table(spark, folder, "documents"))
 
@@ -40,7 +53,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.restore_garbled(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_tilings": p7_tilings, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_spellings": p3_spellings, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_tilings": p7_tilings, "p8_found": p8_found, "p8_restored": p8_restored}
 
 ORACLE: dict[str, str] = {
     "p6_round_trip": "SELECT doc_id, true AS same FROM documents",
