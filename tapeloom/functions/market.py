@@ -90,18 +90,23 @@ def share(part: Column, whole: Column) -> Column:
     return F.coalesce(over(part, whole), F.lit(0.0))
 
 
+def at_least(value: Column, low: float) -> Column:
+    """greatest() passes over nulls; here what is unknown stays unknown."""
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(low)))
+
+
 def impact_magnitude_ratio(before: Column, now: Column, epsilon: float = EPSILON) -> Column:
     return F.abs(now) / F.when(F.abs(before) == 0, F.lit(epsilon)).otherwise(F.abs(before))
 
 
 def impact_component(before: Column, now: Column, epsilon: float = EPSILON) -> Column:
-    up = F.greatest(now, F.lit(0.0))
+    up = at_least(now, 0.0)
     whole = F.abs(before) + up
     return up / F.when(whole == 0, F.lit(epsilon)).otherwise(whole)
 
 
 def bounded_failure(ratio: Column) -> Column:
-    return 1 - F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0))
+    return at_least(1 - at_least(ratio, 0.0), 0.0)
 
 
 def baseline_ratio(baseline: Column, now: Column, epsilon: float = EPSILON) -> Column:
@@ -114,7 +119,7 @@ def bounded_positive(value: Column) -> Column:
 
 
 def bounded_excess(ratio: Column) -> Column:
-    return bounded_positive(F.greatest(ratio - 1, F.lit(0.0)))
+    return bounded_positive(at_least(ratio - 1, 0.0))
 
 
 def saturation(value: Column, tau: float) -> Column:

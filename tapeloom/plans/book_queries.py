@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.operators import book as b
+from tapeloom.operators import liquidity as lq
 from tapeloom.plans.frames import book_events, book_sql
 
 
@@ -99,3 +100,24 @@ ORACLE = {
     "fn14_fn15_depth": _B + f", f AS (SELECT stream, coalesce(sum(depth) FILTER (side = 'BID' AND level <= 5), 0) AS b, coalesce(sum(depth) FILTER (side = 'ASK' AND level <= 5), 0) AS a, coalesce(sum(depth * {_W}) FILTER (side = 'BID' AND level <= 5), 0) AS wb, coalesce(sum(depth * {_W}) FILTER (side = 'ASK' AND level <= 5), 0) AS wa FROM top GROUP BY stream) SELECT stream, round(coalesce((b - a) / nullif(b + a, 0), 0), 8) AS imbalance, round(wb, 8) AS weighted_bid, round(wa, 8) AS weighted_ask FROM f",
     "ag12_side_credibility": _B + _LIFE + " SELECT stream, side, round(sum(largest * executed / added) / sum(largest), 8) AS credibility, round(sum(remaining * (1 - withdrawn / added)), 6) AS credible_depth, round(sum(withdrawn) / sum(added), 8) AS withdrawn_fraction FROM life GROUP BY stream, side",
 }
+
+
+def sr12(spark, folder):
+    return lq.replenishment(_trans(spark, folder))
+
+
+def sr13(spark, folder):
+    life = b.lifecycles(_trans(spark, folder))
+    return life.select("stream", "order_id", F.round(lq.order_credibility(life), 8).alias("credibility"))
+
+
+def sr14(spark, folder):
+    a = lq.attacked_orders(_trans(spark, folder), F.floor(F.col("sequence") / 200))
+    return a.groupBy("stream", "window").agg(F.count("*").alias("n"), F.round(F.sum("before"), 6).alias("before"), F.round(F.sum("executed"), 6).alias("executed"), F.round(F.sum("withdrawn"), 6).alias("withdrawn"), F.round(F.avg("survived"), 8).alias("survived"))
+
+
+QUERIES |= {"sr12_replenishment": sr12, "sr13_credibility": sr13, "sr14_attacked_orders": sr14}
+ORACLE |= {
+    "sr13_credibility": _B + _LIFE + " SELECT stream, order_id, round(0.4::DOUBLE * (executed / added) + 0.2::DOUBLE * (1 - exp(-lifetime_s / 30)) + 0.2::DOUBLE * (remaining / largest) + 0.2::DOUBLE * (1 - withdrawn / added), 8) AS credibility FROM life",
+    "sr14_attacked_orders": _B + ", g AS (SELECT stream, sequence // 200 AS window_id, order_id, arg_min(pre_qty, sequence) AS before, sum(executed) AS executed, sum(withdrawn) AS withdrawn, arg_max(post_qty, sequence) AS after FROM trans GROUP BY ALL) SELECT stream, window_id AS window, count(*) AS n, round(sum(before), 6) AS before, round(sum(executed), 6) AS executed, round(sum(withdrawn), 6) AS withdrawn, round(avg(after / before), 8) AS survived FROM g WHERE before > 0 GROUP BY ALL",
+}
