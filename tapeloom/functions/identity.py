@@ -13,9 +13,10 @@ def uuid5(namespace: str, name: Column) -> Column:
     space = uuid.UUID(namespace).hex
     digest = F.sha1(F.concat(F.unhex(F.lit(space)), F.encode(name, "UTF-8")))
     variant = F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)
-    return F.concat_ws(
+    parts = F.concat_ws(
         "-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(F.lower(F.hex(variant)), F.substring(digest, 18, 3)), F.substring(digest, 21, 12)
     )
+    return F.when(name.isNotNull(), parts)
 
 
 CONTENT_POLICY = "tapeloom.content.v1"

@@ -6,6 +6,7 @@ take quantity away, DELETE removes what is left, RESET empties the stream's book
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -109,55 +110,77 @@ def lifecycles(trans: DataFrame, resets: DataFrame | None = None) -> DataFrame:
     ).drop("was_reset")
 
 
+class Book:
+    """The orders and levels of one stream."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.orders: dict[str, tuple[str, float, float]] = {}
+        self.levels: dict[str, dict[float, tuple[float, int]]] = {"BID": {}, "ASK": {}}
+
+    def _move(self, side: str, price: float, qty: float, n: int) -> None:
+        q, c = self.levels[side].get(price, (0.0, 0))
+        if c + n <= 0:
+            self.levels[side].pop(price, None)
+        else:
+            self.levels[side][price] = (q + qty, c + n)
+
+    def apply(self, order: str, action: str, side: str, price: float | None, qty: float) -> str | None:
+        """What is wrong with the event; if anything is, the book stays as it was."""
+        old = self.orders.get(order)
+        if action == "RESET":
+            self.clear()
+            return None
+        if action == "ADD":
+            if old:
+                return "DUPLICATE_ORDER"
+            self.orders[order] = (side, price, qty)
+            self._move(side, price, qty, 1)
+            return None
+        if not old:
+            return "UNKNOWN_ORDER"
+        if old[0] != side:
+            return "SIDE_MISMATCH"
+        if action != "MODIFY" and price is not None and price != old[1]:
+            return "PRICE_MISMATCH"
+        if action in ("CANCEL", "EXECUTE") and qty > old[2]:
+            return "EXCESS_QUANTITY"
+        now = (side, price, qty) if action == "MODIFY" else (side, old[1], 0.0 if action == "DELETE" else old[2] - qty)
+        self._move(side, old[1], -old[2], -1)
+        if now[2] > 0:
+            self.orders[order] = now
+            self._move(side, now[1], now[2], 1)
+        else:
+            del self.orders[order]
+        return None
+
+    def top(self, k: int) -> tuple[list[dict], list[dict]]:
+        pick = {"BID": heapq.nlargest, "ASK": heapq.nsmallest}
+        return tuple([{"price": p, "qty": self.levels[s][p][0], "orders": self.levels[s][p][1]} for p in pick[s](k, self.levels[s])] for s in ("BID", "ASK"))
+
+    def step(self, k: int, *event) -> tuple[list[dict], list[dict], str | None]:
+        error = self.apply(*event)
+        bids, asks = self.top(k)
+        if error is None and bids and asks and bids[0]["price"] > asks[0]["price"]:
+            error = "CROSSED"
+        return bids, asks, error
+
+
 SNAPSHOT = "stream long, sequence long, bids array<struct<price:double,qty:double,orders:int>>, asks array<struct<price:double,qty:double,orders:int>>, error string"
 _LEVEL = pa.list_(pa.struct([("price", pa.float64()), ("qty", pa.float64()), ("orders", pa.int32())]))
 
 
 def _replay(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, orders, levels = None, {}, {"BID": {}, "ASK": {}}
-
-        def move(side: str, price: float, qty: float, n: int) -> None:
-            q, c = levels[side].get(price, (0.0, 0))
-            if c + n <= 0:
-                levels[side].pop(price, None)
-            else:
-                levels[side][price] = (q + qty, c + n)
-
+        stream, book = None, Book()
         for batch in batches:
             out = []
-            for key, seq, order, action, side, price, qty in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, seq, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != stream:
-                    stream, orders, levels = key, {}, {"BID": {}, "ASK": {}}
-                error, old = None, orders.get(order)
-                if action == "RESET":
-                    orders, levels = {}, {"BID": {}, "ASK": {}}
-                elif action == "ADD":
-                    if old:
-                        error = "DUPLICATE_ORDER"
-                    else:
-                        orders[order] = (side, price, qty)
-                        move(side, price, qty, 1)
-                elif not old:
-                    error = "UNKNOWN_ORDER"
-                elif old[0] != side:
-                    error = "SIDE_MISMATCH"
-                elif action != "MODIFY" and price is not None and price != old[1]:
-                    error = "PRICE_MISMATCH"
-                elif action in ("CANCEL", "EXECUTE") and qty > old[2]:
-                    error = "EXCESS_QUANTITY"
-                else:
-                    now = (side, price, qty) if action == "MODIFY" else (side, old[1], 0.0 if action == "DELETE" else old[2] - qty)
-                    move(side, old[1], -old[2], -1)
-                    if now[2] > 0:
-                        orders[order] = now
-                        move(side, now[1], now[2], 1)
-                    else:
-                        del orders[order]
-                top = [[{"price": p, "qty": q, "orders": c} for p, (q, c) in sorted(levels[s].items(), reverse=s == "BID")[:k]] for s in ("BID", "ASK")]
-                if error is None and top[0] and top[1] and top[0][0]["price"] > top[1][0]["price"]:
-                    error = "CROSSED"
-                out.append((key, seq, *top, error))
+                    stream, book = key, Book()
+                out.append((key, seq, *book.step(k, *event)))
             c = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], _LEVEL), pa.array(c[3], _LEVEL), pa.array(c[4], pa.utf8())], names=["stream", "sequence", "bids", "asks", "error"])
 
