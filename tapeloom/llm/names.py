@@ -27,6 +27,8 @@ ENTITY_BLOCK = 50_000
 MOST_EDITS, MOST_WORDS = 3, 12
 LONGEST_NAME = 300
 PREFIX_LEAST = 3
+#: Names a task looks up, at about a millisecond each.
+ROWS_PER_TASK = 50_000
 
 _LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th", "ð": "d", "’": "'"})
 _CAMEL = re.compile(r"(?<=[a-zà-öø-ÿāăąćčďđęěğłńňőœřśšťůűźżž])(?=[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĘĚĞŁŃŇŐŒŘŚŠŤŮŰŹŻŽ])")
@@ -76,13 +78,9 @@ class Trie:
         return known
 
     def _walk(self, word: str, k: int) -> Iterator[tuple[str, int]]:
-        m, full = len(word), (1 << len(word) + 1) - 1
-        places: dict[str, int] = defaultdict(int)
-        for i, c in enumerate(word):
-            places[c] |= 1 << i
-        start = tuple((1 << d + 1) - 1 & full for d in range(k + 1))
-        nothing = (0,) * (k + 1)
-        stack = [(self.root, start, nothing, "")]
+        step, start = automaton(word, k)
+        stack = [(self.root, start, (0,) * (k + 1), "")]
+        m = len(word)
         while stack:
             node, now, before, last = stack.pop()
             for c, kid in node.items():
@@ -92,13 +90,45 @@ class Trie:
                             yield kid, d
                             break
                     continue
-                at, at_last = places.get(c, 0), places.get(last, 0)
-                state = [(now[0] & at) << 1]
-                for d in range(1, k + 1):
-                    swap = (before[d - 1] & at & (at_last >> 1)) << 2
-                    state.append(((now[d] & at) << 1 | now[d - 1] | now[d - 1] << 1 | state[d - 1] << 1 | swap) & full)
+                state = step(now, before, c, last)
                 if state[k]:
-                    stack.append((kid, tuple(state), now, c))
+                    stack.append((kid, state, now, c))
+
+
+State = tuple[int, ...]
+
+
+def automaton(word: str, k: int) -> tuple[Callable[[State, State, str, str], State], State]:
+    """The step function and first state. Bit i of the d-th set is alive if the i first letters are matched with d edits."""
+    full = (1 << len(word) + 1) - 1
+    places: dict[str, int] = {}
+    for i, c in enumerate(word):
+        places[c] = places.get(c, 0) | 1 << i
+    place = places.get
+
+    def step(now: State, before: State, c: str, last: str) -> State:
+        at, swapped = place(c, 0), place(last, 0) >> 1
+        reach = (now[0] & at) << 1
+        out = [reach]
+        for d in range(1, k + 1):
+            reach = ((now[d] & at) << 1 | now[d - 1] | now[d - 1] << 1 | reach << 1 | (before[d - 1] & at & swapped) << 2) & full
+            out.append(reach)
+        return tuple(out)
+
+    return step, tuple((1 << d + 1) - 1 & full for d in range(k + 1))
+
+
+def edits_between(typed: str, word: str, k: int) -> int | None:
+    """The edits from one to the other if they are at most k: the automaton run along a single word."""
+    if abs(len(typed) - len(word)) > k:
+        return None
+    step, now = automaton(typed, k)
+    before, last = (0,) * (k + 1), ""
+    for c in word:
+        now, before, last = step(now, before, c, last), now, c
+        if not now[k]:
+            return None
+    return next((d for d in range(k + 1) if now[d] >> len(typed) & 1), None)
 
 
 _LEGAL: dict[str, str] = {}
@@ -119,6 +149,7 @@ for _word in (*TITLES, *SILENT):
     if len(_word) > 2:
         _NOISE.add(_word)
 
+_NOBODY: frozenset[int] = frozenset()
 #: What it costs to leave a word of the entity's out, by role. None: it can't be left out.
 OMITTED = {"core": None, "plain": None, "given": None, "business": 0.6, "legal": 0.1, "middle": 0.1}
 SHORT, EXTRA_INITIAL, INITIAL, WRONG_LEGAL = 0.2, 0.3, 0.5, 0.7
@@ -185,16 +216,15 @@ class NameIndex:
             return SHORT, 0
         if role in ("business", "plain") and len(typed) >= PREFIX_LEAST and word.startswith(typed) and (word in SHORT_FORMS or len(typed) > 4):
             return SHORT, 0
+        if typed in self.known:  # a word of its own is no misspelling of another
+            return None
         if len(typed) > 2:
             for form, d in _FORMS.near(typed, 1):
                 if word in _MEANS[form] and d:
                     return SHORT + d, d
-        trie = self.cores if role in ("core", "plain") else self.words
         k = min(2 if role == "plain" and len(word) == 6 else edits_allowed(word), len(typed) - 2)
-        for near, d in trie.near(typed, k) if k > 0 else ():
-            if near == word:
-                return float(d), d
-        return None
+        d = edits_between(typed, word, k) if k > 0 else None
+        return None if d is None else (float(d), d)
 
     def fit(self, typed: list[str], slots: list[tuple[str, str]]) -> float | None:
         """The least cost of matching every typed word to a slot of its own, in any order."""
@@ -232,13 +262,15 @@ class NameIndex:
         place(0, 0, 0.0, 0)
         return best
 
-    def _candidates(self, typed: list[str], kind: str | None) -> Iterator[tuple[float, str]]:
+    def _candidates(self, typed: list[str], kind: str | None, exactly: bool) -> Iterator[tuple[float, str]]:
         seen = set()
         for t in typed:
-            for word, _ in self.cores.near(t, edits_allowed(t + "x") if len(t) > 2 else 0):
-                seen |= self.by_word[word]
+            seen |= self.by_word.get(t, _NOBODY)
             for word in _MEANS.get(t, ()):
-                seen |= self.by_word.get(word, set())
+                seen |= self.by_word.get(word, _NOBODY)
+            if not exactly and t not in self.known and len(t) > 2:
+                for word, _ in self.cores.near(t, edits_allowed(t + "x")):
+                    seen |= self.by_word[word]
         for k in seen:
             entity, of, slots = self.slots[k]
             if kind is None or of is None or kind == of:
@@ -280,12 +312,13 @@ class NameIndex:
                     break
                 kept = trimmed
             for reading in self._readings(kept):
-                best: dict[str, float] = {}
-                for cost, entity in self._candidates(reading, kind):
-                    if cost < best.get(entity, 1e9):
-                        best[entity] = cost
-                if best:
-                    return sorted((c, e) for e, c in best.items())[:2]
+                for exactly in (True, False):
+                    best: dict[str, float] = {}
+                    for cost, entity in self._candidates(reading, kind, exactly):
+                        if cost < best.get(entity, 1e9):
+                            best[entity] = cost
+                    if best:
+                        return sorted((c, e) for e, c in best.items())[:2]
         letters = "".join(words)
         if 3 <= len(letters) <= 5 and all(len(w) == 1 for w in words) | (len(words) == 1) and kind in (None, "COMPANY"):
             return [(SHORT * 5, e) for e in sorted(self.initials.get(letters, ()))][:2]
@@ -329,6 +362,7 @@ def link_names(aliases: DataFrame, entities: DataFrame, alias_id: str = "alias_i
     context = aliases.sparkSession.sparkContext
     kind = aliases.schema[alias_id].dataType.simpleString()
     rows = aliases.select(aliases[alias_id].alias("alias_row"), aliases[alias].alias("name"), aliases[alias_type].alias("kind")).where("name IS NOT NULL")
+    rows = rows.repartition(max(context.defaultParallelism, -(-aliases.count() // ROWS_PER_TASK)))  # a file holds few bytes but much work
     hits = None
     for b in range(blocks):
         part = known.where(F.pmod(F.xxhash64("e"), F.lit(blocks)) == b) if blocks > 1 else known
