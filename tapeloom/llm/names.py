@@ -152,7 +152,7 @@ for _word in (*TITLES, *SILENT):
 _NOBODY: frozenset[int] = frozenset()
 #: What it costs to leave a word of the entity's out, by role. None: it can't be left out.
 OMITTED = {"core": None, "plain": None, "given": None, "business": 0.6, "legal": 0.1, "middle": 0.1}
-SHORT, EXTRA_INITIAL, INITIAL, WRONG_LEGAL = 0.2, 0.3, 0.5, 0.7
+SHORT, EXTRA_INITIAL, INITIAL, WRONG_LEGAL, LOOSE = 0.2, 0.3, 0.5, 0.7, 0.5
 
 
 def slots_of(name: str, kind: str | None) -> list[tuple[str, str]]:
@@ -198,15 +198,25 @@ class NameIndex:
             for a in (name, *(short or ())):
                 self.official[" ".join(typed_words(a or ""))].add((entity, kind))
 
-    def cost(self, typed: str, word: str, role: str) -> tuple[float, int] | None:
+    def cost(self, typed: str, word: str, role: str, loosely: bool = False) -> tuple[float, int] | None:
         """(cost, edits) of the typed word standing for the entity's."""
-        key = (typed, word, role)
+        key = (typed, word, role, loosely)
         if key not in self.memo:
             if len(self.memo) > 500_000:
                 self.memo.clear()
-            self.memo[key] = self._cost(typed, word, role)
+            found = self._cost(typed, word, role)
+            self.memo[key] = self._loose(typed, word, role) if found is None and loosely else found
         return self.memo[key]
 
+    def _loose(self, typed: str, word: str, role: str) -> tuple[float, int] | None:
+        """Two edits in a short word, if no other word is as near."""
+        if role in ("core", "plain") or typed in self.known or len(typed) < 3:
+            return None
+        near = {f: d for trie in (self.words, _FORMS) for f, d in trie.near(typed, 2)}
+        mine = [d for f, d in near.items() if len(f) > 3 and (f == word or word in _MEANS.get(f, ()))]
+        others = [d for f, d in near.items() if f != word and word not in _MEANS.get(f, ())]
+        return (LOOSE + min(mine), min(mine)) if mine and (not others or min(others) > min(mine)) else None
+
     def _cost(self, typed: str, word: str, role: str) -> tuple[float, int] | None:
         if typed == word:
             return 0.0, 0
@@ -226,12 +236,12 @@ class NameIndex:
         d = edits_between(typed, word, k) if k > 0 else None
         return None if d is None else (float(d), d)
 
-    def fit(self, typed: list[str], slots: list[tuple[str, str]]) -> float | None:
+    def fit(self, typed: list[str], slots: list[tuple[str, str]], loosely: bool = False) -> float | None:
         """The least cost of matching every typed word to a slot of its own, in any order."""
         choices = []
         has_middle = any(role == "middle" for _, role in slots) or slots[0][1] != "given"
         for t in typed:
-            row = [(c[0], c[1], i) for i, (w, role) in enumerate(slots) if (c := self.cost(t, w, role))]
+            row = [(c[0], c[1], i) for i, (w, role) in enumerate(slots) if (c := self.cost(t, w, role, loosely))]
             if t in _LEGAL and all(role != "plain" for _, role in slots):
                 row.append((WRONG_LEGAL, 0, -1))
             if len(t) == 1 and not has_middle:
@@ -262,7 +272,7 @@ class NameIndex:
         place(0, 0, 0.0, 0)
         return best
 
-    def _candidates(self, typed: list[str], kind: str | None, exactly: bool) -> Iterator[tuple[float, str]]:
+    def _candidates(self, typed: list[str], kind: str | None, exactly: bool, loosely: bool = False) -> Iterator[tuple[float, str]]:
         seen = set()
         for t in typed:
             seen |= self.by_word.get(t, _NOBODY)
@@ -274,7 +284,7 @@ class NameIndex:
         for k in seen:
             entity, of, slots = self.slots[k]
             if kind is None or of is None or kind == of:
-                cost = self.fit(typed, slots)
+                cost = self.fit(typed, slots, loosely)
                 if cost is not None:
                     yield cost, entity
 
@@ -319,6 +329,9 @@ class NameIndex:
                             best[entity] = cost
                     if best:
                         return sorted((c, e) for e, c in best.items())[:2]
+        loose = sorted(self._candidates(kept, kind, True, True))
+        if loose:
+            return loose[:2]
         letters = "".join(words)
         if 3 <= len(letters) <= 5 and all(len(w) == 1 for w in words) | (len(words) == 1) and kind in (None, "COMPANY"):
             return [(SHORT * 5, e) for e in sorted(self.initials.get(letters, ()))][:2]
