@@ -27,7 +27,7 @@ def _replenish(gap: int):
             return out
 
         def finish() -> None:
-            every = {id(e): e for e in current.values()} | {id(e): e for parts in owner.values() for e, _ in parts}
+            every = {id(e): e for e in current.values()} | {id(e): e for parts in owner.values() for e, _ in parts if e is not None}
             done.extend(sorted(every.values(), key=lambda e: (e["opened"], e["side"], e["price"])))
 
         for batch in batches:
@@ -38,7 +38,9 @@ def _replenish(gap: int):
                         yield batch_of()
                     stream, eligible, current, owner = key, set(), {}, {}
                 level = (side, price)
-                if added > 0 and level in eligible:
+                if added > 0 and level not in eligible:
+                    owner.setdefault(order, []).append([None, added])
+                elif added > 0:
                     e = current.get(level)
                     if e is None or seq - e["closed"] > gap or e["hit"]:
                         if e is not None and e["open"] <= 1e-12:
@@ -56,14 +58,14 @@ def _replenish(gap: int):
                     while taken > 1e-12 and parts:
                         e, rest = parts[0]
                         part = min(rest, taken)
-                        e[what] += part
-                        e["open"] -= part
-                        if what == "executed":
-                            e["hit"] = True
                         taken -= part
+                        if e is not None:
+                            e[what] += part
+                            e["open"] -= part
+                            e["hit"] |= what == "executed"
                         if rest - part <= 1e-12:
                             parts.pop(0)
-                            if e["open"] <= 1e-12 and current.get((e["side"], e["price"])) is not e:
+                            if e is not None and e["open"] <= 1e-12 and current.get((e["side"], e["price"])) is not e:
                                 done.append(e)
                         else:
                             parts[0][1] = rest - part
