@@ -161,10 +161,11 @@ def jn7(spark, folder):
 
 
 def jn5(spark, folder):
-    """Of each event its newest revision within 36 h before, where it shares a source with the item."""
-    items = raw(spark, folder).where(F.col("batch_id") >= 8).select("news_id", "source", "process_time", F.col("event_id").alias("own"))
-    r = _revisions(spark, folder).select("event_id", "revision_number", "available_at", F.explode(F.array_distinct("source_names")).alias("source"))
-    j = items.join(r, "source").where((F.col("available_at") <= F.col("process_time")) & (F.unix_micros("process_time") - F.unix_micros("available_at") <= news.HORIZON_S * 1_000_000))
+    """The events with a revision in the 36 h before each message that names its source; buckets of 36 h make it an equi-join."""
+    bucket = lambda c: F.floor(F.unix_micros(c) / (news.HORIZON_S * 1_000_000))
+    items = raw(spark, folder).select("news_id", "source", "process_time", F.col("event_id").alias("own"), bucket("process_time").alias("b"))
+    r = _revisions(spark, folder).select("event_id", "available_at", F.explode(F.array_distinct("source_names")).alias("source")).withColumn("b", F.explode(F.array(bucket("available_at"), bucket("available_at") + 1)))
+    j = items.join(r, ["source", "b"]).where((F.col("available_at") <= F.col("process_time")) & (F.unix_micros("process_time") - F.unix_micros("available_at") <= news.HORIZON_S * 1_000_000))
     return j.groupBy("news_id").agg(F.countDistinct("event_id").alias("n_candidates"), F.max(F.coalesce(F.col("own") == F.col("event_id"), F.lit(False))).alias("own_among_them"))
 
 
@@ -451,7 +452,7 @@ ORACLE = {
     "jn1_alias": "WITH names AS (SELECT lower(canonical_name) AS k, entity_id FROM entities UNION SELECT lower(unnest(aliases)), entity_id FROM entities), g AS (SELECT k, count(DISTINCT entity_id) AS n, min(entity_id) AS e FROM names GROUP BY k) SELECT alias_id, CASE WHEN n IS NULL THEN 'NOT_FOUND' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status, CASE WHEN n = 1 THEN e END AS entity_id FROM entity_aliases LEFT JOIN g ON k = lower(trim(alias))",
     "jn2_ticker": "WITH x AS (SELECT DISTINCT news_id, upper(trim(unnest(provider_tickers))) AS k FROM raw_news) SELECT x.k, news_id, CASE WHEN instrument_id IS NULL THEN 'NOT_FOUND' ELSE 'RESOLVED' END AS status, instrument_id FROM x LEFT JOIN instruments i ON upper(trim(i.ticker)) = x.k WHERE x.k <> ''",
     "jn3_links_as_of": "WITH r AS (SELECT DISTINCT entity_id, CAST(process_time AT TIME ZONE 'UTC' AS DATE) AS day FROM raw_news WHERE entity_id IS NOT NULL), l AS (SELECT DISTINCT ON (link_id, valid_from, valid_to) * FROM entity_instrument_links) SELECT day, count(*) AS n_links, count(DISTINCT instrument_id) AS n_instruments FROM r JOIN l USING (entity_id) WHERE (valid_from IS NULL OR valid_from <= CAST(day AS TIMESTAMP) AT TIME ZONE 'UTC') AND (valid_to IS NULL OR valid_to > CAST(day AS TIMESTAMP) AT TIME ZONE 'UTC') GROUP BY day",
-    "jn5_candidates": f"WITH {_REV}, r AS (SELECT DISTINCT event_id, available_at, unnest(source_names) AS source FROM rev) SELECT news_id, count(DISTINCT r.event_id) AS n_candidates, bool_or(coalesce(i.event_id = r.event_id, false)) AS own_among_them FROM raw_news i JOIN r ON i.source = r.source AND available_at <= process_time AND epoch_us(process_time) - epoch_us(available_at) <= {news.HORIZON_S * 1_000_000} WHERE batch_id >= 8 GROUP BY news_id",
+    "jn5_candidates": f"WITH {_REV}, r AS (SELECT DISTINCT event_id, available_at, unnest(source_names) AS source FROM rev) SELECT news_id, count(DISTINCT r.event_id) AS n_candidates, bool_or(coalesce(i.event_id = r.event_id, false)) AS own_among_them FROM raw_news i JOIN r ON i.source = r.source AND available_at <= process_time AND epoch_us(process_time) - epoch_us(available_at) <= {news.HORIZON_S * 1_000_000} GROUP BY news_id",
     "jn7_previous": f"WITH {_REV} SELECT revision_id, lag(revision_id) OVER w AS before, len(list_filter(list_distinct(source_names), lambda x: NOT list_contains(coalesce(s0, []), x))) AS new_sources FROM (SELECT *, lag(source_names) OVER (PARTITION BY event_id ORDER BY revision_number) AS s0 FROM rev) WINDOW w AS (PARTITION BY event_id ORDER BY revision_number)",
     "wn1_latest": f"WITH {_REV}, {_LATEST} SELECT event_id, revision_id, revision_number, event_state FROM latest",
     "ag1_noisy_or": f"WITH {_IND} SELECT event_id, round(1 - product(1 - credibility), 8) AS credibility FROM ind GROUP BY event_id",
