@@ -4,7 +4,7 @@ Every attribute has its own history of changes, turned into half-open intervals
 matched to the events on its own; afterwards the matches are pivoted back to one row an event, so attributes that change
 at different times never multiply into wide versions.
 
-The match is an equi-join. An interval is cut into at most 2 * (BASE - 1) cells on each level of a time grid (1 h, 16 h,
+The match is an equi-join. An interval is cut into at most 2 * (BASE - 1) cells on each level of a time grid (4 h, 32 h,
 256 h ...), an event looks up the one cell of each level that it lies in, and the bounds decide the rest. Neither a key with
 many events nor one with many changes ever meets all pairs.
 """
@@ -17,10 +17,10 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GRID_US = 3_600_000_000
-BASE = 16
+GRID_US = 4 * 3_600_000_000
+BASE = 8
 #: The buckets by which the search for the next change is spread, in grid cells.
-SPREAD_CELLS = 24 * 32
+SPREAD_CELLS = 6 * 32
 
 
 def _cell(c: Column) -> Column:
