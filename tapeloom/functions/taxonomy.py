@@ -54,3 +54,19 @@ TAU_HOURS_OF = {"COMPANY.EARNINGS": 12, "COMPANY.MERGER_ACQUISITION": 72, "COMPA
 STATE_UNCERTAINTY = {"NEW": 0.8, "DEVELOPING": 0.7, "UPDATED": 0.5, "CONFIRMED": 0.15, "RESOLVED": 0.1, "RETRACTED": 1.0}
 #: Source types whose report confirms an event of these types.
 OFFICIAL = {"COMPANY_RELEASE": ("COMPANY",), "SEC": ("COMPANY", "REGULATORY"), "GOVERNMENT": ("GEOPOLITICAL", "MACRO", "REGULATORY", "SYSTEMIC"), "CENTRAL_BANK": ("MACRO", "RATE")}
+#: By relation: the way it is walked, what becomes of a sign, and the event types for which it is kept (none named: all).
+POLICIES = (
+    ("OWNS_OR_ISSUES", "FORWARD", "PRESERVE", ()),
+    ("COMPETITOR", "BOTH", "UNKNOWN", ()),
+    ("CUSTOMER_OF", "FORWARD", "UNKNOWN", ()),
+    ("SUPPLIER_TO", "FORWARD", "UNKNOWN", ()),
+    ("MEMBER_OF_SECTOR", "REVERSE", "PRESERVE", ("SECTOR",)),
+    ("MEMBER_OF_INDUSTRY", "REVERSE", "PRESERVE", ("SECTOR",)),
+    ("LOCATED_IN", "REVERSE", "PRESERVE", ("GEOPOLITICAL",)),
+    ("OPERATES_IN", "REVERSE", "PRESERVE", ("GEOPOLITICAL",)),
+    ("EXPOSED_TO_COMMODITY", "REVERSE", "UNKNOWN", ()),
+    ("EXPOSED_TO_CURRENCY", "REVERSE", "UNKNOWN", ()),
+    ("REGULATED_BY", "REVERSE", "PRESERVE", ("REGULATORY",)),
+    ("MACRO_SENSITIVE_TO", "REVERSE", "UNKNOWN", ()),
+    ("OTHER", "FORWARD", "UNKNOWN", ()),
+)

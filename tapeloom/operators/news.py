@@ -172,3 +172,42 @@ def materialise(paths: DataFrame, key: str) -> DataFrame:
         F.when(F.size(signs) == 1, F.element_at(signs, 1)).otherwise(0.0).alias("direction"), (F.size(signs) > 1).alias("conflict"),
         F.min_by("path_id", F.struct(-F.col("magnitude"), -F.col("confidence"), F.col("path_id"))).alias("strongest"), F.count("*").alias("n_paths"),
     )
+
+
+def policy_direction(relation: Column, kind: Column, sign: Column) -> Column:
+    """The sign of an event as it arrives over a relation: kept, turned, or 0 where the relation says nothing for its type."""
+    out = F.lit(0.0)
+    for name, _, what, kinds in reversed(t.POLICIES):
+        applies = (relation == name) & (kind.isin(*kinds) if kinds else F.lit(True))
+        if what != "UNKNOWN":
+            out = F.when(applies, sign if what == "PRESERVE" else -sign).otherwise(out)
+    return out
+
+
+def mentions(texts: DataFrame, text_id: str, normal: str, names: DataFrame, name_id: str, name: str) -> DataFrame:
+    """(text_id, name_id) of the names that stand in a text as whole words, both in normal form.
+
+    A text is read as all its runs of as many words as names have, and these meet the names by an equi-join, so no
+    text is held against every name. The longest name's number of words comes first, as one number.
+    """
+    keyed = names.select(F.col(name_id).alias("n_"), F.col(name).alias("phrase")).where("phrase IS NOT NULL AND phrase <> ''").distinct()
+    sizes = sorted(r[0] for r in keyed.select(F.size(F.split("phrase", " "))).distinct().collect())
+    words = F.split(normal, " ")
+    runs = F.concat(*[F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), _run(words, k))).otherwise(F.array().cast("array<string>")) for k in sizes]) if sizes else F.array().cast("array<string>")
+    spread = texts.where(F.col(normal).isNotNull()).withColumn("phrases_", F.array_distinct(runs)).select(text_id, F.explode("phrases_").alias("phrase"))
+    return spread.join(keyed, "phrase").select(text_id, F.col("n_").alias(name_id)).distinct()
+
+
+def _run(words: Column, k: int):
+    return lambda i: F.array_join(F.slice(words, i, k), " ")
+
+
+def event_scores(revisions: DataFrame) -> DataFrame:
+    """Severity, novelty and uncertainty of each revision against the one before it in its event."""
+    w = Window.partitionBy("event_id").orderBy("revision_number")
+    first = F.lag("revision_id").over(w).isNull()
+    before = F.coalesce(F.lag("source_names").over(w), F.array().cast("array<string>"))
+    fresh = F.size(F.array_except("source_names", before)) / F.greatest(F.size("source_names"), F.lit(1))
+    confirmed = (F.col("event_state") == "CONFIRMED") & ~F.coalesce(F.lag("event_state").over(w) == "CONFIRMED", F.lit(False))
+    unsure = F.array(0.35 * prior(t.STATE_UNCERTAINTY, F.col("event_state")), F.when(F.size("source_names") < 2, 0.15).otherwise(0.0), F.when(F.col("event_state") != "CONFIRMED", 0.15).otherwise(0.0))
+    return revisions.select("revision_id", F.coalesce("severity", severity(F.col("event_subtype"))).alias("severity"), F.when(first, 1.0).otherwise(0.1 * fresh + F.when(confirmed, 0.2).otherwise(0.0)).alias("novelty"), noisy_or(unsure).alias("uncertainty"))

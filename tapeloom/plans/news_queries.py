@@ -350,7 +350,45 @@ def nw10(spark, folder):
     return x.groupBy("instrument_id").agg(F.countDistinct("event_id").alias("n_events"), F.round(F.sum("intensity"), 6).alias("intensity"), F.round(1 - F.product(1 - F.col("intensity")), 6).alias("risk"), F.round(F.coalesce(F.try_divide(F.sum(F.col("confidence") * F.col("intensity")), F.sum("intensity")), F.lit(0.0)), 6).alias("confidence"), F.round(1 - F.product(1 - F.col("unc") * F.col("decay")), 6).alias("uncertainty"))
 
 
+def jn4(spark, folder):
+    """Relations out of and into each node, as valid at a time."""
+    links = table(spark, folder, "entity_instrument_links").where(asof.valid_at(F.col("valid_from"), F.col("valid_to"), _ts(AS_OF))).select("link_id", "entity_id", "instrument_id").distinct()
+    out = links.select(F.col("entity_id").alias("node"), F.lit("OUT").alias("way"))
+    return out.unionByName(links.select(F.col("instrument_id").alias("node"), F.lit("IN").alias("way"))).groupBy("node", "way").agg(F.count("*").alias("n"))
+
+
+def jn6(spark, folder):
+    """Of each event the latest revision then, with the instruments its entities had."""
+    latest = asof.latest_as_of(_revisions(spark, folder), ["event_id"], ["available_at", "revision_number", "revision_id"], "available_at", _ts(AS_OF)).select("event_id", "revision_id")
+    owners = raw(spark, folder).where("event_id IS NOT NULL AND entity_id IS NOT NULL").select("event_id", "entity_id").distinct()
+    links = table(spark, folder, "entity_instrument_links").where(asof.valid_at(F.col("valid_from"), F.col("valid_to"), _ts(AS_OF))).select("entity_id", "instrument_id").distinct()
+    return latest.join(owners, "event_id").join(links, "entity_id").select("instrument_id", "event_id", "revision_id").distinct()
+
+
+def jn13(spark, folder):
+    texts = normed(spark, folder).select("news_id", "n")
+    names = table(spark, folder, "entities").select("entity_id", text.normal_form(F.col("canonical_name")).alias("name"))
+    return news.mentions(texts, "news_id", "n", names, "entity_id", "name")
+
+
+def fn20(spark, folder):
+    r = _revisions(spark, folder).select("revision_id", "event_type", F.explode(F.array(*[F.lit(x[0]) for x in t.POLICIES])).alias("relation"))
+    return r.select("revision_id", "relation", (news.policy_direction(F.col("relation"), F.col("event_type"), F.lit(-1.0)) * 0.5).alias("exposure"))
+
+
+def nw7(spark, folder):
+    """Revisions that a run up to then has not processed."""
+    r = _revisions(spark, folder)
+    return r.join(r.where(F.col("available_at") <= _ts(AS_OF)).select("revision_id"), "revision_id", "left_anti").select("revision_id")
+
+
+def nw8(spark, folder):
+    s = news.event_scores(_revisions(spark, folder))
+    return s.select("revision_id", *[F.round(c, 8).alias(c) for c in ("severity", "novelty", "uncertainty")])
+
+
 QUERIES = {
+    "jn4_relations": jn4, "jn6_exposed": jn6, "jn13_mentions": jn13, "fn20_prj2_direction": fn20, "nw7_unprocessed": nw7, "nw8_scores": nw8,
     "src5_exists": src5, "src6_scan_as_of": src6, "src7_stream_scan": src7, "snk1_insert_status": snk1, "snk2_market_status": snk2, "snk3_summary": snk3, "snk5_invariants": snk5,
     "val1_causality": val1, "val2_shape": val2, "val3_ranges": val3, "val4_tickers": val4, "val5_tick": val5, "flt1_valid_links": flt1, "flt2_scope": flt2, "flt3_active": flt3,
     "jn1_alias": jn1, "jn2_ticker": jn2, "jn3_links_as_of": jn3, "jn5_candidates": jn5, "jn7_previous": jn7, "wn1_latest": wn1, "ag1_noisy_or": ag1, "ag2_weighted_mean": ag2, "ag3_exposure": ag3, "ag5_news_flow": ag5, "ag8_sources": ag8,
@@ -431,7 +469,15 @@ edges AS (SELECT b AS src, a AS dst, m, c FROM up UNION ALL SELECT a, b, 0.3::DO
 paths AS (SELECT 'r' || r_regionkey AS start, 'r' || r_regionkey AS node, ['r' || r_regionkey] AS nodes, 1::DOUBLE AS magnitude, 1::DOUBLE AS confidence, 0 AS depth FROM region
   UNION ALL SELECT start, dst, list_append(nodes, dst), magnitude * m * 0.7::DOUBLE, confidence * c, depth + 1 FROM paths JOIN edges ON node = src WHERE depth < 3 AND NOT list_contains(nodes, dst))"""
 
+_UNC = _lookup(t.STATE_UNCERTAINTY, "event_state")
 ORACLE = {
+    "jn4_relations": f"WITH l AS (SELECT DISTINCT link_id, entity_id, instrument_id FROM entity_instrument_links WHERE {_VALID}) SELECT node, way, count(*) AS n FROM (SELECT entity_id AS node, 'OUT' AS way FROM l UNION ALL SELECT instrument_id, 'IN' FROM l) GROUP BY ALL",
+    "jn6_exposed": f"WITH {_REV}, {_LATEST} SELECT DISTINCT instrument_id, latest.event_id, revision_id FROM latest JOIN (SELECT DISTINCT event_id, entity_id FROM raw_news) o ON o.event_id = latest.event_id JOIN entity_instrument_links l ON l.entity_id = o.entity_id WHERE {_VALID}",
+    "jn13_mentions": f"WITH {NORMED}, e AS (SELECT entity_id, {_norm('canonical_name')} AS k FROM entities) SELECT news_id, e.entity_id FROM nf JOIN e ON contains(' ' || n || ' ', ' ' || k || ' ') WHERE k <> ''",
+    "fn20_prj2_direction": f"WITH {_REV}, p AS (SELECT unnest([" + ", ".join(f"{{'r': '{r}', 'd': '{d}', 'k': '{k[0] if k else ''}'}}" for r, _, d, k in t.POLICIES) + "]) AS p) SELECT revision_id, p.r AS relation, CASE WHEN p.d = 'PRESERVE' AND (p.k = '' OR p.k = event_type) THEN -0.5 ELSE 0 END::DOUBLE AS exposure FROM rev CROSS JOIN p",
+    "nw7_unprocessed": f"WITH {_REV} SELECT revision_id FROM rev WHERE NOT available_at <= {_AT}",
+    "nw8_scores": f"WITH {_REV}, b AS (SELECT *, lag(revision_id) OVER w AS r0, coalesce(lag(source_names) OVER w, []) AS s0, lag(event_state) OVER w AS e0 FROM rev WINDOW w AS (PARTITION BY event_id ORDER BY revision_number)) SELECT revision_id, round(coalesce(severity, {_SEV}), 8) AS severity, round(CASE WHEN r0 IS NULL THEN 1.0::DOUBLE ELSE 0.1::DOUBLE * (len(list_filter(list_distinct(source_names), lambda x: NOT list_contains(s0, x))) / greatest(len(source_names), 1)) + CASE WHEN event_state = 'CONFIRMED' AND coalesce(e0, '') <> 'CONFIRMED' THEN 0.2::DOUBLE ELSE 0 END END, 8) AS novelty, "
+    f"round(1 - (1 - 0.35::DOUBLE * {_UNC}) * (1 - CASE WHEN len(source_names) < 2 THEN 0.15::DOUBLE ELSE 0 END) * (1 - CASE WHEN event_state <> 'CONFIRMED' THEN 0.15::DOUBLE ELSE 0 END), 8) AS uncertainty FROM b",
     "src5_exists": f"SELECT news_id, EXISTS (SELECT 1 FROM raw_news o WHERE o.batch_id < {FIRST_INCOMING_BATCH} AND o.source = r.source AND o.provider_item_id = r.provider_item_id) AS exists_item, EXISTS (SELECT 1 FROM raw_news o WHERE o.batch_id < {FIRST_INCOMING_BATCH} AND o.content_hash = r.content_hash) AS exists_hash FROM raw_news r WHERE batch_id >= {FIRST_INCOMING_BATCH}",
     "src6_scan_as_of": f"SELECT news_id, process_time FROM raw_news WHERE process_time <= {_AT}",
     "src7_stream_scan": f"SELECT event_id, instrument_id, sequence_number, process_time FROM raw_market_events WHERE venue = 'XBRU' AND sequence_stream_id = 'XBRU-ch0' AND sequence_number BETWEEN 3 AND 40 AND process_time <= {_AT}",
