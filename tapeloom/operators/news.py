@@ -19,7 +19,9 @@ def insert_statuses(rows: DataFrame, is_incoming: Column) -> DataFrame:
         present = F.lit(True)
         for k in keys:
             present = present & F.col(k).isNotNull()
-        return F.when(present, F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("incoming"), "process_time", "news_id")) > 1).otherwise(F.lit(False))
+        # rows without the key are no group of their own; each stands alone
+        alone = F.when(~present, F.xxhash64("news_id", "process_time"))
+        return F.when(present, F.row_number().over(Window.partitionBy(*keys, alone).orderBy(F.col("incoming"), "process_time", "news_id")) > 1).otherwise(F.lit(False))
 
     e = rows.withColumn("incoming", is_incoming)
     status = F.when(earlier("source", "provider_item_id"), "DUPLICATE_PROVIDER_ITEM").when(earlier("content_hash"), "DUPLICATE_CONTENT").when(earlier("news_id"), "DUPLICATE_NEWS_ID").otherwise("INSERTED")
