@@ -49,7 +49,7 @@ SHORT_FORMS = {
 #: Short forms that stand for several words.
 EXPANSIONS = {"cb": ("central", "bank"), "mot": ("ministry", "trade")}
 TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "sir", "professor", "doctor")
-SILENT = ("the", "of", "and", "de")
+SILENT = ("the", "of", "and")
 #: Familiar forms of given names.
 FAMILIAR = {
     "alexander": ("alex", "sasha", "sandy", "al", "lex", "xander"),

@@ -41,11 +41,17 @@ def fold(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c)).translate(_LETTERS)
 
 
+def _undotted(m: re.Match[str]) -> str:
+    """s.a. is a legal form and one word; of other pairs, as in d.r. miller, each letter stands for a name."""
+    letters = m[0].replace(".", "")
+    return f"{letters} " if len(letters) > 2 or letters in _LEGAL else f"{' '.join(letters)} "
+
+
 def typed_words(name: str) -> list[str]:
     """The words of a name, folded; s.a. is one word, and a capital after a small letter begins a new one."""
     name = _CAMEL.sub(" ", name)
     name = fold(name).replace("'", "")
-    name = _DOTTED.sub(lambda m: m[0].replace(".", "") + " ", name)
+    name = _DOTTED.sub(_undotted, name)
     return _WORDS.findall(name)
 
 

@@ -37,6 +37,9 @@ CASES = [
     ("Thomas Falrigoham", None, None),
     ("Peggy Rudmactetti", None, "p2"),
     ("M. P. Rudmactetti", None, None),
+    ("M.D. Rudmactetti", None, "p2"),
+    ("m.r. rudmactetti", "PERSON", None),
+    ("D.R. Falrigoham", None, None),
     ("Rudmactetti S", "PERSON", "p3"),
     ("Edward Falrigoham", "COMPANY", None),
     ("Velmoria Centarl Bank", None, "b1"),
