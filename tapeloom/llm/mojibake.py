@@ -4,13 +4,15 @@ Every distinct clean word of the corpus is garbled along every chain of encoding
 joined with these forms by hash. A unit is a word (letters and non-ASCII characters) or a bare run of non-ASCII characters, so a
 name that stands nowhere else in the corpus is still found by the letters it shares with other words. Forms of several
 bytes a letter prove themselves; forms by a chain of one-byte encodings can look like other words, so they need length
-and an original that is at least as common as they are.
+and either a look that no word has where the original has none (however often they stand in the corpus), or an original
+that stands in at least as many distinct texts as they do.
 """
 
 from __future__ import annotations
 
 import codecs
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,6 +69,30 @@ def garble(word: str, chain: tuple[Step, ...]) -> str | None:
     return word
 
 
+#: Quotation marks and signs that no text has between two letters, besides all symbols and number signs.
+_NEVER_INSIDE = set("¿¡„‚§¶†‡")
+
+
+def looks_wrong(word: str) -> bool:
+    """It has a symbol between letters, a capital beyond ASCII after a small letter, or four Latin letters beyond ASCII on end; a mere row of one or two characters doesn't count."""
+    if len(set(word)) < 3:
+        return False
+    accents, kind, inside = 0, "", False  # kind: of the last letter; inside: only symbols since then
+    for c in word:
+        if c.isalpha():
+            if inside or kind == "small" and c >= "\x80" and c.isupper():
+                return True
+            kind = "small" if c.islower() else "other"
+            accents = accents + 1 if c >= "\x80" and unicodedata.name(c, "").startswith("LATIN ") else 0
+            if accents > 3:
+                return True
+        elif kind and (c in _NEVER_INSIDE or unicodedata.category(c) in ("Sm", "Sc", "Sk", "So", "No", "Cc")):
+            accents, inside = 0, True
+        else:
+            accents, kind, inside = 0, "", False
+    return False
+
+
 def units_of(text: str) -> set[str]:
     """The words and runs of a text that hold anything but ASCII; lone characters only if they mark a loss."""
     out = {w for w in WORD.findall(text) if len(w) > 1}
@@ -88,10 +114,14 @@ def proves_itself(unit: str) -> bool:
 
 
 def forms(word: str) -> Iterator[tuple[str, str, str]]:
-    """(form as it would stand in a text, the word's part that it stands for, strength) along all chains."""
+    """(form as it would stand in a text, the word's part that it stands for, strength) along all chains.
+
+    Strength is "strong" if the form proves itself, "wrong" if it only looks like no word while the original does, else "legacy".
+    """
     if proves_itself(word):
         return
     done = set()
+    sound = not looks_wrong(word)
     for chain in CHAINS:
         whole = garble(word, chain)
         if whole is None or whole == word or (whole, chain[0][0]) in done:
@@ -104,27 +134,30 @@ def forms(word: str) -> Iterator[tuple[str, str, str]]:
             if strong and (foreign > 1 or LOST in form):
                 yield form, word if form == whole else "", "strong"
             elif not strong and len(form) >= LEAST_LEGACY and (foreign > 2 or any(c < "\x80" for c in form) and foreign):
-                yield form, word if form == whole else "", "legacy"
+                yield form, word if form == whole else "", "wrong" if sound and looks_wrong(form) else "legacy"
 
 
 def _emit_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, units, lone = [], [], set()
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        ids, copies, units, lone = [], [], [], set()
+        for doc, text, copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if text and not text.isascii():
                 for u in units_of(text):
                     ids.append(doc)
+                    copies.append(copy)
                     units.append(u)
                 lone.update(*NON_ASCII.findall(text))
         alone = sorted(c for c in lone if c >= "\x80")
         ids.extend([None] * len(alone))
+        copies.extend([None] * len(alone))
         units.extend(alone)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(units, pa.utf8())], names=["doc", "unit"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(copies, pa.int64()), pa.array(units, pa.utf8())], names=["doc", "copy", "unit"])
 
 
 def _emit_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(f, o, s, n) for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f, o, s in forms(word)]
+        # a form that several chains lead to counts once a word
+        rows = [(f, o, s, n) for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f, o, s in dict.fromkeys(forms(word))]
         columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.utf8()), pa.array(columns[1], pa.utf8()), pa.array(columns[2], pa.utf8()), pa.array(columns[3], pa.int64())], names=["form", "original", "strength", "common"])
 
@@ -134,17 +167,20 @@ SALT = 16
 
 
 def document_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, unit), each once a document; and once an Arrow batch, with doc null, each character that may stand alone: "ł" proves "Ĺ‚" though the word around it is new."""
+    """(doc, copy, unit), each once a document, copy being a hash of the text; and once an Arrow batch, with doc and copy null, each character that may stand alone: "ł" proves "Ĺ‚" though the word around it is new."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(docs[doc_id].alias("doc"), docs[text].alias("text")).where("text IS NOT NULL").mapInArrow(_emit_units, f"doc {kind}, unit string")
+    return docs.select(docs[doc_id].alias("doc"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("copy")).where("text IS NOT NULL").mapInArrow(_emit_units, f"doc {kind}, copy long, unit string")
 
 
 def garbled_units(units: DataFrame) -> DataFrame:
-    """(unit, original) of the units that are a garbled form of a clean word; original is empty where a unit is only a piece of one."""
-    counted = units.groupBy("unit").agg(F.count("*").alias("n"))
+    """(unit, original) of the units that are a garbled form of a clean word; original is empty where a unit is only a piece of one.
+
+    Units are counted by distinct texts, so copies of a text have no say in which of two spellings is the clean one.
+    """
+    counted = units.groupBy("unit").agg(F.count_distinct("copy").alias("n"))
     table = counted.mapInArrow(_emit_forms, "form string, original string, strength string, common long")
     table = table.groupBy("form", "original", "strength").agg(F.sum("common").alias("common"))
-    hits = counted.join(table, counted.unit == table.form).where((F.col("strength") == "strong") | (F.col("common") >= F.col("n")))
+    hits = counted.join(table, counted.unit == table.form).where((F.col("strength") != "legacy") | (F.col("common") >= F.col("n")))
     best = F.row_number().over(Window.partitionBy("unit").orderBy(F.col("original") == "", F.desc("common"), "original"))
     return hits.withColumn("best", best).where("best = 1").select("unit", "original")
 
@@ -157,7 +193,7 @@ def document_hits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     units = cut_lineage(document_units(docs, doc_id, text))
     hits = garbled_units(units).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = units.where("doc IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALT)).cast("int"))
+    salted = units.where("doc IS NOT NULL").select("doc", "unit").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALT)).cast("int"))
     return salted.join(hits, ["unit", "salt"]).select(F.col("doc").alias(doc_id), "unit", "original")
 
 

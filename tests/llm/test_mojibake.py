@@ -43,3 +43,20 @@ def test_new_words_and_edges(spark):
     got = {r.doc_id for r in find_garbled(table(spark, texts)).collect()}
     assert got == {len(CLEAN) + 3, len(CLEAN) + 4}
     assert find_garbled(table(spark, []).limit(0)).count() == 0
+
+
+def test_repetition_is_no_veto(spark):
+    chains = [("koi8-r", "cp1251"), ("cp1251", "cp1252"), ("cp866", "cp1251")]
+    wrong = [garble(CLEAN[2], ((w, r, "tapeloom-pass"),)) for w, r in chains]
+    for w in wrong:  # copies, and texts that only differ beside the passage
+        got = {r.doc_id for r in find_garbled(table(spark, CLEAN + [w] * 6 + [f"{i} {w}" for i in range(6)])).collect()}
+        assert got == set(range(len(CLEAN), len(CLEAN) + 12))
+    # both spellings look like words: the distinct texts decide, not the rows
+    texts = ["pod kolečko", "má kolečko", *["pod koleèko"] * 9]
+    assert {r.doc_id for r in find_garbled(table(spark, texts)).collect()} == set(range(2, 11))
+
+
+def test_clean_text_isnt_a_form_of_text_read_the_other_way(spark):
+    other = garble(CLEAN[2], (("cp1251", "koi8-r", "tapeloom-pass"),))
+    texts = [other, *(f"{i} {CLEAN[2]}" for i in range(4)), "operaçőes", "as operações", "operações"]
+    assert not {r.doc_id for r in find_garbled(table(spark, texts)).collect()} - {0}
