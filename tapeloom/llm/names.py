@@ -27,6 +27,8 @@ ENTITY_BLOCK = 50_000
 MOST_EDITS, MOST_WORDS = 3, 12
 LONGEST_NAME = 300
 PREFIX_LEAST = 3
+#: More than the readings of a name, two stages each.
+STAGES = 1_000_000
 #: Names a task looks up, at about a millisecond each.
 ROWS_PER_TASK = 50_000
 
@@ -176,14 +178,36 @@ def slots_of(name: str, kind: str | None) -> list[tuple[str, str]]:
     return [(w, "plain") for w in words]
 
 
+class Vocabulary:
+    """The words of all entities' names, whichever block they are in: what is a word of its own, and what a misspelt word may be."""
+
+    def __init__(self, words: Iterable[tuple[str, bool]]) -> None:
+        """words: (word, whether it stands anywhere but as the core of a name)."""
+        self.known: set[str] = set(_MEANS)
+        self.words = Trie()
+        for word, other in words:
+            self.known.add(word)
+            if other:
+                self.words.add(word)
+
+
+def vocabulary_of(name: str | None, kind: str | None) -> Iterator[tuple[str, bool]]:
+    for word, role in slots_of(name or "", kind):
+        yield word, role not in ("core", "plain")
+
+
 class NameIndex:
-    def __init__(self, entities: Iterable[tuple[str, str | None, str, list[str] | None]]) -> None:
+    """A block of entities. Without a vocabulary the block is all there is."""
+
+    def __init__(self, entities: Iterable[tuple[str, str | None, str, list[str] | None]], vocabulary: Iterable[tuple[str, bool]] | None = None) -> None:
+        entities = list(entities)
+        shared = Vocabulary(vocabulary if vocabulary is not None else (w for _, kind, name, _ in entities for w in vocabulary_of(name, kind)))
+        self.known, self.words = shared.known, shared.words
         self.slots: list[tuple[str, str | None, list[tuple[str, str]]]] = []
         self.by_word: dict[str, set[int]] = defaultdict(set)
-        self.cores, self.words = Trie(), Trie()
+        self.cores = Trie()
         self.initials: dict[str, set[str]] = defaultdict(set)
         self.official: dict[str, set[tuple[str, str | None]]] = defaultdict(set)
-        self.known: set[str] = set(_MEANS)
         self.memo: dict = {}
         for entity, kind, name, short in entities:
             slots = slots_of(name or "", kind)
@@ -192,12 +216,9 @@ class NameIndex:
             k = len(self.slots)
             self.slots.append((entity, kind, slots))
             for word, role in slots:
-                self.known.add(word)
                 if role in ("core", "plain"):
                     self.by_word[word].add(k)
                     self.cores.add(word)
-                else:
-                    self.words.add(word)
             if kind == "COMPANY":
                 self.initials["".join(w[0] for w, r in slots)].add(entity)
                 self.initials["".join(w[0] for w, r in slots if r != "legal" or w not in ("ag", "plc", "sa"))].add(entity)
@@ -312,14 +333,18 @@ class NameIndex:
 
     def find(self, name: str, kind: str | None) -> list[tuple[float, str]]:
         """(cost, entity), the cheapest first; at most two, of which the second only tells whether the first stands alone."""
+        return self.staged(name, kind)[1]
+
+    def staged(self, name: str, kind: str | None) -> tuple[int, list[tuple[float, str]]]:
+        """The number of the first stage with a hit, and its hits as by find(). A hit of an earlier stage goes before any of a later one, in whatever block."""
         if len(name) > LONGEST_NAME:
-            return []
+            return 0, []
         exact = {e for e, of in self.official.get(" ".join(typed_words(name)), ()) if kind is None or of is None or of == kind}
         if exact:
-            return [(0.0, e) for e in sorted(exact)][:2]
+            return 0, [(0.0, e) for e in sorted(exact)][:2]
         words = typed_words(name)
         if not words or len(words) > MOST_WORDS:
-            return []
+            return 0, []
         kept = [x for w in words for x in EXPANSIONS.get(w, (w,)) if x not in SILENT and x not in TITLES]
         for noise in (False, True):
             if noise:  # a misspelt title or article
@@ -327,27 +352,34 @@ class NameIndex:
                 if trimmed == kept:
                     break
                 kept = trimmed
-            for reading in self._readings(kept):
+            for n, reading in enumerate(self._readings(kept)):
                 for exactly in (True, False):
                     best: dict[str, float] = {}
                     for cost, entity in self._candidates(reading, kind, exactly):
                         if cost < best.get(entity, 1e9):
                             best[entity] = cost
                     if best:
-                        return sorted((c, e) for e, c in best.items())[:2]
+                        return STAGES * noise + 2 * n + (1 if exactly else 2), sorted((c, e) for e, c in best.items())[:2]
         loose = sorted(self._candidates(kept, kind, True, True))
         if loose:
-            return loose[:2]
+            return 2 * STAGES, loose[:2]
         letters = "".join(words)
         if 3 <= len(letters) <= 5 and all(len(w) == 1 for w in words) | (len(words) == 1) and kind in (None, "COMPANY"):
-            return [(SHORT * 5, e) for e in sorted(self.initials.get(letters, ()))][:2]
-        return []
+            return 2 * STAGES + 1, [(SHORT * 5, e) for e in sorted(self.initials.get(letters, ()))][:2]
+        return 0, []
 
 
-def _matcher(packed: Broadcast, alone: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _emit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = {w for name, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in vocabulary_of(name, kind)}
+        columns = list(zip(*words, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.utf8()), pa.array(columns[1], pa.bool_())], names=["word", "other"])
+
+
+def _matcher(packed: Broadcast, shared: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = NameIndex(packed.value)
-        memo: dict[tuple[str, str | None], list[tuple[float, str]]] = {}
+        index = NameIndex(packed.value, shared.value if shared else None)
+        memo: dict[tuple[str, str | None], tuple[int, list[tuple[float, str]]]] = {}
         for batch in batches:
             rows = []
             for i, name, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -355,13 +387,13 @@ def _matcher(packed: Broadcast, alone: bool) -> Callable[[Iterator[pa.RecordBatc
                 if found is None:
                     if len(memo) > 200_000:
                         memo.clear()
-                    found = index.find(name, kind)
-                    if alone:  # no other block can tell
-                        found = found[:1] if len(found) == 1 or found[:1] and found[0][0] < found[1][0] else []
-                    memo[name, kind] = found
-                rows.extend((i, e, c) for c, e in found)
-            columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.utf8()), pa.array(columns[2], pa.float64())], names=["alias_row", "entity", "cost"])
+                    stage, hits = index.staged(name, kind)
+                    if not shared:  # no other block can tell
+                        hits = hits[:1] if len(hits) == 1 or hits[:1] and hits[0][0] < hits[1][0] else []
+                    found = memo[name, kind] = stage, hits
+                rows.extend((i, e, found[0], c) for c, e in found[1])
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.utf8()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64())], names=["alias_row", "entity", "stage", "cost"])
 
     return run
 
@@ -374,7 +406,8 @@ def link_names(aliases: DataFrame, entities: DataFrame, alias_id: str = "alias_i
     is expected to be unique. Entities with a null or empty name are never meant.
 
     Entities are counted first and broadcast in blocks of at most `block`; the names pass each block in one narrow
-    stage, and only with more than one block is the best of all blocks found by a shuffle of the few hits.
+    stage, and only with more than one block is the best of all blocks found by a shuffle of the few hits. The
+    blocks share the distinct words of all entities, so what a word is taken for doesn't depend on its block.
     """
     known = entities.select(F.col(entity_id).alias("e"), F.col(entity_type).alias("t"), F.col(name).alias("n"), F.col(short_names).alias("s")).where("e IS NOT NULL AND n IS NOT NULL")
     blocks = max(1, -(-known.count() // block))
@@ -382,14 +415,18 @@ def link_names(aliases: DataFrame, entities: DataFrame, alias_id: str = "alias_i
     kind = aliases.schema[alias_id].dataType.simpleString()
     rows = aliases.select(aliases[alias_id].alias("alias_row"), aliases[alias].alias("name"), aliases[alias_type].alias("kind")).where("name IS NOT NULL")
     rows = rows.repartition(max(context.defaultParallelism, -(-aliases.count() // ROWS_PER_TASK)))  # a file holds few bytes but much work
-    hits = None
+    hits = shared = None
+    if blocks > 1:
+        words = known.select("n", "t").mapInArrow(_emit_words, "word string, other boolean").groupBy("word").agg(F.max("other").alias("other"))
+        shared = context.broadcast([(r.word, r.other) for r in words.collect()])
     for b in range(blocks):
         part = known.where(F.pmod(F.xxhash64("e"), F.lit(blocks)) == b) if blocks > 1 else known
         packed = context.broadcast([(r.e, r.t, r.n, list(r.s) if r.s is not None else None) for r in part.collect()])
-        one = rows.mapInArrow(_matcher(packed, blocks == 1), f"alias_row {kind}, entity string, cost double")
+        one = rows.mapInArrow(_matcher(packed, shared), f"alias_row {kind}, entity string, stage int, cost double")
         hits = one if hits is None else hits.unionByName(one)
     if blocks > 1:
-        ranked = hits.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("alias_row").orderBy("cost", "entity"))).where("nth <= 2")
-        best = ranked.groupBy("alias_row").agg(F.min(F.struct("cost", "entity")).alias("best"), F.min("cost").alias("low"), F.max("cost").alias("high"), F.count("*").alias("n"))
+        ranked = hits.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("alias_row").orderBy("stage", "cost", "entity"))).where("nth <= 2")
+        rank = F.struct("stage", "cost")
+        best = ranked.groupBy("alias_row").agg(F.min(F.struct("stage", "cost", "entity")).alias("best"), F.min(rank).alias("low"), F.max(rank).alias("high"), F.count("*").alias("n"))
         return best.where("n = 1 OR low < high").select(F.col("alias_row").alias(alias_id), F.col("best.entity").alias(entity_id), F.col("best.cost").alias("cost"))
     return hits.select(F.col("alias_row").alias(alias_id), F.col("entity").alias(entity_id), "cost")

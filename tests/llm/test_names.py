@@ -100,3 +100,17 @@ def test_misspelt_once(spark):
             typo = name[:i] + rng.choice("xqz") + name[i + rng.randrange(2) :]
             found = index.find(typo, None)
             assert found and found[0][1] == entity and (len(found) == 1 or found[0][0] < found[1][0])
+
+
+def test_blocks_share_their_words(spark):
+    """A word of one block is no misspelling of another block's, and an earlier stage goes before a lower cost."""
+    surnames = ["Jonas", "Jones", "Jonis", "Marten", "Martin", "Martens", "Petrow", "Petrov"]
+    people = [(f"p{i}{j}", "PERSON", f"{given} {surname}", []) for i, given in enumerate(["Anna", "Peter", "Susan", "Zoe"]) for j, surname in enumerate(surnames) if (i + j) % 3 == 0]
+    firms = [(f"c{j}", "COMPANY", f"{core} {kind} {legal}", []) for j, (core, kind, legal) in enumerate([("Orvalon", "Mining", "Limited"), ("Orvalon", "Shipping", "Holdings"), ("Orvelon", "Mining", "Group"), ("Jonas", "Foods", "plc")])]
+    entities = spark.createDataFrame(people + firms, "entity_id string, entity_type string, canonical_name string, aliases array<string>")
+    typed = [f"{given} {surname}{end}" for given in ("Anna", "Peter", "Sue", "Zoe", "Ana") for surname in surnames for end in ("", "s")] + ["Orvalon Mining", "Orvelon Minning", "Orvalun Shipping", "Orvlon Mng", "OMG", "Jonas Fods"]
+    aliases = spark.createDataFrame([(i, a, None) for i, a in enumerate(typed)], "alias_id long, alias string, entity_type string")
+    want = {tuple(r) for r in link_names(aliases, entities).collect()}
+    assert want and "Anna Jones" not in {typed[i] for i, _, _ in want}
+    for block in (1, 5):
+        assert {tuple(r) for r in link_names(aliases, entities, block=block).collect()} == want
