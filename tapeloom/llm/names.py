@@ -183,12 +183,14 @@ class Vocabulary:
 
     def __init__(self, words: Iterable[tuple[str, bool]]) -> None:
         """words: (word, whether it stands anywhere but as the core of a name)."""
-        self.known: set[str] = set(_MEANS)
+        self.known: set[str] = set()
         self.words = Trie()
         for word, other in words:
             self.known.add(word)
             if other:
                 self.words.add(word)
+        # a short or familiar form of a word that no entity has is as good as unknown
+        self.known |= {form for form, means in _MEANS.items() if form in _LEGAL or not means.isdisjoint(self.known)}
 
 
 def vocabulary_of(name: str | None, kind: str | None) -> Iterator[tuple[str, bool]]:
@@ -206,7 +208,7 @@ class NameIndex:
         self.slots: list[tuple[str, str | None, list[tuple[str, str]]]] = []
         self.by_word: dict[str, set[int]] = defaultdict(set)
         self.cores = Trie()
-        self.initials: dict[str, set[str]] = defaultdict(set)
+        self.initials: dict[str, set[tuple[str, str | None]]] = defaultdict(set)
         self.official: dict[str, set[tuple[str, str | None]]] = defaultdict(set)
         self.memo: dict = {}
         for entity, kind, name, short in entities:
@@ -220,8 +222,11 @@ class NameIndex:
                     self.by_word[word].add(k)
                     self.cores.add(word)
             if kind == "COMPANY":
-                self.initials["".join(w[0] for w, r in slots)].add(entity)
-                self.initials["".join(w[0] for w, r in slots if r != "legal" or w not in ("ag", "plc", "sa"))].add(entity)
+                self.initials["".join(w[0] for w, r in slots)].add((entity, kind))
+                self.initials["".join(w[0] for w, r in slots if r != "legal" or w not in ("ag", "plc", "sa"))].add((entity, kind))
+            elif kind != "PERSON" and len(slots) > 1:
+                self.initials["".join(w[0] for w, _ in slots)].add((entity, kind))
+                self.initials["".join(w[0] for w in typed_words(name))].add((entity, kind))
             for a in (name, *(short or ())):
                 self.official[" ".join(typed_words(a or ""))].add((entity, kind))
 
@@ -239,7 +244,7 @@ class NameIndex:
         """Two edits in a short word, if no other word is as near."""
         if role in ("core", "plain") or typed in self.known or len(typed) < 3:
             return None
-        near = {f: d for trie in (self.words, _FORMS) for f, d in trie.near(typed, 2)}
+        near = {f: d for trie in (self.words, _FORMS) for f, d in trie.near(typed, 2) if f in self.known}
         mine = [d for f, d in near.items() if len(f) > 3 and (f == word or word in _MEANS.get(f, ()))]
         others = [d for f, d in near.items() if f != word and word not in _MEANS.get(f, ())]
         return (LOOSE + min(mine), min(mine)) if mine and (not others or min(others) > min(mine)) else None
@@ -364,8 +369,9 @@ class NameIndex:
         if loose:
             return 2 * STAGES, loose[:2]
         letters = "".join(words)
-        if 3 <= len(letters) <= 5 and all(len(w) == 1 for w in words) | (len(words) == 1) and kind in (None, "COMPANY"):
-            return 2 * STAGES + 1, [(SHORT * 5, e) for e in sorted(self.initials.get(letters, ()))][:2]
+        if 3 <= len(letters) <= 5 and all(len(w) == 1 for w in words) | (len(words) == 1):
+            known_by = {(SHORT * 5 if of == "COMPANY" else SHORT * 6, e) for e, of in self.initials.get(letters, ()) if kind is None or of is None or kind == of}
+            return 2 * STAGES + 1, sorted(known_by)[:2]
         return 0, []
 
 

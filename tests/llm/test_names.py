@@ -114,3 +114,17 @@ def test_blocks_share_their_words(spark):
     assert want and "Anna Jones" not in {typed[i] for i, _, _ in want}
     for block in (1, 5):
         assert {tuple(r) for r in link_names(aliases, entities, block=block).collect()} == want
+
+
+def test_names_beyond_the_test_table():
+    people = ["Joseph Arlett", "Samuel Arlett", "Andrew Brondby", "Daniel Brondby", "Catherine Cravik", "Dmitri Cravik"]
+    bodies = [("COMPANY", "Veltora Investments LLC"), ("GOVERNMENT", "Ministry of Finance of Dorland"), ("REGULATOR", "Dorland Securities Exchange Commission"), ("GOVERNMENT", "Dorland Department of Education")]
+    index = NameIndex([(n, "PERSON", n, []) for n in people] + [(n, k, n, []) for k, n in bodies])
+    for typed, want in (
+        ("Joe Arlett", people[0]), ("Sam Arlett", people[1]), ("Andy Brondby", people[2]), ("Brondby, Dan", people[3]), ("Kate Cravik", people[4]), ("Dima Cravik", people[5]),
+        ("Veltora Inv. LLC", "Veltora Investments LLC"), ("MOF Dorland", "Ministry of Finance of Dorland"), ("Dorland Sec. Exch Comm", "Dorland Securities Exchange Commission"), ("DSEC", "Dorland Securities Exchange Commission"), ("Dorland Dept of Educ", "Dorland Department of Education"),
+    ):
+        found = index.find(typed, None)
+        assert found and found[0][1] == want and (len(found) == 1 or found[0][0] < found[1][0]), typed
+    # a form of a word that no entity has doesn't stand in the way of a misspelling
+    assert NameIndex([("e", "COMPANY", "Veltora Chemicals plc", [])]).find("Veltora Cem. plc", None)
