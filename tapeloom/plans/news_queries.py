@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import identity, market, text
 from tapeloom.functions import taxonomy as t
-from tapeloom.operators import asof, news
+from tapeloom.operators import asof, known_at, news
 from tapeloom.tables import table
 
 AS_OF = "2023-01-07 12:00:00"
@@ -154,6 +154,15 @@ def jn3(spark, folder):
     return j.groupBy("day").agg(F.count("*").alias("n_links"), F.countDistinct("instrument_id").alias("n_instruments"))
 
 
+def jn3_each(spark, folder):
+    """As jn3, but each message is matched to the links at its own time, and the day only sums up: links and instruments by message, then by day."""
+    r = raw(spark, folder).select("news_id", "entity_id", "process_time")
+    links = table(spark, folder, "entity_instrument_links")
+    valid = known_at.validity_history(links.withColumn("link", F.struct("link_id", "instrument_id")), "entity_id", "link", "valid_from", "valid_to")
+    hits = known_at.match_known(r, "news_id", "entity_id", "process_time", valid).join(r.select("news_id", F.to_date("process_time").alias("day")), "news_id")
+    return hits.groupBy("day").agg(F.count("*").alias("n_links"), F.countDistinct("news_id").alias("n_messages"), F.countDistinct("value.instrument_id").alias("n_instruments"))
+
+
 def jn7(spark, folder):
     w = Window.partitionBy("event_id").orderBy("revision_number")
     r = _revisions(spark, folder).withColumns({"before": F.lag("revision_id").over(w), "new_sources": F.size(F.array_except("source_names", F.coalesce(F.lag("source_names").over(w), F.array().cast("array<string>"))))})
@@ -388,7 +397,7 @@ def nw8(spark, folder):
 
 
 QUERIES = {
-    "jn4_relations": jn4, "jn6_exposed": jn6, "jn13_mentions": jn13, "fn20_prj2_direction": fn20, "nw7_unprocessed": nw7, "nw8_scores": nw8,
+    "jn3_links_at_messages": jn3_each, "jn4_relations": jn4, "jn6_exposed": jn6, "jn13_mentions": jn13, "fn20_prj2_direction": fn20, "nw7_unprocessed": nw7, "nw8_scores": nw8,
     "src5_exists": src5, "src6_scan_as_of": src6, "src7_stream_scan": src7, "snk1_insert_status": snk1, "snk2_market_status": snk2, "snk3_summary": snk3, "snk5_invariants": snk5,
     "val1_causality": val1, "val2_shape": val2, "val3_ranges": val3, "val4_tickers": val4, "val5_tick": val5, "flt1_valid_links": flt1, "flt2_scope": flt2, "flt3_active": flt3,
     "jn1_alias": jn1, "jn2_ticker": jn2, "jn3_links_as_of": jn3, "jn5_candidates": jn5, "jn7_previous": jn7, "wn1_latest": wn1, "ag1_noisy_or": ag1, "ag2_weighted_mean": ag2, "ag3_exposure": ag3, "ag5_news_flow": ag5, "ag8_sources": ag8,
