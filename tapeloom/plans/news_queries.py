@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import identity, market, text
 from tapeloom.functions import taxonomy as t
 from tapeloom.operators import asof, known_at, news
+from tapeloom.session import cut_lineage
 from tapeloom.tables import table
 
 AS_OF = "2023-01-07 12:00:00"
@@ -396,8 +397,54 @@ def nw8(spark, folder):
     return s.select("revision_id", *[F.round(c, 8).alias(c) for c in ("severity", "novelty", "uncertainty")])
 
 
+def _names(spark, folder):
+    """(name, entity_id, canonical) of all names and official short names, in normal form."""
+    e = table(spark, folder, "entities")
+    every = e.select("entity_id", F.col("canonical_name").alias("typed"), F.lit(True).alias("canonical")).unionByName(e.select("entity_id", F.explode("aliases").alias("typed"), F.lit(False).alias("canonical")))
+    return every.select("entity_id", text.normal_form(F.col("typed")).alias("name"), "canonical").where("name <> ''")
+
+
+def jn13_short(spark, folder):
+    """As jn13, with the official short names."""
+    return news.mentions(normed(spark, folder).select("news_id", "n"), "news_id", "n", _names(spark, folder), "entity_id", "name")
+
+
+def nw4_tiers(spark, folder):
+    """As nw4, but by entity and with the names in the text: provider's ticker, provider's entity, name in the text, short name in the text, ticker in headline or body.
+
+    A ticker means the one entity its instrument belongs to at the message's time. What means several means none. Of an
+    entity's links the first tier stays; primary are all provider tickers, or else the first link of the message. The
+    tier of context phrases (3) needs sectors and countries of events, which no table holds.
+    """
+    r = cut_lineage(normed(spark, folder).select("news_id", "process_time", "text", "n", "provider_tickers", "provider_entities"))
+    instruments = table(spark, folder, "instruments").groupBy(F.upper(F.trim("ticker")).alias("k")).agg(F.countDistinct("instrument_id").alias("n_"), F.min("instrument_id").alias("instrument_id")).where("n_ = 1").drop("n_")
+    owned = known_at.validity_history(table(spark, folder, "entity_instrument_links"), "instrument_id", "entity_id", "valid_from", "valid_to")
+    names = cut_lineage(_names(spark, folder).groupBy("name").agg(F.countDistinct("entity_id").alias("n_"), F.min("entity_id").alias("target"), F.max("canonical").alias("canonical")).where("n_ = 1").drop("n_"))
+    bare = lambda c: F.replace(text.normal_form(F.col(c)), F.lit(" "), F.lit(""))
+
+    def owners(typed, tier, confidence):
+        seen = typed.groupBy("news_id", "k").agg(F.min("place").alias("place"), F.first("process_time").alias("process_time"))
+        seen = seen.join(instruments, "k").withColumn("look", F.concat_ws("|", "news_id", "k"))
+        one = known_at.match_known(seen, "look", "instrument_id", "process_time", owned).groupBy("look").agg(F.countDistinct("value").alias("n_"), F.min("value").alias("target")).where("n_ = 1")
+        return seen.join(one, "look").select("news_id", "target", F.lit(tier).alias("tier"), F.lit(confidence).alias("confidence"), F.struct(F.lit(tier).alias("step"), F.col("place").cast("int").alias("place"), F.lit("").alias("name")).alias("turn"), bare("k").alias("matched"))
+
+    one = owners(r.select("news_id", "process_time", F.posexplode(text.tickers(F.col("provider_tickers"))).alias("place", "k")), 1, 1.0)
+    two = r.select("news_id", F.posexplode("provider_entities").alias("place", "k")).withColumn("name", text.normal_form(F.col("k"))).join(names, "name")
+    two = two.select("news_id", "target", F.lit(2).alias("tier"), F.lit(0.95).alias("confidence"), F.struct(F.lit(2).alias("step"), F.col("place").cast("int").alias("place"), F.lit("").alias("name")).alias("turn"), bare("k").alias("matched"))
+    spoken = news.mentions(r, "news_id", "n", names.withColumn("key", F.col("name")), "key", "name").withColumnRenamed("key", "name").join(names, "name")
+    spoken = spoken.select("news_id", "target", F.when(F.col("canonical"), 4).otherwise(5).alias("tier"), F.when(F.col("canonical"), 0.9).otherwise(0.85).alias("confidence"), F.struct(F.lit(4).alias("step"), (-F.size(F.split("name", " "))).alias("place"), "name").alias("turn"), bare("name").alias("matched"))
+    first = Window.partitionBy("news_id", "target").orderBy("tier", F.desc("confidence"), "turn")
+    named = cut_lineage(one.unionByName(two).unionByName(spoken))
+    taken = named.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("news_id", "matched").unionByName(r.select("news_id", F.explode(text.tickers(F.col("provider_tickers"))).alias("k")).select("news_id", bare("k").alias("matched")))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][A-Z0-9.-]{1,7}\b"), F.lit(0)))
+    six = owners(r.select("news_id", "process_time", F.posexplode(words).alias("place", "k")).withColumn("matched", bare("k")).join(taken, ["news_id", "matched"], "left_anti"), 6, 0.8)
+    ordered = named.unionByName(six).withColumn("turn_", F.row_number().over(Window.partitionBy("news_id").orderBy("turn", "target")))
+    ranked = ordered.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return ranked.select("news_id", "target", "tier", "confidence", ((F.col("tier") == 1) | (F.col("turn_") == 1)).alias("is_primary"))
+
+
 QUERIES = {
-    "jn3_links_at_messages": jn3_each, "jn4_relations": jn4, "jn6_exposed": jn6, "jn13_mentions": jn13, "fn20_prj2_direction": fn20, "nw7_unprocessed": nw7, "nw8_scores": nw8,
+    "jn3_links_at_messages": jn3_each, "jn13_mentions_short": jn13_short, "nw4_entity_tiers": nw4_tiers, "jn4_relations": jn4, "jn6_exposed": jn6, "jn13_mentions": jn13, "fn20_prj2_direction": fn20, "nw7_unprocessed": nw7, "nw8_scores": nw8,
     "src5_exists": src5, "src6_scan_as_of": src6, "src7_stream_scan": src7, "snk1_insert_status": snk1, "snk2_market_status": snk2, "snk3_summary": snk3, "snk5_invariants": snk5,
     "val1_causality": val1, "val2_shape": val2, "val3_ranges": val3, "val4_tickers": val4, "val5_tick": val5, "flt1_valid_links": flt1, "flt2_scope": flt2, "flt3_active": flt3,
     "jn1_alias": jn1, "jn2_ticker": jn2, "jn3_links_as_of": jn3, "jn5_candidates": jn5, "jn7_previous": jn7, "wn1_latest": wn1, "ag1_noisy_or": ag1, "ag2_weighted_mean": ag2, "ag3_exposure": ag3, "ag5_news_flow": ag5, "ag8_sources": ag8,

@@ -27,3 +27,17 @@ def test_links_at_each_message(spark, tmp_path):
     write(spark, tmp_path, raw_news=(news, NEWS), entity_instrument_links=(links, LINKS))
     (row,) = q.jn3_each(spark, str(tmp_path)).collect()  # l1 counts at 10, 11 and 12, l2 at 9, 10 and 11
     assert (row.n_links, row.n_messages, row.n_instruments) == (6, 4, 2)
+
+
+def test_all_tiers(spark, tmp_path):
+    entities = [("e1", "Orvalon Mining Limited", ["Orvalon Mining"]), ("e2", "Skedi Foods plc", ["SFP"]), ("e3", "Velmoria", [])]
+    news = [
+        message("n1", 9, "Skedi Foods plc hires", "Orvalon Mining follows; no word from ORV"),
+        message("n2", 11, "Quiet day", "only ORV moved"),
+        message("n3", 9, "Quiet day", "only ORV moved"),
+        message("n4", 11, "Velmoria: SFP up", None, ["orv"], ["skedi foods PLC"]),
+    ]
+    write(spark, tmp_path, raw_news=(news, NEWS), entities=(entities, "entity_id string, canonical_name string, aliases array<string>"), instruments=([("i1", "ORV")], "instrument_id string, ticker string"), entity_instrument_links=([("l1", "e1", "i1", at(10), None)], LINKS))
+    got = {tuple(r) for r in q.nw4_tiers(spark, str(tmp_path)).collect()}
+    assert got == {("n1", "e2", 4, 0.9, True), ("n1", "e1", 5, 0.85, False), ("n2", "e1", 6, 0.8, True), ("n4", "e1", 1, 1.0, True), ("n4", "e2", 2, 0.95, False), ("n4", "e3", 4, 0.9, False)}
+    assert {tuple(r) for r in q.jn13_short(spark, str(tmp_path)).collect()} == {("n1", "e1"), ("n1", "e2"), ("n4", "e2"), ("n4", "e3")}
