@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,13 +74,24 @@ def block_orders(n_blocks: int, count: int, seed: int) -> list[list[int]]:
     return orders
 
 
-def permuted_means(rows: DataFrame, orders: list[list[int]], condition: Column) -> DataFrame:
+def block_sizes(n: int, size: int) -> list[int]:
+    """The sizes of the blocks that n rows fall into, the last one as short as it comes."""
+    return [min(size, n - start) for start in range(0, n, size)]
+
+
+def permuted_means(rows: DataFrame, orders: list[list[int]], condition: Column, sizes: Sequence[int] | None = None) -> DataFrame:
     """(permutation, statistic): the mean label where the condition holds, labels moved with whole blocks.
 
-    rows: (block, place, label, ...); blocks are of equal length, a shorter last one keeps its place. Every row goes to
+    rows: (block, place, label, ...); blocks are of equal length unless their sizes are given. Then rows have their rank
+    too, and a block starts where those before it in the new order end. Every row goes to
     its block's new position and meets the condition there by an equi-join, so nothing but sums is gathered.
     """
     spark = rows.sparkSession
+    if sizes is not None:
+        starts = [(p, source, start) for p, order in enumerate(orders) for source, start in zip(order, accumulate((sizes[b] for b in order), initial=0))]
+        moves = spark.createDataFrame(starts, "permutation int, block long, start long")
+        labels = rows.select(F.col("block").cast("long"), "place", "label").join(F.broadcast(moves), "block").select("permutation", (F.col("start") + F.col("place")).alias("rank"), "label")
+        return labels.join(rows.where(condition).select("rank"), "rank").groupBy("permutation").agg(F.avg("label").alias("statistic"))
     moves = spark.createDataFrame([(p, source, target) for p, order in enumerate(orders) for target, source in enumerate(order)], "permutation int, block long, target long")
     labels = rows.select(F.col("block").cast("long"), "place", "label").join(F.broadcast(moves), "block")
     where = rows.where(condition).select(F.col("block").cast("long").alias("target"), "place")

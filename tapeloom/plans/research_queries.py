@@ -315,21 +315,22 @@ def rs9(spark, folder):
 
 
 def _blocks(spark, folder):
+    """All labelled rows with their block and place, the last block as short as it comes, and the blocks' sizes."""
     r = _labelled(spark, folder).where("later IS NOT NULL").select("event_id", "at_us", "instrument", "side", (F.col("later") - F.col("mid")).alias("label"))
     ranked = research.global_rank(r, ["at_us", "instrument", "event_id"])
-    n = ranked.count() // BLOCK
-    return ranked.where(F.col("rank") < n * BLOCK).select("event_id", "side", F.floor(F.col("rank") / BLOCK).alias("block"), (F.col("rank") % BLOCK).alias("place"), "label"), n
+    sizes = research.block_sizes(ranked.count(), BLOCK)
+    return ranked.select("event_id", "side", F.floor(F.col("rank") / BLOCK).alias("block"), (F.col("rank") % BLOCK).alias("place"), "rank", "label"), sizes
 
 
 def rs10(spark, folder):
-    rows, n = _blocks(spark, folder)
-    return research.permuted_means(rows, research.block_orders(n, PERMUTATIONS, SEED), F.col("side") == "BUY")
+    rows, sizes = _blocks(spark, folder)
+    return research.permuted_means(rows, research.block_orders(len(sizes), PERMUTATIONS, SEED), F.col("side") == "BUY", sizes)
 
 
 def rs11_12(spark, folder):
-    rows, n = _blocks(spark, folder)
+    rows, sizes = _blocks(spark, folder)
     observed = rows.where("side = 'BUY'").agg(F.avg("label")).first()[0] or 0.0
-    return research.p_value(observed, research.permuted_means(rows, research.block_orders(n, PERMUTATIONS, SEED), F.col("side") == "BUY"))
+    return research.p_value(observed, research.permuted_means(rows, research.block_orders(len(sizes), PERMUTATIONS, SEED), F.col("side") == "BUY", sizes))
 
 
 def rs13_wn12(spark, folder):

@@ -64,8 +64,9 @@ def evaluate(spark: SparkSession, x: Experiment) -> dict[str, bytes]:
     tagged = research.embargo_and_purge(research.folds(lab, order, x.least_train, x.test), "instrument", "event_index", "label_end", x.embargo_events)
     roles = [r.asDict() for r in tagged.groupBy("fold", "role").agg(F.count("*").alias("n")).orderBy("fold", "role").collect()]
     ranked = research.global_rank(lab, order)
-    n = ranked.count() // x.block
-    rows = ranked.where(F.col("rank") < n * x.block).select("side", F.floor(F.col("rank") / x.block).alias("block"), (F.col("rank") % x.block).alias("place"), "label")
+    sizes = research.block_sizes(ranked.count(), x.block)
+    n = len(sizes)
+    rows = ranked.select("side", F.floor(F.col("rank") / x.block).alias("block"), (F.col("rank") % x.block).alias("place"), "rank", "label")
     orders = research.block_orders(n, x.permutations, x.seed)
     results = []
     for h in x.hypotheses:
@@ -74,7 +75,7 @@ def evaluate(spark: SparkSession, x: Experiment) -> dict[str, bytes]:
         if seen["n"] < 2:
             results.append({"name": h["name"], "status": "UNAVAILABLE", "n": seen["n"]})
             continue
-        r = research.p_value(seen["m"], research.permuted_means(rows, orders, condition)).first().asDict()
+        r = research.p_value(seen["m"], research.permuted_means(rows, orders, condition, sizes)).first().asDict()
         results.append({"name": h["name"], "status": "RUN", "n": seen["n"], "statistic": round(seen["m"], 10), **{k: None if v is None else round(v, 10) for k, v in r.items()}})
     tested = [r for r in results if r["status"] == "RUN"]
     if tested:

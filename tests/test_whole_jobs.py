@@ -2,6 +2,9 @@
 
 from datetime import UTC, datetime
 
+from pyspark.sql import functions as F
+
+from tapeloom.operators import research
 from tapeloom.plans import news_queries as q
 
 LINKS = "link_id string, entity_id string, instrument_id string, valid_from timestamp, valid_to timestamp"
@@ -41,3 +44,17 @@ def test_all_tiers(spark, tmp_path):
     got = {tuple(r) for r in q.nw4_tiers(spark, str(tmp_path)).collect()}
     assert got == {("n1", "e2", 4, 0.9, True), ("n1", "e1", 5, 0.85, False), ("n2", "e1", 6, 0.8, True), ("n4", "e1", 1, 1.0, True), ("n4", "e2", 2, 0.95, False), ("n4", "e3", 4, 0.9, False)}
     assert {tuple(r) for r in q.jn13_short(spark, str(tmp_path)).collect()} == {("n1", "e1"), ("n1", "e2"), ("n4", "e2"), ("n4", "e3")}
+
+
+def test_short_last_block(spark):
+    n, size = 11, 4
+    label, hit = [i * i for i in range(n)], [i % 3 == 1 for i in range(n)]
+    rows = spark.createDataFrame([(i, i // size, i % size, float(label[i]), hit[i]) for i in range(n)], "rank long, block long, place long, label double, hit boolean")
+    sizes = research.block_sizes(n, size)
+    assert sizes == [4, 4, 3] and research.block_sizes(3, 50) == [3]
+    orders = research.block_orders(len(sizes), 8, 3)
+    got = {r.permutation: r.statistic for r in research.permuted_means(rows, orders, F.col("hit"), sizes).collect()}
+    for p, order in enumerate(orders):
+        moved = [label[i] for b in order for i in range(b * size, min(n, b * size + size))]
+        kept = [x for x, h in zip(moved, hit, strict=True) if h]
+        assert abs(got[p] - sum(kept) / len(kept)) < 1e-9
