@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
@@ -126,6 +128,8 @@ def _shocks(spark, folder):
 
 
 SHOCK_HORIZONS, RECOVERY_HORIZONS, THRESHOLDS = (1, 5, 10, 25), (5, 10, 25), (0.25, 0.5, 0.75, 1.0)
+#: All horizons of the inventory; the queries compared with SQL have the shorter ones above.
+ALL_SHOCK_HORIZONS, ALL_RECOVERY_HORIZONS, ALL_LABELS = (1, 5, 10, 25, 50, 100), (5, 10, 25, 50, 100), (10, 25, 50, 100, 250)
 
 
 def sr2(spark, folder):
@@ -154,17 +158,17 @@ def _after(spark, folder, horizons):
     return shocks.at_indices(_shocks(spark, folder), _depths(states(spark, folder)), horizons)
 
 
-def sr7(spark, folder):
-    i = shocks.impacts(_after(spark, folder, SHOCK_HORIZONS))
+def sr7(spark, folder, horizons=SHOCK_HORIZONS):
+    i = shocks.impacts(_after(spark, folder, horizons))
     return i.select("shock_id", "horizon", "available", *[F.round(c, 8).alias(c) for c in ("impact", "directional_impact", "volume_impact", "aggression_impact")])
 
 
-def sr8(spark, folder):
-    return shocks.resiliency(_after(spark, folder, RECOVERY_HORIZONS)).select("shock_id", "horizon", F.round("ratio", 8).alias("ratio"))
+def sr8(spark, folder, horizons=RECOVERY_HORIZONS):
+    return shocks.resiliency(_after(spark, folder, horizons)).select("shock_id", "horizon", F.round("ratio", 8).alias("ratio"))
 
 
-def sr9(spark, folder):
-    r = shocks.resiliency(_after(spark, folder, RECOVERY_HORIZONS))
+def sr9(spark, folder, horizons=RECOVERY_HORIZONS):
+    r = shocks.resiliency(_after(spark, folder, horizons))
     return shocks.first_passage(r, THRESHOLDS).select("shock_id", "threshold", "events", F.round("seconds", 6).alias("seconds"))
 
 
@@ -176,9 +180,9 @@ def sr10(spark, folder):
     return shocks.pair_findings(_shocks(spark, folder)).select("shock_id", "prior_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-def sr11(spark, folder):
+def sr11(spark, folder, horizons=RECOVERY_HORIZONS):
     """Change of effectiveness and resiliency between the shocks of a pair, by horizon; both must be known."""
-    x = _after(spark, folder, RECOVERY_HORIZONS)
+    x = _after(spark, folder, horizons)
     e = shocks.impacts(x).select("shock_id", "horizon", "effectiveness").join(shocks.resiliency(x).select("shock_id", "horizon", "ratio"), ["shock_id", "horizon"])
     p = shocks.nearest_prior(_shocks(spark, folder), within_seconds=PAIR_S).select("shock_id", "prior_id")
     j = p.join(e, "shock_id").join(e.select(F.col("shock_id").alias("prior_id"), "horizon", F.col("effectiveness").alias("e1"), F.col("ratio").alias("r1")), ["prior_id", "horizon"]).where("effectiveness IS NOT NULL AND e1 IS NOT NULL")
@@ -187,8 +191,8 @@ def sr11(spark, folder):
     return j.select("shock_id", "horizon", F.round(de, 8).alias("d_effectiveness"), F.round(m.relative_change(F.col("e1"), F.col("effectiveness")), 6).alias("relative"), m.trend(de).alias("trend"), F.round(F.col("ratio") - F.col("r1"), 8).alias("d_ratio"), F.round(a2 - a1, 3).alias("d_absorption"))
 
 
-def rs3(spark, folder):
-    return sr11(spark, folder).where("d_effectiveness < 0 AND d_ratio > 0").select("shock_id", "horizon")
+def rs3(spark, folder, horizons=RECOVERY_HORIZONS):
+    return sr11(spark, folder, horizons).where("d_effectiveness < 0 AND d_ratio > 0").select("shock_id", "horizon")
 
 
 def jn11(spark, folder):
@@ -285,6 +289,15 @@ def rs4(spark, folder):
     return r.select("event_id", (F.round(reversal, 8) + 0.0).alias("reversal"), (reversal > 0).alias("success"), F.round((F.col("highest") - F.col("mid")) / F.col("mid"), 8).alias("favourable"), reason.alias("unavailable"))
 
 
+def rs4_all(spark, folder):
+    """As rs4, one row an event and horizon."""
+    f = s.forward(states(spark, folder), "instrument", "event_index", "mid", ALL_LABELS)
+    r = f.join(states(spark, folder).select("instrument", "event_index", "event_id", "side"), ["instrument", "event_index"]).where("side IN ('BUY', 'SELL')")
+    reversal = F.when(F.col("side") == "BUY", -1).otherwise(1) * (F.col("later") - F.col("mid")) / F.col("mid")
+    reason = F.when(F.col("later").isNull(), "MISSING_FUTURE_EVENT")
+    return r.select("event_id", "horizon", (F.round(reversal, 8) + 0.0).alias("reversal"), (reversal > 0).alias("success"), F.round((F.col("highest") - F.col("mid")) / F.col("mid"), 8).alias("favourable"), reason.alias("unavailable"))
+
+
 def rs5(spark, folder):
     r = _labelled(spark, folder)
     return r.agg(F.count("*").alias("n"), F.count("later").alias("n_labelled"), F.countDistinct("instrument").alias("n_markets"), F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"))
@@ -347,9 +360,9 @@ def rs14(spark, folder):
     return g.withColumn("status", F.when(F.col("n") < 2, "UNAVAILABLE").otherwise("RUN"))
 
 
-def prj1(spark, folder):
-    i = shocks.impacts(_after(spark, folder, SHOCK_HORIZONS))
-    return i.groupBy("shock_id").agg(*[F.round(F.max(F.when(F.col("horizon") == h, F.col("directional_impact"))), 8).alias(f"impact_h{h}") for h in SHOCK_HORIZONS])
+def prj1(spark, folder, horizons=SHOCK_HORIZONS):
+    i = shocks.impacts(_after(spark, folder, horizons))
+    return i.groupBy("shock_id").agg(*[F.round(F.max(F.when(F.col("horizon") == h, F.col("directional_impact"))), 8).alias(f"impact_h{h}") for h in horizons])
 
 
 def tk3(spark, folder):
@@ -391,6 +404,9 @@ def sr16(spark, folder):
 
 
 QUERIES = {
+    **{f"{name}_all_horizons": partial(query, horizons=ALL_SHOCK_HORIZONS) for name, query in (("sr7_fn21_impacts", sr7), ("prj1_wide", prj1))},
+    **{f"{name}_all_horizons": partial(query, horizons=ALL_RECOVERY_HORIZONS) for name, query in (("sr8_resiliency", sr8), ("sr9_wn13_recovery", sr9), ("sr11_sr17_comparison", sr11), ("rs3_failed_aggression", rs3))},
+    "rs4_labels_all_horizons": rs4_all,
     "sr16_toxicity": sr16,
     "pv1_shape": pv1, "pv2_price": pv2, "pv3_flags": pv3, "pv4_fingerprints": pv4, "pv5_sequences": pv5, "pv6_events": pv6, "pv7_dense_sequence": pv7, "pv8_process_time": pv8, "pv9_boundaries": pv9, "pv10_gate": pv10, "fn11_sessions": fn11, "fn12_timestamps": fn12, "ag10_inspection": ag10, "jn12_mapping": jn12,
     "jn8_reconcile": jn8, "sr1_observations": sr1, "sr2_sr4_aggression": sr2, "sr3_reach": sr3, "sr5_thresholds": sr5, "sr6_status": sr6, "sr7_fn21_impacts": sr7, "sr8_resiliency": sr8, "sr9_wn13_recovery": sr9, "jn9_nearest_prior": jn9, "sr10_pair_findings": sr10, "sr11_sr17_comparison": sr11, "sr15_flow_after": sr15, "rs3_failed_aggression": rs3, "jn10_range": jn10, "jn11_forward_asof": jn11,

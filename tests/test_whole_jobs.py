@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators import research
 from tapeloom.plans import news_queries as q
+from tapeloom.plans import research_queries as rq
 
 LINKS = "link_id string, entity_id string, instrument_id string, valid_from timestamp, valid_to timestamp"
 NEWS = "news_id string, source string, source_type string, headline string, body string, process_time timestamp, provider_tickers array<string>, provider_entities array<string>, entity_id string"
@@ -58,3 +59,16 @@ def test_short_last_block(spark):
         moved = [label[i] for b in order for i in range(b * size, min(n, b * size + size))]
         kept = [x for x, h in zip(moved, hit, strict=True) if h]
         assert abs(got[p] - sum(kept) / len(kept)) < 1e-9
+
+
+def test_late_recovery_and_all_labels(spark, monkeypatch):
+    depth = [100.0] * 5 + [40.0] + [60.0] * 40 + [100.0] * 300
+    states = spark.createDataFrame([("m", i, i, i * 1_000_000, "BUY", 10.0 + i % 7, d) for i, d in enumerate(depth)], "instrument string, event_index long, event_id long, at_us long, side string, mid double, depth double")
+    monkeypatch.setattr(rq, "states", lambda *_: states)
+    got = {(r.event_id, r.horizon): r.reversal for r in rq.QUERIES["rs4_labels_all_horizons"](spark, "").collect()}
+    assert {h for _, h in got} == {10, 25, 50, 100, 250} and got[0, 250] == round(-(250 % 7) / 10, 8) and got[340, 10] is None
+
+    after = spark.createDataFrame([("s", 25, 0.2, 25.0), ("s", 50, 1.0, 50.0)], "shock_id string, horizon int, ratio double, seconds double")
+    monkeypatch.setattr(rq, "_after", lambda spark, folder, horizons: after.where(F.col("horizon").isin(*horizons)))
+    monkeypatch.setattr(rq.shocks, "resiliency", lambda x: x)
+    assert {r.threshold: r.events for r in rq.QUERIES["sr9_wn13_recovery_all_horizons"](spark, "").collect()}[1.0] == 50
