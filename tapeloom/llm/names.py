@@ -1,18 +1,21 @@
 """Names as people type them, linked to the entity they mean.
 
-The words of the entities' names are laid out in tries, one a kind of word and block of entities, and each word of a typed name walks
-them as a Levenshtein automaton: bit sets of the positions reached with 0, 1, 2 edits (a swap of neighbours is one),
-so a branch is left as soon as no position is alive. The neighbours of its rare words give a name's candidates. For
-each of them the typed words are matched to the entity's in any order, each word to one slot, by spelling, short form, familiar
-form or initial; what is left over on either side decides whether the name can mean it.
+The words of the entities' names are laid out in a trie, one a block of entities, and the words of typed names that are
+no words of their own walk it as Levenshtein automata: bit sets of the positions reached with 0, 1, 2 edits (a swap of
+neighbours is one), so a branch is left as soon as no position is alive. The neighbours of its rare words give a
+name's candidates. For each of them the typed words are matched to the entity's in any order, each word to one slot, by
+spelling, short form, familiar form or initial; what is left over on either side decides whether the name can mean it.
+All readings of a name (as typed, words joined or parted, letters as initials) are weighed by cost, and a reading is
+left out only where it must cost more than one already found.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Generator, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -23,22 +26,23 @@ from tapeloom.llm.name_lexicon import EXPANSIONS, FAMILIAR, LEGAL_FORMS, SHORT_F
 
 #: Entities laid out and broadcast at a time, about 1 kB each in a worker.
 ENTITY_BLOCK = 50_000
-#: The edits allowed in a whole name, and the words looked at (a name of more means nobody).
-MOST_EDITS, MOST_WORDS = 3, 12
-LONGEST_NAME = 300
+#: The edits allowed in a whole name, and the words that may be left over: initials and legal forms that the entity lacks, misspelt titles.
+MOST_EDITS, MOST_EXTRA = 3, 6
 PREFIX_LEAST = 3
-#: More than the readings of a name, two stages each.
-STAGES = 1_000_000
-#: Names a task looks up, at about a millisecond each.
-ROWS_PER_TASK = 50_000
+#: Distinct names a task looks up, at about a tenth of a millisecond each.
+ROWS_PER_TASK = 20_000
+#: Copies of the table of hits, over which a name that very many rows have is spread.
+SALT = 16
 
 _LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th", "ð": "d", "’": "'"})
-_CAMEL = re.compile(r"(?<=[a-zà-öø-ÿāăąćčďđęěğłńňőœřśšťůűźżž])(?=[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĘĚĞŁŃŇŐŒŘŚŠŤŮŰŹŻŽ])")
+_CAMEL = re.compile(r"(?<=[a-zà-öø-ÿāăąćčďđęěğłńňőœřśšťůűźżž])(?=[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĘĚĞŁŃŇŐŒŘŚŠŤŮŰŹŻŽ]\w)")
 _DOTTED = re.compile(r"(?<![^\W_])(?:[^\W\d_]\.){2,}(?:[^\W\d_](?![^\W_]))?")
 _WORDS = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     text = unicodedata.normalize("NFKD", text.lower().translate(_LETTERS))
     return "".join(c for c in text if not unicodedata.combining(c)).translate(_LETTERS)
 
@@ -50,7 +54,7 @@ def _undotted(m: re.Match[str]) -> str:
 
 
 def typed_words(name: str) -> list[str]:
-    """The words of a name, folded; s.a. is one word, and a capital after a small letter begins a new one."""
+    """The words of a name, folded; s.a. is one word, and a capital after a small letter begins a new one unless it stands alone, as in MoF."""
     name = _CAMEL.sub(" ", name)
     name = fold(name).replace("'", "")
     name = _DOTTED.sub(_undotted, name)
@@ -126,19 +130,6 @@ def automaton(word: str, k: int) -> tuple[Callable[[State, State, str, str], Sta
     return step, tuple((1 << d + 1) - 1 & full for d in range(k + 1))
 
 
-def edits_between(typed: str, word: str, k: int) -> int | None:
-    """The edits from one to the other if they are at most k: the automaton run along a single word."""
-    if abs(len(typed) - len(word)) > k:
-        return None
-    step, now = automaton(typed, k)
-    before, last = (0,) * (k + 1), ""
-    for c in word:
-        now, before, last = step(now, before, c, last), now, c
-        if not now[k]:
-            return None
-    return next((d for d in range(k + 1) if now[d] >> len(typed) & 1), None)
-
-
 _LEGAL: dict[str, str] = {}
 for _word, _forms in LEGAL_FORMS.items():
     for _form in _forms:
@@ -148,19 +139,17 @@ for _table in (LEGAL_FORMS, SHORT_FORMS, FAMILIAR):
     for _word, _forms in _table.items():
         for _form in _forms:
             _MEANS[_form].add(_word)
-_FORMS = Trie()
-for _form in _MEANS:
-    if len(_form) > 3:
-        _FORMS.add(_form)
-_NOISE = Trie()
-for _word in (*TITLES, *SILENT):
-    if len(_word) > 2:
-        _NOISE.add(_word)
+_GIVEN = {*FAMILIAR, *(f for forms in FAMILIAR.values() for f in forms)}
+#: Titles and articles that may be misspelt.
+_NOISE = {w for w in (*TITLES, *SILENT) if len(w) > 2}
 
 _NOBODY: frozenset[int] = frozenset()
 #: What it costs to leave a word of the entity's out, by role. None: it can't be left out.
 OMITTED = {"core": None, "plain": None, "given": None, "business": 0.6, "legal": 0.1, "middle": 0.1}
-SHORT, EXTRA_INITIAL, INITIAL, WRONG_LEGAL, LOOSE = 0.2, 0.3, 0.5, 0.7, 0.5
+SHORT, ABBREVIATED, CONTRACTED, EXTRA_INITIAL, INITIAL, WRONG_LEGAL, LOOSE = 0.2, 0.3, 1.3, 0.3, 0.5, 0.7, 0.5
+#: What it costs to read words otherwise than they are written: joined, parted or taken as initials; or as a misspelt title.
+OTHERWISE, ACRONYM, NOISE, EDIT = 0.3, 0.4, 1.0, 1.0
+ALL_INITIALS = {True: 1.0, False: 1.2}
 
 
 def slots_of(name: str, kind: str | None) -> list[tuple[str, str]]:
@@ -184,7 +173,7 @@ class Vocabulary:
     def __init__(self, words: Iterable[tuple[str, bool]]) -> None:
         """words: (word, whether it stands anywhere but as the core of a name)."""
         self.known: set[str] = set()
-        self.words = Trie()
+        self.words: set[str] = set()
         for word, other in words:
             self.known.add(word)
             if other:
@@ -198,6 +187,42 @@ def vocabulary_of(name: str | None, kind: str | None) -> Iterator[tuple[str, boo
         yield word, role not in ("core", "plain")
 
 
+def contracts(typed: str, word: str) -> bool:
+    """The typed word is a shortening: its letters stand in the word in this order, the first one first, and it lacks a third of them or more."""
+    if typed[0] != word[0] or not PREFIX_LEAST <= len(typed) <= len(word) * 2 // 3:
+        return False
+    rest = iter(word)
+    return all(c in rest for c in typed)
+
+
+#: Endings of familiar names, which follow on a beginning of the given name, its last letter doubled or not.
+_FAMILIAR_END = re.compile(r"(?:ie|ey|y|i)$")
+
+
+def is_familiar(typed: str, given: str) -> bool:
+    """The beginning of a given name, with or without a familiar ending, as in Chris, Danny, Andy. Of what the lexicon has, it alone decides."""
+    if len(typed) < 3 or typed in _GIVEN:
+        return False
+    if given.startswith(typed):
+        return len(typed) + 2 <= len(given)
+    stem = _FAMILIAR_END.sub("", typed)
+    if stem == typed:
+        return False
+    if len(stem) > 2 and stem[-1] == stem[-2]:
+        stem = stem[:-1]
+    return len(stem) > 1 and given.startswith(stem) and len(stem) + 2 <= len(given)
+
+
+#: A request to find the words within so many edits of a typed one.
+Wanted = list[tuple[str, int]]
+Hits = list[tuple[float, str]]
+
+
+def radius(typed: str) -> int:
+    """How far a word may be misspelt at all, whatever word it stands for."""
+    return 0 if len(typed) < 3 else 1 if len(typed) == 3 else 2
+
+
 class NameIndex:
     """A block of entities. Without a vocabulary the block is all there is."""
 
@@ -207,86 +232,106 @@ class NameIndex:
         self.known, self.words = shared.known, shared.words
         self.slots: list[tuple[str, str | None, list[tuple[str, str]]]] = []
         self.by_word: dict[str, set[int]] = defaultdict(set)
-        self.cores = Trie()
         self.initials: dict[str, set[tuple[str, str | None]]] = defaultdict(set)
         self.official: dict[str, set[tuple[str, str | None]]] = defaultdict(set)
-        self.memo: dict = {}
+        self.acronyms: dict[int, dict[str, tuple[str, ...]]] = {}
+        self.near: dict[tuple[str, int], dict[str, int]] = {}
+        mine: set[str] = set()
+        self.most_slots = self.longest = 0
         for entity, kind, name, short in entities:
             slots = slots_of(name or "", kind)
             if not slots:
                 continue
             k = len(self.slots)
             self.slots.append((entity, kind, slots))
+            self.most_slots = max(self.most_slots, len(slots))
             for word, role in slots:
+                mine.add(word)
                 if role in ("core", "plain"):
                     self.by_word[word].add(k)
-                    self.cores.add(word)
             if kind == "COMPANY":
                 self.initials["".join(w[0] for w, r in slots)].add((entity, kind))
                 self.initials["".join(w[0] for w, r in slots if r != "legal" or w not in ("ag", "plc", "sa"))].add((entity, kind))
             elif kind != "PERSON" and len(slots) > 1:
                 self.initials["".join(w[0] for w, _ in slots)].add((entity, kind))
                 self.initials["".join(w[0] for w in typed_words(name))].add((entity, kind))
+                self.acronyms[k] = acronyms_of(typed_words(name))
             for a in (name, *(short or ())):
                 self.official[" ".join(typed_words(a or ""))].add((entity, kind))
+        self.longest = max(map(len, (*mine, *self.words, *_MEANS)), default=0)
+        self.trie = Trie()
+        for word in sorted(mine | self.words | {f for f in _MEANS if len(f) > 3} | _NOISE):
+            self.trie.add(word)
 
-    def cost(self, typed: str, word: str, role: str, loosely: bool = False) -> tuple[float, int] | None:
-        """(cost, edits) of the typed word standing for the entity's."""
-        key = (typed, word, role, loosely)
-        if key not in self.memo:
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            found = self._cost(typed, word, role)
-            self.memo[key] = self._loose(typed, word, role) if found is None and loosely else found
-        return self.memo[key]
+    def look_up(self, wanted: Wanted) -> None:
+        """Find the neighbours of typed words in the trie; nothing can be weighed as misspelt before."""
+        for key in wanted:
+            if key not in self.near:
+                self.near[key] = dict(self.trie.near(*key))
 
     def _loose(self, typed: str, word: str, role: str) -> tuple[float, int] | None:
         """Two edits in a short word, if no other word is as near."""
         if role in ("core", "plain") or typed in self.known or len(typed) < 3:
             return None
-        near = {f: d for trie in (self.words, _FORMS) for f, d in trie.near(typed, 2) if f in self.known}
+        near = {f: d for f, d in self.near.get((typed, 2), {}).items() if f in self.known and (f in self.words or f in _MEANS)}
         mine = [d for f, d in near.items() if len(f) > 3 and (f == word or word in _MEANS.get(f, ()))]
         others = [d for f, d in near.items() if f != word and word not in _MEANS.get(f, ())]
         return (LOOSE + min(mine), min(mine)) if mine and (not others or min(others) > min(mine)) else None
 
     def _cost(self, typed: str, word: str, role: str) -> tuple[float, int] | None:
-        if typed == word:
-            return 0.0, 0
+        """(cost, edits) of the typed word standing for the entity's."""
         if role in ("given", "middle") and (len(typed) == 1 or len(word) == 1):
             return (INITIAL, 0) if typed[0] == word[0] else None
         if word in _MEANS.get(typed, ()):
             return SHORT, 0
-        if role in ("business", "plain") and len(typed) >= PREFIX_LEAST and word.startswith(typed) and (word in SHORT_FORMS or len(typed) > 4):
+        general = role in ("business", "plain")
+        if general and len(typed) >= PREFIX_LEAST and word.startswith(typed) and (word in SHORT_FORMS or len(typed) > 4):
             return SHORT, 0
         if typed in self.known:  # a word of its own is no misspelling of another
             return None
-        if len(typed) > 2:
-            for form, d in _FORMS.near(typed, 1):
-                if word in _MEANS[form] and d:
-                    return SHORT + d, d
-        k = min(2 if role == "plain" and len(word) == 6 else edits_allowed(word), len(typed) - 2)
-        d = edits_between(typed, word, k) if k > 0 else None
-        return None if d is None else (float(d), d)
+        if role == "given" and is_familiar(typed, word):
+            return ABBREVIATED, 0
+        if general and contracts(typed, word):
+            return ABBREVIATED if word.startswith(typed) else CONTRACTED, 0
+        near = self.near.get((typed, radius(typed)))
+        if not near:
+            return None
+        for form, d in near.items():
+            if d == 1 and form in _MEANS and word in _MEANS[form] and len(form) > 3:
+                return SHORT + d, d
+        d = near.get(word)
+        return None if d is None or d > min(2 if role == "plain" and len(word) == 6 else edits_allowed(word), len(typed) - 2) else (float(d), d)
 
     def fit(self, typed: list[str], slots: list[tuple[str, str]], loosely: bool = False) -> float | None:
         """The least cost of matching every typed word to a slot of its own, in any order."""
         choices = []
-        has_middle = any(role == "middle" for _, role in slots) or slots[0][1] != "given"
+        base, extra = 0.0, 0
+        person = slots[0][1] == "given"
+        no_middle = person and all(role != "middle" for _, role in slots)
+        named = slots[0][1] != "plain"
         for t in typed:
-            row = [(c[0], c[1], i) for i, (w, role) in enumerate(slots) if (c := self.cost(t, w, role, loosely))]
-            if t in _LEGAL and all(role != "plain" for _, role in slots):
-                row.append((WRONG_LEGAL, 0, -1))
-            if len(t) == 1 and not has_middle:
-                row.append((EXTRA_INITIAL, 0, -1))
-            if not row:
+            row = []
+            for i, (w, role) in enumerate(slots):
+                if t == w:
+                    row.append((0.0, 0, i))
+                elif (c := self._cost(t, w, role)) or loosely and (c := self._loose(t, w, role)):
+                    row.append((*c, i))
+            free = WRONG_LEGAL if named and t in _LEGAL else EXTRA_INITIAL if no_middle and len(t) == 1 else None
+            if row:
+                if free is not None:
+                    row.append((free, 0, -1))
+                choices.append(sorted(row))
+            elif free is None:
                 return None
-            choices.append(sorted(row))
+            else:
+                base += free
+                extra += 1
         best: float | None = None
         left_out = [OMITTED[role] for _, role in slots]
 
-        def place(n: int, used: int, cost: float, edits: int) -> None:
+        def place(n: int, used: int, cost: float, edits: int, extra: int) -> None:
             nonlocal best
-            if edits > MOST_EDITS or best is not None and cost >= best:
+            if edits > MOST_EDITS or extra > MOST_EXTRA or best is not None and cost >= best:
                 return
             if n == len(choices):
                 for i, x in enumerate(left_out):
@@ -299,80 +344,151 @@ class NameIndex:
                 return
             for c, d, i in choices[n]:
                 if i < 0 or not used >> i & 1:
-                    place(n + 1, used | (1 << i if i >= 0 else 0), cost + c, edits + d)
+                    place(n + 1, used | (1 << i if i >= 0 else 0), cost + c, edits + d, extra + (i < 0))
 
-        place(0, 0, 0.0, 0)
+        place(0, 0, base, 0, extra)
         return best
 
-    def _candidates(self, typed: list[str], kind: str | None, exactly: bool, loosely: bool = False) -> Iterator[tuple[float, str]]:
-        seen = set()
+    def _candidates(self, typed: list[str], kind: str | None, loosely: bool = False) -> Iterator[tuple[float, str]]:
+        """The entities that the words can mean, by all that has been looked up."""
+        seen: set[int] = set()
         for t in typed:
             seen |= self.by_word.get(t, _NOBODY)
             for word in _MEANS.get(t, ()):
                 seen |= self.by_word.get(word, _NOBODY)
-            if not exactly and t not in self.known and len(t) > 2:
-                for word, _ in self.cores.near(t, edits_allowed(t + "x")):
-                    seen |= self.by_word[word]
+            if t not in self.known:
+                most = edits_allowed(t + "x")
+                for word, d in self.near.get((t, radius(t)), {}).items():
+                    if d <= most and word in self.by_word:
+                        seen |= self.by_word[word]
         for k in seen:
             entity, of, slots = self.slots[k]
             if kind is None or of is None or kind == of:
                 cost = self.fit(typed, slots, loosely)
+                for i, t in enumerate(typed) if k in self.acronyms else ():
+                    run = self.acronyms[k].get(t)
+                    whole = run and self.fit([*typed[:i], *run, *typed[i + 1 :]], slots, loosely)
+                    if whole is not None and run and (cost is None or whole + ACRONYM < cost):
+                        cost = whole + ACRONYM
                 if cost is not None:
                     yield cost, entity
 
-    def _readings(self, words: list[str]) -> Iterator[list[str]]:
-        """The words as typed; then with a dotted word taken as initials, two words as one, one word as two."""
-        yield words
+    def _otherwise(self, words: list[str], parted: set[tuple[str, str]]) -> Iterator[list[str]]:
+        """A word taken as initials, two words as one, one word as the two of a known cut."""
         for i, w in enumerate(words):
             if 1 < len(w) <= 3:
                 yield [*words[:i], *w, *words[i + 1 :]]
         for i in range(len(words) - 1):
-            if len(words[i]) == 1 or len(words[i + 1]) == 1:  # an initial is no part of the word beside it
-                continue
-            yield [*words[:i], words[i] + words[i + 1], *words[i + 2 :]]
+            if len(words[i]) > 1 and len(words[i + 1]) > 1:  # an initial is no part of the word beside it
+                yield [*words[:i], words[i] + words[i + 1], *words[i + 2 :]]
         for i, w in enumerate(words):
-            for cut in range(len(w) - 2, 2, -1) if len(w) > 6 else ():
-                a, b = w[:cut], w[cut:]
-                if a in self.known or b in self.known or len(b) > 3 and self.words.near(b, 1):
+            for a, b in self._cuts(w):
+                if a in self.known or b in self.known or (a, b) in parted:
                     yield [*words[:i], a, b, *words[i + 1 :]]
 
-    def find(self, name: str, kind: str | None) -> list[tuple[float, str]]:
+    def _cuts(self, word: str) -> Iterator[tuple[str, str]]:
+        """The ways to part a word of which no part is longer than any word that it could be."""
+        if 6 < len(word) <= 2 * self.longest + 4:
+            for cut in range(len(word) - 2, 2, -1):
+                yield word[:cut], word[cut:]
+
+    def _strange(self, words: Iterable[str]) -> Wanted:
+        return [(w, radius(w)) for w in dict.fromkeys(words) if len(w) > 2 and w not in self.known and len(w) <= self.longest + 2]
+
+    def find(self, name: str, kind: str | None) -> Hits:
         """(cost, entity), the cheapest first; at most two, of which the second only tells whether the first stands alone."""
-        return self.staged(name, kind)[1]
+        return self.find_all([(name, kind)])[0]
+
+    def find_all(self, names: list[tuple[str, str | None]]) -> list[Hits]:
+        """find() for many names: what they want looked up is looked up together."""
+        if len(self.near) > 500_000:
+            self.near.clear()
+        out: list[Hits] = [[] for _ in names]
+        searches = [(i, self._search(*n)) for i, n in enumerate(names)]
+        while searches:
+            wanted: dict[tuple[str, int], None] = {}
+            going = []
+            for i, search in searches:
+                try:
+                    wanted.update(dict.fromkeys(next(search)))
+                    going.append((i, search))
+                except StopIteration as end:
+                    out[i] = end.value
+            self.look_up(list(wanted))
+            searches = going
+        return out
 
-    def staged(self, name: str, kind: str | None) -> tuple[int, list[tuple[float, str]]]:
-        """The number of the first stage with a hit, and its hits as by find(). A hit of an earlier stage goes before any of a later one, in whatever block."""
-        if len(name) > LONGEST_NAME:
-            return 0, []
-        exact = {e for e, of in self.official.get(" ".join(typed_words(name)), ()) if kind is None or of is None or of == kind}
-        if exact:
-            return 0, [(0.0, e) for e in sorted(exact)][:2]
+    def _search(self, name: str, kind: str | None) -> Generator[Wanted, None, Hits]:
+        """All readings of a name are weighed by cost; what must cost more than the best so far is left out, and nothing else."""
         words = typed_words(name)
-        if not words or len(words) > MOST_WORDS:
-            return 0, []
+        exact = {e for e, of in self.official.get(" ".join(words), ()) if kind is None or of is None or of == kind}
+        if exact:
+            return [(0.0, e) for e in sorted(exact)][:2]
         kept = [x for w in words for x in EXPANSIONS.get(w, (w,)) if x not in SILENT and x not in TITLES]
-        for noise in (False, True):
-            if noise:  # a misspelt title or article
-                trimmed = [w for w in kept if not (len(w) > 2 and w not in self.known and _NOISE.near(w, 1))]
-                if trimmed == kept:
-                    break
-                kept = trimmed
-            for n, reading in enumerate(self._readings(kept)):
-                for exactly in (True, False):
-                    best: dict[str, float] = {}
-                    for cost, entity in self._candidates(reading, kind, exactly):
-                        if cost < best.get(entity, 1e9):
-                            best[entity] = cost
-                    if best:
-                        return STAGES * noise + 2 * n + (1 if exactly else 2), sorted((c, e) for e, c in best.items())[:2]
-        loose = sorted(self._candidates(kept, kind, True, True))
-        if loose:
-            return 2 * STAGES, loose[:2]
-        letters = "".join(words)
-        if 3 <= len(letters) <= 5 and all(len(w) == 1 for w in words) | (len(words) == 1):
-            known_by = {(SHORT * 5 if of == "COMPANY" else SHORT * 6, e) for e, of in self.initials.get(letters, ()) if kind is None or of is None or kind == of}
-            return 2 * STAGES + 1, sorted(known_by)[:2]
-        return 0, []
+        best: dict[str, float] = {}
+
+        def weigh(reading: list[str], more: float = 0.0, loosely: bool = False) -> None:
+            for cost, entity in self._candidates(reading, kind, loosely):
+                cost = round(cost + more, 6)
+                if cost < best.get(entity, 1e9):
+                    best[entity] = cost
+
+        def done(least: float) -> bool:
+            """What is still to come costs at least so much."""
+            return bool(best) and min(best.values()) < least
+
+        def result() -> Hits:
+            return sorted((c, e) for e, c in best.items())[:2]
+
+        if sum(len(x) for x in words) <= 5:
+            letters = "".join(words)
+            if 3 <= len(letters) and (len(words) == 1 or all(len(w) == 1 for w in words)):
+                for e, of in self.initials.get(letters, ()):
+                    if kind is None or of is None or kind == of:
+                        best[e] = ALL_INITIALS[of == "COMPANY"]
+        if len(kept) > self.most_slots + 1 + 2 * MOST_EXTRA:  # two may be one, others left over; each of the rest needs a slot of its own
+            return result()
+        weigh(kept)
+        if done(OTHERWISE):
+            return result()
+        others = list(self._otherwise(kept, set()))
+        for reading in others:
+            weigh(reading, OTHERWISE)
+        if done(EDIT):
+            return result()
+        yield self._strange(kept)
+        weigh(kept)
+        trimmed = [w for w in kept if w in self.known or not any(d < 2 and x in _NOISE for x, d in self.near.get((w, radius(w)), {}).items())]
+        trimmed = trimmed if 0 < len(kept) - len(trimmed) <= MOST_EXTRA else []
+        if trimmed:
+            weigh(trimmed, NOISE)
+        if done(OTHERWISE + EDIT):
+            return result()
+        every = [kept, trimmed] if trimmed else [kept]
+        halves = {(b, 1) for w in {w for r in every for w in r} for a, b in self._cuts(w) if len(b) > 3 and a not in self.known and b not in self.known and len(b) <= self.longest + 1}
+        yield list(halves)
+        parted = {(a, b) for w in {w for r in every for w in r} for a, b in self._cuts(w) if (b, 1) in halves and any(x in self.words for x in self.near[b, 1])}
+        readings = [(r, OTHERWISE + NOISE * (e is trimmed)) for e in every for r in self._otherwise(e, parted)]
+        yield self._strange(w for r, _ in readings for w in r)
+        for reading, more in readings:
+            weigh(reading, more)
+        if done(LOOSE + EDIT):
+            return result()
+        yield [(w, 2) for w in dict.fromkeys(kept) if 2 < len(w) <= self.longest + 2 and w not in self.known]
+        weigh(kept, 0.0, True)
+        return result()
+
+
+def acronyms_of(words: list[str]) -> dict[str, tuple[str, ...]]:
+    """The initials of two to five words on end, with and without the silent ones, where they aren't all of the name."""
+    out: dict[str, tuple[str, ...]] = {}
+    for i in range(len(words)):
+        for j in range(i + 2, min(i + 5, len(words)) + 1):
+            run = tuple(w for w in words[i:j] if w not in SILENT)
+            if len(run) > 1 and j - i < len(words):
+                out["".join(w[0] for w in run)] = run
+                out["".join(w[0] for w in words[i:j])] = run
+    return out
 
 
 def _emit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,24 +498,25 @@ def _emit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.utf8()), pa.array(columns[1], pa.bool_())], names=["word", "other"])
 
 
-def _matcher(packed: Broadcast, shared: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: The last index built in this worker, with its key: the tasks of a block share it.
+_BUILT: dict[str, NameIndex] = {}
+
+
+def _matcher(packed: Broadcast, shared: Broadcast | None, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = NameIndex(packed.value, shared.value if shared else None)
-        memo: dict[tuple[str, str | None], tuple[int, list[tuple[float, str]]]] = {}
+        if key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[key] = NameIndex(packed.value, shared.value if shared else None)
+        index = _BUILT[key]
         for batch in batches:
+            names = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             rows = []
-            for i, name, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = memo.get((name, kind))
-                if found is None:
-                    if len(memo) > 200_000:
-                        memo.clear()
-                    stage, hits = index.staged(name, kind)
-                    if not shared:  # no other block can tell
-                        hits = hits[:1] if len(hits) == 1 or hits[:1] and hits[0][0] < hits[1][0] else []
-                    found = memo[name, kind] = stage, hits
-                rows.extend((i, e, found[0], c) for c, e in found[1])
+            for (name, kind), hits in zip(names, index.find_all(names), strict=True):
+                if not shared:  # no other block can tell
+                    hits = hits[:1] if len(hits) == 1 or hits[:1] and hits[0][0] < hits[1][0] else []
+                rows.extend((name, kind, e, c) for c, e in hits)
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.utf8()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64())], names=["alias_row", "entity", "stage", "cost"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.utf8()), pa.array(columns[1], pa.utf8()), pa.array(columns[2], pa.utf8()), pa.array(columns[3], pa.float64())], names=["name", "kind", "entity", "cost"])
 
     return run
 
@@ -407,20 +524,20 @@ def _matcher(packed: Broadcast, shared: Broadcast | None) -> Callable[[Iterator[
 def link_names(aliases: DataFrame, entities: DataFrame, alias_id: str = "alias_id", alias: str = "alias", alias_type: str = "entity_type", entity_id: str = "entity_id", entity_type: str = "entity_type", name: str = "canonical_name", short_names: str = "aliases", block: int = ENTITY_BLOCK) -> DataFrame:
     """(alias_id, entity_id, cost) of the names that mean exactly one entity; the others don't come out.
 
-    A given type restricts the entities; a null one doesn't. Null and empty names, names without a letter or digit and names
-    of more than LONGEST_NAME characters or MOST_WORDS words mean nobody. A name that fits two entities equally well means none of them. alias_id
+    A given type restricts the entities; a null one doesn't. Null and empty names and names without a letter or digit
+    mean nobody. Names are read whole, however many words they have. A name that fits two entities equally well means none of them. alias_id
     is expected to be unique. Entities with a null or empty name are never meant.
 
-    Entities are counted first and broadcast in blocks of at most `block`; the names pass each block in one narrow
-    stage, and only with more than one block is the best of all blocks found by a shuffle of the few hits. The
-    blocks share the distinct words of all entities, so what a word is taken for doesn't depend on its block.
+    Each distinct name is looked up once. Entities are counted first and broadcast in blocks of at most `block`; the names pass each
+    block in one narrow stage, and only with more than one block is the best of all blocks found by a shuffle of the few hits. The
+    blocks share the distinct words of all entities, so what a word is taken for doesn't depend on its block. Rows get
+    their name's hit by a join over SALT copies of the hits, so a name of very many rows is spread.
     """
     known = entities.select(F.col(entity_id).alias("e"), F.col(entity_type).alias("t"), F.col(name).alias("n"), F.col(short_names).alias("s")).where("e IS NOT NULL AND n IS NOT NULL")
     blocks = max(1, -(-known.count() // block))
     context = aliases.sparkSession.sparkContext
-    kind = aliases.schema[alias_id].dataType.simpleString()
     rows = aliases.select(aliases[alias_id].alias("alias_row"), aliases[alias].alias("name"), aliases[alias_type].alias("kind")).where("name IS NOT NULL")
-    rows = rows.repartition(max(context.defaultParallelism, -(-aliases.count() // ROWS_PER_TASK)))  # a file holds few bytes but much work
+    names = rows.select("name", "kind").distinct().repartition(max(context.defaultParallelism, -(-aliases.count() // ROWS_PER_TASK)))  # a file holds few bytes but much work
     hits = shared = None
     if blocks > 1:
         words = known.select("n", "t").mapInArrow(_emit_words, "word string, other boolean").groupBy("word").agg(F.max("other").alias("other"))
@@ -428,11 +545,13 @@ def link_names(aliases: DataFrame, entities: DataFrame, alias_id: str = "alias_i
     for b in range(blocks):
         part = known.where(F.pmod(F.xxhash64("e"), F.lit(blocks)) == b) if blocks > 1 else known
         packed = context.broadcast([(r.e, r.t, r.n, list(r.s) if r.s is not None else None) for r in part.collect()])
-        one = rows.mapInArrow(_matcher(packed, shared), f"alias_row {kind}, entity string, stage int, cost double")
+        one = names.mapInArrow(_matcher(packed, shared, uuid.uuid4().hex), "name string, kind string, entity string, cost double")
         hits = one if hits is None else hits.unionByName(one)
     if blocks > 1:
-        ranked = hits.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("alias_row").orderBy("stage", "cost", "entity"))).where("nth <= 2")
-        rank = F.struct("stage", "cost")
-        best = ranked.groupBy("alias_row").agg(F.min(F.struct("stage", "cost", "entity")).alias("best"), F.min(rank).alias("low"), F.max(rank).alias("high"), F.count("*").alias("n"))
-        return best.where("n = 1 OR low < high").select(F.col("alias_row").alias(alias_id), F.col("best.entity").alias(entity_id), F.col("best.cost").alias("cost"))
-    return hits.select(F.col("alias_row").alias(alias_id), F.col("entity").alias(entity_id), "cost")
+        ranked = hits.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("name", "kind").orderBy("cost", "entity"))).where("nth <= 2")
+        best = ranked.groupBy("name", "kind").agg(F.min(F.struct("cost", "entity")).alias("best"), F.min("cost").alias("low"), F.max("cost").alias("high"), F.count("*").alias("n"))
+        hits = best.where("n = 1 OR low < high").select("name", "kind", F.col("best.entity").alias("entity"), F.col("best.cost").alias("cost"))
+    spread = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("alias_row"), F.lit(SALT)).cast("int"))
+    same = (salted["name"] == spread["name"]) & salted["kind"].eqNullSafe(spread["kind"]) & (salted["salt"] == spread["salt"])
+    return salted.join(spread, same).select(F.col("alias_row").alias(alias_id), F.col("entity").alias(entity_id), "cost")

@@ -52,6 +52,10 @@ CASES = [
     (None, None, None),
     ("x" * 100_000, None, None),
     ("a b c d e f g h i j k l m n", None, None),
+    ("Oskuvebrek Shipping Holdings " + "inc " * 5000, None, None),
+    ("Oskuvebrek" + " " * 2000 + "Shipping Holdings", None, "c2"),
+    (" ".join(f"w{i}" for i in range(3000)), None, None),
+    ("grydakvist thee ms textiles semiconductors corporation incorporated plc", None, "c1"),
 ]
 
 
@@ -128,3 +132,30 @@ def test_names_beyond_the_test_table():
         assert found and found[0][1] == want and (len(found) == 1 or found[0][0] < found[1][0]), typed
     # a form of a word that no entity has doesn't stand in the way of a misspelling
     assert NameIndex([("e", "COMPANY", "Veltora Chemicals plc", [])]).find("Veltora Cem. plc", None)
+
+
+def test_words_and_names_in_no_list():
+    """Given names, lines of business and bodies that neither the lexicon nor the test tables have, shortened by the general rules."""
+    people = ["Thorvald Esk", "Wendeline Esk", "Bartolomea Ruun", "Oswin Ruun"]
+    bodies = [("COMPANY", "Tolvane Dredging LLC"), ("COMPANY", "Tolvane Viticulture LLC"), ("COMPANY", "Halverin Hospitality Group"), ("REGULATOR", "Fisheries Observation Secretariat of Quorn"), ("GOVERNMENT", "Ministry of Finance of Quorn"), ("COMPANY", "Ostrel Ornamental Glassworks plc")]
+    index = NameIndex([(n, "PERSON", n, []) for n in people] + [(n, k, n, []) for k, n in bodies])
+
+    def meant(typed):
+        found = index.find(typed, None)
+        return found[0][1] if found and (len(found) == 1 or found[0][0] < found[1][0]) else None
+
+    for typed, want in (
+        ("Thor Esk", people[0]), ("Wendy Esk", people[1]), ("Esk, Wendel", people[1]), ("Bartie Ruun", people[2]), ("Osw. Ruun", people[3]), ("Tolvane Dredg. LLC", "Tolvane Dredging LLC"), ("Tolvane Vitic", "Tolvane Viticulture LLC"), ("Tolvane Vtcltr", "Tolvane Viticulture LLC"),
+        ("Halverin Hosp Grp", "Halverin Hospitality Group"), ("FOS of Quorn", "Fisheries Observation Secretariat of Quorn"), ("Quorn Fisheries Obs. Secr.", "Fisheries Observation Secretariat of Quorn"), ("MoF Quorn", "Ministry of Finance of Quorn"), ("Ostrel Orn. Glswrks", "Ostrel Ornamental Glassworks plc"),
+        ("Tolvane", None), ("Tolvane Mining", None), ("Esk", None), ("Halvard Esk", None), ("Ruun O", people[3]), ("Wim Esk", None),
+    ):
+        assert meant(typed) == want, (typed, meant(typed))
+
+
+def test_all_readings_are_weighed():
+    """A reading found first isn't taken where another costs less, and two alike in cost mean nobody."""
+    index = NameIndex([("a", "COMPANY", "Orla Beth Mining plc", []), ("b", "COMPANY", "Orlabeth Foods plc", []), ("c", "PERSON", "Maria Tond", []), ("d", "PERSON", "Mario Tond", [])])
+    assert index.find("Orlabeth Foods", None)[0][1] == "b"
+    assert index.find("Orla Beth Foods plc", None)[0][1] == "b"
+    found = index.find("Marik Tond", None)
+    assert len(found) == 2 and found[0][0] == found[1][0]
