@@ -11,12 +11,14 @@ left out only where it must cost more than one already found.
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 import uuid
 from collections import defaultdict
-from collections.abc import Callable, Generator, Iterable, Iterator
+from collections.abc import Callable, Container, Generator, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -29,10 +31,10 @@ ENTITY_BLOCK = 50_000
 #: The edits allowed in a whole name, and the words that may be left over: initials and legal forms that the entity lacks, misspelt titles.
 MOST_EDITS, MOST_EXTRA = 3, 6
 PREFIX_LEAST = 3
-#: Distinct names a task looks up, at about a tenth of a millisecond each.
+#: Names a task looks up, at about a tenth of a millisecond each.
 ROWS_PER_TASK = 20_000
-#: Copies of the table of hits, over which a name that very many rows have is spread.
-SALT = 16
+#: A name of more than one row in HOT is spread over the tasks.
+HOT = 200
 
 _LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th", "ð": "d", "’": "'"})
 _CAMEL = re.compile(r"(?<=[a-zà-öø-ÿāăąćčďđęěğłńňőœřśšťůűźżž])(?=[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĘĚĞŁŃŇŐŒŘŚŠŤŮŰŹŻŽ]\w)")
@@ -67,67 +69,124 @@ def edits_allowed(word: str) -> int:
 
 
 class Trie:
-    """Words with what they stand for; near() lists those within an edit distance."""
+    """Words as arrays of nodes, level by level, children side by side; a set of typed words walks it together.
 
-    END = ""
-
-    def __init__(self) -> None:
-        self.root: dict = {}
-        self.memo: dict[tuple[str, int], list[tuple[str, int]]] = {}
+    The walk is the join of the words with their neighbours: each pair of a typed word and a node that may still lead to one
+    carries its automaton's state, bit sets of the positions reached with 0, 1, 2 edits, and a level is one step for all pairs.
+    """
 
-    def add(self, word: str) -> None:
-        node = self.root
-        for c in word:
-            node = node.setdefault(c, {})
-        node[self.END] = word
+    #: The letters of a word that the bit sets hold, and the most masks (words times letters of the trie) laid out at a time.
+    LETTERS, MASKS = 62, 4_000_000
+
+    def __init__(self, words: Iterable[str] = ()) -> None:
+        every = sorted({w for w in words if w})
+        self.long = [w for w in every if len(w) > self.LETTERS]
+        self.words = [w for w in every if len(w) <= self.LETTERS]
+        n, widest = len(self.words), max(map(len, self.words), default=0)
+        size = np.fromiter(map(len, self.words), np.int64, n)
+        letters = np.full((n, widest), -1, np.int64)
+        letters[np.arange(widest) < size[:, None]] = np.frombuffer("".join(self.words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.alphabet = np.unique(letters[letters >= 0])
+        at = np.zeros(n, np.int64)  # the node of each word's beginning
+        parents, marks, ends, nodes = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.full(1, -1)], 1
+        for j in range(widest):
+            here = np.flatnonzero(size > j)
+            up, c = at[here], letters[here, j]
+            new = np.concatenate(([True], (up[1:] != up[:-1]) | (c[1:] != c[:-1])))
+            at[here] = nodes - 1 + np.cumsum(new)
+            parents.append(up[new])
+            marks.append(np.searchsorted(self.alphabet, c[new]))
+            end = np.full(int(new.sum()), -1)
+            over = here[size[here] == j + 1]
+            end[at[over] - nodes] = over
+            ends.append(end)
+            nodes += len(end)
+        parent, self.letter, self.end = (np.concatenate(x) for x in (parents, marks, ends))
+        self.first = np.searchsorted(parent[1:], np.arange(nodes)) + 1
+        self.children = np.bincount(parent[1:], minlength=nodes)
 
     def near(self, word: str, k: int) -> list[tuple[str, int]]:
-        known = self.memo.get((word, k))
-        if known is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            known = self.memo[word, k] = list(self._walk(word, k))
-        return known
-
-    def _walk(self, word: str, k: int) -> Iterator[tuple[str, int]]:
-        step, start = automaton(word, k)
-        stack = [(self.root, start, (0,) * (k + 1), "")]
-        m = len(word)
-        while stack:
-            node, now, before, last = stack.pop()
-            for c, kid in node.items():
-                if c == self.END:
-                    for d in range(k + 1):
-                        if now[d] >> m & 1:
-                            yield kid, d
-                            break
-                    continue
-                state = step(now, before, c, last)
-                if state[k]:
-                    stack.append((kid, state, now, c))
-
-
-State = tuple[int, ...]
-
-
-def automaton(word: str, k: int) -> tuple[Callable[[State, State, str, str], State], State]:
-    """The step function and first state. Bit i of the d-th set is alive if the i first letters are matched with d edits."""
-    full = (1 << len(word) + 1) - 1
-    places: dict[str, int] = {}
-    for i, c in enumerate(word):
-        places[c] = places.get(c, 0) | 1 << i
-    place = places.get
-
-    def step(now: State, before: State, c: str, last: str) -> State:
-        at, swapped = place(c, 0), place(last, 0) >> 1
-        reach = (now[0] & at) << 1
-        out = [reach]
-        for d in range(1, k + 1):
-            reach = ((now[d] & at) << 1 | now[d - 1] | now[d - 1] << 1 | reach << 1 | (before[d - 1] & at & swapped) << 2) & full
-            out.append(reach)
-        return tuple(out)
-
-    return step, tuple((1 << d + 1) - 1 & full for d in range(k + 1))
+        """The words within k edits, a swap of neighbours being one."""
+        return self.join([word], k)[0]
+
+    def join(self, typed: list[str], k: int) -> list[list[tuple[str, int]]]:
+        """near() for many words."""
+        out: list[list[tuple[str, int]]] = [[] for _ in typed]
+        if self.long:
+            for i, word in enumerate(typed):
+                if len(word) + k > self.LETTERS:
+                    out[i].extend((w, d) for w in self.long if (d := edits_between(word, w, k)) is not None)
+        fits = [i for i, word in enumerate(typed) if len(word) <= self.LETTERS]
+        for i, word in enumerate(typed):  # too long for the bit sets
+            if self.LETTERS < len(word) <= self.LETTERS + k:
+                out[i].extend((w, d) for w in self.words if (d := edits_between(word, w, k)) is not None)
+        many = max(1, self.MASKS // max(1, len(self.alphabet)))
+        for lo in range(0, len(fits) if self.words else 0, many):
+            part = fits[lo : lo + many]
+            for q, w, d in self._walk([typed[i] for i in part], k):
+                out[part[q]].append((self.words[w], d))
+        return out
+
+    def _walk(self, typed: list[str], k: int) -> Iterator[tuple[int, int, int]]:
+        n, one = len(typed), np.uint64(1)
+        size = np.fromiter(map(len, typed), np.int64, n)
+        letters = np.frombuffer("".join(typed).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        whose = np.repeat(np.arange(n), size)
+        place = (np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
+        code = np.minimum(np.searchsorted(self.alphabet, letters), len(self.alphabet) - 1)
+        has = self.alphabet[code] == letters
+        masks = np.zeros((n, len(self.alphabet)), np.uint64)
+        np.bitwise_or.at(masks, (whose[has], code[has]), one << place[has])
+        last = size.astype(np.uint64)
+        full = (one << last + one) - one
+        q, node = np.arange(n), np.zeros(n, np.int64)
+        now = [((one << np.uint64(d + 1)) - one) & full for d in range(k + 1)]
+        before = [np.zeros(n, np.uint64) for _ in range(k)]
+        swap = np.zeros(n, np.uint64)
+        while len(q):
+            fan = self.children[node]
+            source = np.repeat(np.arange(len(q)), fan)
+            node = np.repeat(self.first[node] - np.cumsum(fan) + fan, fan) + np.arange(len(source))
+            q = q[source]
+            mask = masks[q, self.letter[node]]
+            turned, whole = mask & swap[source], full[q]
+            old = [x[source] for x in now]
+            state = [(old[0] & mask) << one]
+            for d in range(1, k + 1):
+                state.append(((old[d] & mask) << one | old[d - 1] | old[d - 1] << one | state[d - 1] << one | (before[d - 1][source] & turned) << np.uint64(2)) & whole)
+            alive = np.flatnonzero(state[k])
+            q, node, swap = q[alive], node[alive], mask[alive] >> one
+            now, before = [x[alive] for x in state], [x[alive] for x in old[:k]]
+            hit = np.flatnonzero((self.end[node] >= 0) & (now[k] >> last[q] & one).astype(bool))
+            if len(hit):
+                at, edits = q[hit], np.full(len(hit), k)
+                for d in range(k - 1, -1, -1):
+                    edits[(now[d][hit] >> last[at] & one).astype(bool)] = d
+                yield from zip(at.tolist(), self.end[node[hit]].tolist(), edits.tolist(), strict=True)
+
+
+def edits_between(typed: str, word: str, k: int) -> int | None:
+    """The edits from one to the other if they are at most k; for words that the bit sets don't hold."""
+    if abs(len(typed) - len(word)) > k:
+        return None
+    far = k + 1
+    rows = [[far] * (2 * k + 1), [far] * (2 * k + 1), [abs(j) if j >= 0 else far for j in range(-k, k + 1)]]
+    for i in range(1, len(typed) + 1):  # a band of the table of distances, in which j - i runs from -k to k
+        row = []
+        for x in range(2 * k + 1):
+            j = i + x - k
+            if not 0 <= j <= len(word):
+                row.append(far)
+                continue
+            best = min(rows[-1][x + 1] + 1 if x < 2 * k else far, row[-1] + 1 if x else far)
+            if j:
+                best = min(best, rows[-1][x] + (typed[i - 1] != word[j - 1]))
+                if i > 1 and j > 1 and typed[i - 1] == word[j - 2] and typed[i - 2] == word[j - 1]:
+                    best = min(best, rows[-2][x] + 1)
+            row.append(min(best, far))
+        rows.append(row)
+    d = rows[-1][len(word) - len(typed) + k]
+    return d if d <= k else None
 
 
 _LEGAL: dict[str, str] = {}
@@ -144,6 +203,7 @@ _GIVEN = {*FAMILIAR, *(f for forms in FAMILIAR.values() for f in forms)}
 _NOISE = {w for w in (*TITLES, *SILENT) if len(w) > 2}
 
 _NOBODY: frozenset[int] = frozenset()
+_NOTHING: frozenset[str] = frozenset()
 #: What it costs to leave a word of the entity's out, by role. None: it can't be left out.
 OMITTED = {"core": None, "plain": None, "given": None, "business": 0.6, "legal": 0.1, "middle": 0.1}
 SHORT, ABBREVIATED, CONTRACTED, EXTRA_INITIAL, INITIAL, WRONG_LEGAL, LOOSE = 0.2, 0.3, 1.3, 0.3, 0.5, 0.7, 0.5
@@ -213,14 +273,60 @@ def is_familiar(typed: str, given: str) -> bool:
     return len(stem) > 1 and given.startswith(stem) and len(stem) + 2 <= len(given)
 
 
+def cost_of(typed: str, word: str, role: str, means: Container[str], strange: bool, near: dict[str, int] | None) -> tuple[float, int] | None:
+    """(cost, edits) of the typed word standing for another of the entity's. means: what it is a short form of; strange: it is no
+    word of its own, else it is no misspelling of another; near: its neighbours, if they have been looked up."""
+    size = len(typed)
+    if size == 1 or len(word) == 1:
+        if role in ("given", "middle"):
+            return (INITIAL, 0) if typed[0] == word[0] else None
+    if word in means:
+        return SHORT, 0
+    general = role in ("business", "plain")
+    if general and size >= PREFIX_LEAST and word.startswith(typed) and (size > 4 or word in SHORT_FORMS):
+        return SHORT, 0
+    if not strange:
+        return None
+    if role == "given" and is_familiar(typed, word):
+        return ABBREVIATED, 0
+    if general and contracts(typed, word):
+        return ABBREVIATED if word.startswith(typed) else CONTRACTED, 0
+    if not near:
+        return None
+    for form, d in near.items():
+        if d == 1 and len(form) > 3 and form in _MEANS and word in _MEANS[form]:
+            return SHORT + d, d
+    d = near.get(word)
+    return None if d is None or d > min(2 if role == "plain" and len(word) == 6 else edits_allowed(word), size - 2) else (float(d), d)
+
+
+def place(choices: list[list[tuple[float, int, int]]], left_out: list[float | None], n: int, used: int, cost: float, edits: int, extra: int, best: float | None) -> float | None:
+    """The least cost of giving the n-th and further words one of their choices (cost, edits, slot or -1) each, no slot twice."""
+    if edits > MOST_EDITS or extra > MOST_EXTRA or best is not None and cost >= best:
+        return best
+    if n == len(choices):
+        for i, x in enumerate(left_out):
+            if not used >> i & 1:
+                if x is None:
+                    return best
+                cost += x
+        return cost if best is None or cost < best else best
+    for c, d, i in choices[n]:
+        if i < 0:
+            best = place(choices, left_out, n + 1, used, cost + c, edits + d, extra + 1, best)
+        elif not used >> i & 1:
+            best = place(choices, left_out, n + 1, used | 1 << i, cost + c, edits + d, extra, best)
+    return best
+
+
 #: A request to find the words within so many edits of a typed one.
 Wanted = list[tuple[str, int]]
 Hits = list[tuple[float, str]]
 
 
 def radius(typed: str) -> int:
-    """How far a word may be misspelt at all, whatever word it stands for."""
-    return 0 if len(typed) < 3 else 1 if len(typed) == 3 else 2
+    """The edits looked for in a word at first; in short ones two only where no better reading is found."""
+    return 0 if len(typed) < 3 else 1 if len(typed) < 6 else 2
 
 
 class NameIndex:
@@ -259,15 +365,14 @@ class NameIndex:
             for a in (name, *(short or ())):
                 self.official[" ".join(typed_words(a or ""))].add((entity, kind))
         self.longest = max(map(len, (*mine, *self.words, *_MEANS)), default=0)
-        self.trie = Trie()
-        for word in sorted(mine | self.words | {f for f in _MEANS if len(f) > 3} | _NOISE):
-            self.trie.add(word)
+        self.trie = Trie(mine | self.words | {f for f in _MEANS if len(f) > 3} | _NOISE)
 
     def look_up(self, wanted: Wanted) -> None:
         """Find the neighbours of typed words in the trie; nothing can be weighed as misspelt before."""
-        for key in wanted:
-            if key not in self.near:
-                self.near[key] = dict(self.trie.near(*key))
+        for k in (1, 2):
+            typed = [w for w, r in wanted if r == k and (w, k) not in self.near]
+            for w, found in zip(typed, self.trie.join(typed, k), strict=True):
+                self.near[w, k] = dict(found)
 
     def _loose(self, typed: str, word: str, role: str) -> tuple[float, int] | None:
         """Two edits in a short word, if no other word is as near."""
@@ -278,87 +383,45 @@ class NameIndex:
         others = [d for f, d in near.items() if f != word and word not in _MEANS.get(f, ())]
         return (LOOSE + min(mine), min(mine)) if mine and (not others or min(others) > min(mine)) else None
 
-    def _cost(self, typed: str, word: str, role: str) -> tuple[float, int] | None:
-        """(cost, edits) of the typed word standing for the entity's."""
-        if role in ("given", "middle") and (len(typed) == 1 or len(word) == 1):
-            return (INITIAL, 0) if typed[0] == word[0] else None
-        if word in _MEANS.get(typed, ()):
-            return SHORT, 0
-        general = role in ("business", "plain")
-        if general and len(typed) >= PREFIX_LEAST and word.startswith(typed) and (word in SHORT_FORMS or len(typed) > 4):
-            return SHORT, 0
-        if typed in self.known:  # a word of its own is no misspelling of another
-            return None
-        if role == "given" and is_familiar(typed, word):
-            return ABBREVIATED, 0
-        if general and contracts(typed, word):
-            return ABBREVIATED if word.startswith(typed) else CONTRACTED, 0
-        near = self.near.get((typed, radius(typed)))
-        if not near:
-            return None
-        for form, d in near.items():
-            if d == 1 and form in _MEANS and word in _MEANS[form] and len(form) > 3:
-                return SHORT + d, d
-        d = near.get(word)
-        return None if d is None or d > min(2 if role == "plain" and len(word) == 6 else edits_allowed(word), len(typed) - 2) else (float(d), d)
-
     def fit(self, typed: list[str], slots: list[tuple[str, str]], loosely: bool = False) -> float | None:
         """The least cost of matching every typed word to a slot of its own, in any order."""
         choices = []
         base, extra = 0.0, 0
-        person = slots[0][1] == "given"
-        no_middle = person and all(role != "middle" for _, role in slots)
         named = slots[0][1] != "plain"
+        no_middle = slots[0][1] == "given" and all(role != "middle" for _, role in slots)
         for t in typed:
-            row = []
+            row: list[tuple[float, int, int]] = []
+            means, strange = _MEANS.get(t, _NOTHING), t not in self.known
+            near = self.near.get((t, 2 if loosely else radius(t))) if strange else None
             for i, (w, role) in enumerate(slots):
                 if t == w:
                     row.append((0.0, 0, i))
-                elif (c := self._cost(t, w, role)) or loosely and (c := self._loose(t, w, role)):
+                elif (c := cost_of(t, w, role, means, strange, near)) or loosely and (c := self._loose(t, w, role)):
                     row.append((*c, i))
             free = WRONG_LEGAL if named and t in _LEGAL else EXTRA_INITIAL if no_middle and len(t) == 1 else None
             if row:
                 if free is not None:
                     row.append((free, 0, -1))
-                choices.append(sorted(row))
+                row.sort()
+                choices.append(row)
             elif free is None:
                 return None
             else:
                 base += free
                 extra += 1
-        best: float | None = None
-        left_out = [OMITTED[role] for _, role in slots]
-
-        def place(n: int, used: int, cost: float, edits: int, extra: int) -> None:
-            nonlocal best
-            if edits > MOST_EDITS or extra > MOST_EXTRA or best is not None and cost >= best:
-                return
-            if n == len(choices):
-                for i, x in enumerate(left_out):
-                    if not used >> i & 1:
-                        if x is None:
-                            return
-                        cost += x
-                if best is None or cost < best:
-                    best = cost
-                return
-            for c, d, i in choices[n]:
-                if i < 0 or not used >> i & 1:
-                    place(n + 1, used | (1 << i if i >= 0 else 0), cost + c, edits + d, extra + (i < 0))
-
-        place(0, 0, base, 0, extra)
-        return best
+        return place(choices, [OMITTED[role] for _, role in slots], 0, 0, base, 0, extra, None)
 
     def _candidates(self, typed: list[str], kind: str | None, loosely: bool = False) -> Iterator[tuple[float, str]]:
         """The entities that the words can mean, by all that has been looked up."""
         seen: set[int] = set()
         for t in typed:
-            seen |= self.by_word.get(t, _NOBODY)
-            for word in _MEANS.get(t, ()):
+            if t in self.by_word:
+                seen |= self.by_word[t]
+            for word in _MEANS.get(t, _NOTHING):
                 seen |= self.by_word.get(word, _NOBODY)
-            if t not in self.known:
+            if t not in self.known and (near := self.near.get((t, radius(t)))):
                 most = edits_allowed(t + "x")
-                for word, d in self.near.get((t, radius(t)), {}).items():
+                for word, d in near.items():
                     if d <= most and word in self.by_word:
                         seen |= self.by_word[word]
         for k in seen:
@@ -374,17 +437,17 @@ class NameIndex:
                     yield cost, entity
 
     def _otherwise(self, words: list[str], parted: set[tuple[str, str]]) -> Iterator[list[str]]:
-        """A word taken as initials, two words as one, one word as the two of a known cut."""
+        """A word taken as initials, two words as one, one word as the two of a known cut; the new ones first, as they fit least often."""
         for i, w in enumerate(words):
             if 1 < len(w) <= 3:
-                yield [*words[:i], *w, *words[i + 1 :]]
+                yield [*w, *words[:i], *words[i + 1 :]]
         for i in range(len(words) - 1):
             if len(words[i]) > 1 and len(words[i + 1]) > 1:  # an initial is no part of the word beside it
-                yield [*words[:i], words[i] + words[i + 1], *words[i + 2 :]]
+                yield [words[i] + words[i + 1], *words[:i], *words[i + 2 :]]
         for i, w in enumerate(words):
             for a, b in self._cuts(w):
                 if a in self.known or b in self.known or (a, b) in parted:
-                    yield [*words[:i], a, b, *words[i + 1 :]]
+                    yield [a, b, *words[:i], *words[i + 1 :]]
 
     def _cuts(self, word: str) -> Iterator[tuple[str, str]]:
         """The ways to part a word of which no part is longer than any word that it could be."""
@@ -403,6 +466,15 @@ class NameIndex:
         """find() for many names: what they want looked up is looked up together."""
         if len(self.near) > 500_000:
             self.near.clear()
+        collecting = gc.isenabled()
+        gc.disable()  # thousands of searches are alive at once and none is part of a cycle
+        try:
+            return self._find_all(names)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _find_all(self, names: list[tuple[str, str | None]]) -> list[Hits]:
         out: list[Hits] = [[] for _ in names]
         searches = [(i, self._search(*n)) for i, n in enumerate(names)]
         while searches:
@@ -475,7 +547,8 @@ class NameIndex:
         if done(LOOSE + EDIT):
             return result()
         yield [(w, 2) for w in dict.fromkeys(kept) if 2 < len(w) <= self.longest + 2 and w not in self.known]
-        weigh(kept, 0.0, True)
+        for reading in every:
+            weigh(reading, NOISE * (reading is trimmed), True)
         return result()
 
 
@@ -508,19 +581,36 @@ def _matcher(packed: Broadcast, shared: Broadcast | None, key: str) -> Callable[
             _BUILT.clear()
             _BUILT[key] = NameIndex(packed.value, shared.value if shared else None)
         index = _BUILT[key]
+        known: dict[tuple[str, str | None], Hits] = {}
         for batch in batches:
-            names = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            ids, *names = (c.to_pylist() for c in batch.columns)
+            names = list(zip(*names, strict=True))
+            if len(known) > 500_000:
+                known.clear()
+            new = [n for n in dict.fromkeys(names) if n not in known]
+            known.update(zip(new, index.find_all(new), strict=True))
             rows = []
-            for (name, kind), hits in zip(names, index.find_all(names), strict=True):
+            for i, name in zip(ids, names, strict=True):
+                hits = known[name]
                 if not shared:  # no other block can tell
                     hits = hits[:1] if len(hits) == 1 or hits[:1] and hits[0][0] < hits[1][0] else []
-                rows.extend((name, kind, e, c) for c, e in hits)
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.utf8()), pa.array(columns[1], pa.utf8()), pa.array(columns[2], pa.utf8()), pa.array(columns[3], pa.float64())], names=["name", "kind", "entity", "cost"])
+                rows.extend((i, e, c) for c, e in hits)
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.utf8()), pa.array(columns[2], pa.float64())], names=["alias_row", "entity", "cost"])
 
     return run
 
 
+def by_name(rows: DataFrame, total: int, parts: int) -> DataFrame:
+    """Rows (alias_row, name, ...) with equal names side by side, so that each is looked up once; names of more than one row in HOT are spread.
+
+    There are fewer than HOT such names, so their list is bounded.
+    """
+    hot = [r.name for r in rows.groupBy("name").count().where(F.col("count") > max(total // HOT, 1000)).collect()]
+    spread = F.when(F.col("name").isin(hot), F.pmod(F.xxhash64("alias_row"), F.lit(parts))) if hot else F.lit(0)
+    return rows.repartition(parts, "name", spread)
+
+
 def link_names(aliases: DataFrame, entities: DataFrame, alias_id: str = "alias_id", alias: str = "alias", alias_type: str = "entity_type", entity_id: str = "entity_id", entity_type: str = "entity_type", name: str = "canonical_name", short_names: str = "aliases", block: int = ENTITY_BLOCK) -> DataFrame:
     """(alias_id, entity_id, cost) of the names that mean exactly one entity; the others don't come out.
 
@@ -528,16 +618,17 @@ def link_names(aliases: DataFrame, entities: DataFrame, alias_id: str = "alias_i
     mean nobody. Names are read whole, however many words they have. A name that fits two entities equally well means none of them. alias_id
     is expected to be unique. Entities with a null or empty name are never meant.
 
-    Each distinct name is looked up once. Entities are counted first and broadcast in blocks of at most `block`; the names pass each
-    block in one narrow stage, and only with more than one block is the best of all blocks found by a shuffle of the few hits. The
-    blocks share the distinct words of all entities, so what a word is taken for doesn't depend on its block. Rows get
-    their name's hit by a join over SALT copies of the hits, so a name of very many rows is spread.
+    Entities are counted first and broadcast in blocks of at most `block`; the names pass each block in one narrow
+    stage, and only with more than one block is the best of all blocks found by a shuffle of the few hits. The
+    blocks share the distinct words of all entities, so what a word is taken for doesn't depend on its block.
     """
     known = entities.select(F.col(entity_id).alias("e"), F.col(entity_type).alias("t"), F.col(name).alias("n"), F.col(short_names).alias("s")).where("e IS NOT NULL AND n IS NOT NULL")
     blocks = max(1, -(-known.count() // block))
     context = aliases.sparkSession.sparkContext
+    kind = aliases.schema[alias_id].dataType.simpleString()
+    total = aliases.count()
     rows = aliases.select(aliases[alias_id].alias("alias_row"), aliases[alias].alias("name"), aliases[alias_type].alias("kind")).where("name IS NOT NULL")
-    names = rows.select("name", "kind").distinct().repartition(max(context.defaultParallelism, -(-aliases.count() // ROWS_PER_TASK)))  # a file holds few bytes but much work
+    rows = by_name(rows, total, max(context.defaultParallelism, -(-total // ROWS_PER_TASK)))  # a file holds few bytes but much work
     hits = shared = None
     if blocks > 1:
         words = known.select("n", "t").mapInArrow(_emit_words, "word string, other boolean").groupBy("word").agg(F.max("other").alias("other"))
@@ -545,13 +636,10 @@ def link_names(aliases: DataFrame, entities: DataFrame, alias_id: str = "alias_i
     for b in range(blocks):
         part = known.where(F.pmod(F.xxhash64("e"), F.lit(blocks)) == b) if blocks > 1 else known
         packed = context.broadcast([(r.e, r.t, r.n, list(r.s) if r.s is not None else None) for r in part.collect()])
-        one = names.mapInArrow(_matcher(packed, shared, uuid.uuid4().hex), "name string, kind string, entity string, cost double")
+        one = rows.mapInArrow(_matcher(packed, shared, uuid.uuid4().hex), f"alias_row {kind}, entity string, cost double")
         hits = one if hits is None else hits.unionByName(one)
     if blocks > 1:
-        ranked = hits.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("name", "kind").orderBy("cost", "entity"))).where("nth <= 2")
-        best = ranked.groupBy("name", "kind").agg(F.min(F.struct("cost", "entity")).alias("best"), F.min("cost").alias("low"), F.max("cost").alias("high"), F.count("*").alias("n"))
-        hits = best.where("n = 1 OR low < high").select("name", "kind", F.col("best.entity").alias("entity"), F.col("best.cost").alias("cost"))
-    spread = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("alias_row"), F.lit(SALT)).cast("int"))
-    same = (salted["name"] == spread["name"]) & salted["kind"].eqNullSafe(spread["kind"]) & (salted["salt"] == spread["salt"])
-    return salted.join(spread, same).select(F.col("alias_row").alias(alias_id), F.col("entity").alias(entity_id), "cost")
+        ranked = hits.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("alias_row").orderBy("cost", "entity"))).where("nth <= 2")
+        best = ranked.groupBy("alias_row").agg(F.min(F.struct("cost", "entity")).alias("best"), F.min("cost").alias("low"), F.max("cost").alias("high"), F.count("*").alias("n"))
+        return best.where("n = 1 OR low < high").select(F.col("alias_row").alias(alias_id), F.col("best.entity").alias(entity_id), F.col("best.cost").alias("cost"))
+    return hits.select(F.col("alias_row").alias(alias_id), F.col("entity").alias(entity_id), "cost")
