@@ -3,7 +3,7 @@
 Greedy string tiling: windows of `least` words that a text and an item share are the seeds, found by a running
 Karp-Rabin hash. Seeds on one diagonal grow into maximal matches, compared word by word; the longest match that
 overlaps nothing marked becomes a tile, what is left of the others goes back in the queue, and so on. The tiles' share of the item is its
-coverage, whatever their order.
+coverage, whatever their order; it says whether the item leaked whole, in another order or in part, and pairs of less coverage can be left out.
 
 Items of up to ITEM_WORDS words together are laid out once and broadcast, and texts never leave their place. Beyond that the
 windows of both sides are joined by their hash, and only texts with a shared window are looked at again.
@@ -29,7 +29,11 @@ ITEM_WORDS = 2_000_000
 WORDS = regex.compile(r"[\p{L}\p{Nd}]+").findall
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-PAIRS = "item_id {item}, tiles int, longest int, covered int, coverage double"
+#: The share of an item from which on it leaked as a whole.
+WHOLE = 0.8
+#: Items looked at together in one text, where windows were joined.
+TOGETHER = 1000
+PAIRS = "item_id {item}, tiles int, longest int, covered int, coverage double, extent string"
 
 
 def words_of(text: str) -> list[str]:
@@ -124,7 +128,8 @@ class ItemIndex:
         order = np.argsort(every[0], kind="stable")
         self.hash, self.owner, self.place = (x[order] for x in every)
 
-    def tilings(self, text: str) -> Iterator[tuple[object, int, int, int, float]]:
+    def tilings(self, text: str) -> Iterator[tuple[object, int, int, int, float, str]]:
+        """(item, tiles, longest, covered, coverage, extent): WHOLE, REORDERED (as much, but not in the item's order) or PART."""
         get = self.vocabulary.get
         codes = np.array([get(w, 0) for w in words_of(text)], np.uint64)
         if len(codes) < self.least or not len(self.hash):
@@ -149,7 +154,9 @@ class ItemIndex:
             tiles = tile(codes, self.codes[k], at[lo:hi], place[lo:hi], self.least)
             if tiles:
                 covered = sum(s for s, _, _ in tiles)
-                yield self.ids[k], len(tiles), max(s for s, _, _ in tiles), covered, covered / len(self.codes[k])
+                share = covered / len(self.codes[k])
+                places = [b for _, _, b in sorted(tiles, key=lambda x: x[1])]
+                yield self.ids[k], len(tiles), max(s for s, _, _ in tiles), covered, share, "PART" if share < WHOLE else "WHOLE" if places == sorted(places) else "REORDERED"
 
 
 def _kind(df: DataFrame, name: str) -> str:
@@ -157,9 +164,9 @@ def _kind(df: DataFrame, name: str) -> str:
 
 
 def _batch(ids: list, rows: list, id_type: pa.DataType, item_type: pa.DataType) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    types = (item_type, pa.int32(), pa.int32(), pa.int32(), pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc", "item_id", "tiles", "longest", "covered", "coverage"])
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    types = (item_type, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.utf8())
+    return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc", "item_id", "tiles", "longest", "covered", "coverage", "extent"])
 
 
 def _windows(df: DataFrame, id_column: str, text: str, least: int) -> DataFrame:
@@ -180,8 +187,8 @@ def _windows(df: DataFrame, id_column: str, text: str, least: int) -> DataFrame:
     return df.select(df[id_column].alias("owner"), df[text].alias("t")).where("t IS NOT NULL").mapInArrow(run, f"owner {_kind(df, id_column)}, window long")
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST_WORDS, item_words: int = ITEM_WORDS) -> DataFrame:
-    """(doc_id, item_id, tiles, longest, covered, coverage) of each pair that shares `least` or more consecutive words.
+def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST_WORDS, item_words: int = ITEM_WORDS, least_coverage: float = 0.0) -> DataFrame:
+    """(doc_id, item_id, tiles, longest, covered, coverage, extent) of each pair that shares `least` or more consecutive words, if its tiles cover `least_coverage` of the item.
 
     Null texts and texts or items of fewer words share nothing; repeated texts and items each have their own rows. Texts are read
     whole. Extra columns aren't read, whatever their names.
@@ -213,17 +220,24 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
         theirs = _windows(items, item_id, item_text, least).select(F.col("owner").alias("item"), "window", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
         pairs = cut_lineage(ours.join(theirs, ["window", "salt"]).select(F.col("owner").alias("doc"), "item").distinct())
         both = pairs.join(narrow, "doc").join(known.withColumnRenamed("t", "item_text"), "item").select("doc", "t", "item", "item_text")
+        both = both.repartition("doc", F.pmod(F.xxhash64("item"), F.lit(salts))).sortWithinPartitions("doc", "t")
 
         def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, rows = [], []
-                for i, t, j, u in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for row in ItemIndex([(j, u)], least).tilings(t):
-                        ids.append(i)
+                ids, rows, at = [], [], 0
+                docs_, texts, items_, item_texts = (c.to_pylist() for c in batch.columns)
+                while at < len(docs_):  # the items of a text, so that it is split into words once
+                    end = at + 1
+                    while end < len(docs_) and end - at < TOGETHER and (docs_[end], texts[end]) == (docs_[at], texts[at]):
+                        end += 1
+                    for row in ItemIndex(list(zip(items_[at:end], item_texts[at:end], strict=True)), least).tilings(texts[at]):
+                        ids.append(docs_[at])
                         rows.append(row)
+                    at = end
                 yield _batch(ids, rows, batch.schema.field(0).type, batch.schema.field(2).type)
 
         out = both.mapInArrow(run_pairs, schema)
+    out = out.where(F.col("coverage") >= least_coverage) if least_coverage > 0 else out
     return out.withColumnRenamed("doc", doc_id).withColumnRenamed("item_id", item_id)
 
 

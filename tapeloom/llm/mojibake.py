@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.session import cut_lineage
+from tapeloom.session import cut_lineage, default_parallelism
 
 LOST = "�"
 
@@ -285,7 +285,7 @@ def garbled_units(units: DataFrame) -> DataFrame:
     met = np.zeros(1 << BUCKETS_BITS, np.uint8)
     met[used.column(0).to_numpy()] = 1
     sent = units.sparkSession.sparkContext.broadcast(met.tobytes())
-    table = counted.where("clean").select("unit", "n").mapInArrow(_emit_forms(sent), "form string, original string, strength string, rank int, common long")
+    table = counted.where("clean").select("unit", "n").repartition(default_parallelism(units.sparkSession)).mapInArrow(_emit_forms(sent), "form string, original string, strength string, rank int, common long")
     table = table.groupBy("form", "original", "strength", "rank").agg(F.sum("common").alias("common"))
     enough = F.when(F.col("strength") == "usual", F.col("common") >= F.col("n")).otherwise((F.col("strength") != "rare") | (F.col("common") > F.col("n")))
     hits = cut_lineage(counted.join(table, counted.unit == table.form).where(enough).groupBy("unit", "original").agg(F.min("rank").alias("rank"), F.max("common").alias("common")))

@@ -31,14 +31,25 @@ def test_pairs(spark):
     idf = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     results = [{(r.doc_id, r.item_id): tuple(r) for r in leaked_items(ddf, idf, item_words=n).collect()} for n in (2_000_000, 0)]
     assert results[0] == results[1] and set(results[0]) == by_hand(docs, items)
-    assert results[0][3, 53][2:] == (1, 30, 30, 1.0)
+    assert results[0][3, 53][2:] == (1, 30, 30, 1.0, "WHOLE")
     assert leaked_items(ddf.limit(0), idf).count() == 0 and leaked_items(ddf, idf.limit(0)).count() == 0
 
 
 def test_reordered_passages():
     a, b = [" ".join(f"{x}{i}" for i in range(20)) for x in "ab"]
-    (item, tiles, longest, covered, coverage), = ItemIndex([("i", f"{a} {b}")], LEAST).tilings(f"{b} and {a}")
-    assert (item, tiles, longest, covered, coverage) == ("i", 2, 20, 40, 1.0)
+    index = ItemIndex([("i", f"{a} {b}")], LEAST)
+    assert list(index.tilings(f"{b} and {a}")) == [("i", 2, 20, 40, 1.0, "REORDERED")]
+    assert list(index.tilings(f"{a}, then {b}")) == [("i", 2, 20, 40, 1.0, "WHOLE")]
+    assert list(index.tilings(f"x {b} y")) == [("i", 1, 20, 20, 0.5, "PART")]
+
+
+def test_least_coverage(spark):
+    a, b = [" ".join(f"{x}{i}" for i in range(20)) for x in "ab"]
+    docs = spark.createDataFrame([(1, f"{b} and {a}"), (2, a), (3, f"{a} {b}")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, f"{a} {b}"), (8, a)], "item_id long, text string")
+    for words in (2_000_000, 0):
+        got = {(r.doc_id, r.item_id): r.extent for r in leaked_items(docs, items, item_words=words, least_coverage=0.8).collect()}
+        assert got == {(1, 7): "REORDERED", (3, 7): "WHOLE", (1, 8): "WHOLE", (2, 8): "WHOLE", (3, 8): "WHOLE"}
 
 
 @settings(max_examples=200, deadline=None)
@@ -57,5 +68,5 @@ def test_tiles(text, item):
     got = list(index.tilings(" ".join(text)))
     shared = {tuple(text[i : i + 3]) for i in range(len(text) - 2)} & {tuple(item[i : i + 3]) for i in range(len(item) - 2)}
     assert bool(got) == bool(shared)
-    for _, tiles, longest, covered, coverage in got:
+    for _, tiles, longest, covered, coverage, _ in got:
         assert 3 <= longest <= covered <= len(item) and tiles * 3 <= covered and coverage == covered / len(item)
