@@ -202,14 +202,3 @@ def mentions(texts: DataFrame, text_id: str, normal: str, names: DataFrame, name
 
 def _run(words: Column, k: int):
     return lambda i: F.array_join(F.slice(words, i, k), " ")
-
-
-def event_scores(revisions: DataFrame) -> DataFrame:
-    """Severity, novelty and uncertainty of each revision against the one before it in its event."""
-    w = Window.partitionBy("event_id").orderBy("revision_number")
-    first = F.lag("revision_id").over(w).isNull()
-    before = F.coalesce(F.lag("source_names").over(w), F.array().cast("array<string>"))
-    fresh = F.size(F.array_except("source_names", before)) / F.greatest(F.size("source_names"), F.lit(1))
-    confirmed = (F.col("event_state") == "CONFIRMED") & ~F.coalesce(F.lag("event_state").over(w) == "CONFIRMED", F.lit(False))
-    unsure = F.array(0.35 * prior(t.STATE_UNCERTAINTY, F.col("event_state")), F.when(F.size("source_names") < 2, 0.15).otherwise(0.0), F.when(F.col("event_state") != "CONFIRMED", 0.15).otherwise(0.0))
-    return revisions.select("revision_id", F.coalesce("severity", severity(F.col("event_subtype"))).alias("severity"), F.when(first, 1.0).otherwise(0.1 * fresh + F.when(confirmed, 0.2).otherwise(0.0)).alias("novelty"), noisy_or(unsure).alias("uncertainty"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import identity, market, text
 from tapeloom.functions import taxonomy as t
-from tapeloom.operators import asof, known_at, news
+from tapeloom.operators import asof, known_at, news, scores
 from tapeloom.session import cut_lineage
 from tapeloom.tables import table
 
@@ -264,10 +264,9 @@ def fn9(spark, folder):
 
 
 def fn16(spark, folder):
-    r = _revisions(spark, folder).where("severity IS NOT NULL")
-    u = news.prior(t.STATE_UNCERTAINTY, F.col("event_state"))
-    m, cred = F.lit(0.6), F.lit(0.8)
-    return r.select("revision_id", F.round(m * F.col("severity") * cred * (1 - u), 10).alias("intensity"), F.round(m * F.col("severity") * (0.5 + 0.25 * cred + 0.25 * (1 - u)) * (0.5 + 0.5 * u), 10).alias("risk"), F.round(u * m, 10).alias("novelty"), F.round(m * F.col("severity") * F.lit(-1.0), 10).alias("signed_exposure"))
+    """Intensity, risk and novelty of each instrument's events in force at a time, from all their factors."""
+    e = _in_force(spark, folder)
+    return e.select("instrument_id", "event_id", *[F.round(c, 8).alias(c) for c in ("intensity", "signed", "risk", "newness")])
 
 
 def fn29(spark, folder):
@@ -349,15 +348,29 @@ def nw9(spark, folder):
     return r.select("revision_id", news.tau_hours(F.col("event_subtype")).alias("tau_hours"), news.severity(F.col("event_subtype")).alias("prior"))
 
 
+def _messages(spark, folder):
+    r = normed(spark, folder).where("event_id IS NOT NULL")
+    return r.select("event_id", "news_id", "process_time", "source", "source_type", "entity_id", "provider_tickers", "provider_entities", text.tokens(F.col("h")).alias("tokens"), "class_confidence", text.direction(F.col("subtype"), F.col("h")).alias("direction"))
+
+
+def _scored(spark, folder):
+    """The scores of all revisions and the exposures they had when they became available."""
+    revisions, messages = _revisions(spark, folder), cut_lineage(_messages(spark, folder))
+    exposed = cut_lineage(scores.exposures(scores.with_previous(revisions), messages, table(spark, folder, "entity_instrument_links")))
+    return scores.scores(scores.evidence(revisions, messages, exposed)), exposed, messages
+
+
+def _in_force(spark, folder):
+    scored, exposed, _ = _scored(spark, folder)
+    return scores.active(scored, exposed, _ts(AS_OF))
+
+
 def nw10(spark, folder):
-    """The state of each instrument at a time, from the events of its entities: what of each was the latest then, faded and joined."""
-    latest = asof.latest_as_of(_revisions(spark, folder), ["event_id"], ["available_at", "revision_number", "revision_id"], "available_at", _ts(AS_OF))
-    d = news.decay((F.unix_micros(_ts(AS_OF)) - F.unix_micros("available_at")) / 1e6, news.tau_hours(F.col("event_subtype")) * 3600)
-    active = latest.withColumns({"decay": d, "sev": F.coalesce("severity", news.severity(F.col("event_subtype"))), "unc": news.prior(t.STATE_UNCERTAINTY, F.col("event_state"))}).where("event_state <> 'RETRACTED' AND decay >= 0.01")
-    owners = raw(spark, folder).where("event_id IS NOT NULL AND entity_id IS NOT NULL").where(F.col("process_time") <= _ts(AS_OF)).select("event_id", "entity_id").distinct()
-    links = table(spark, folder, "entity_instrument_links").where(asof.valid_at(F.col("valid_from"), F.col("valid_to"), _ts(AS_OF))).groupBy("entity_id", "instrument_id").agg(F.max("confidence").alias("confidence"))
-    x = active.join(owners, "event_id").join(links, "entity_id").withColumn("intensity", F.col("sev") * F.col("decay") * F.col("confidence"))
-    return x.groupBy("instrument_id").agg(F.countDistinct("event_id").alias("n_events"), F.round(F.sum("intensity"), 6).alias("intensity"), F.round(1 - F.product(1 - F.col("intensity")), 6).alias("risk"), F.round(F.coalesce(F.try_divide(F.sum(F.col("confidence") * F.col("intensity")), F.sum("intensity")), F.lit(0.0)), 6).alias("confidence"), F.round(1 - F.product(1 - F.col("unc") * F.col("decay")), 6).alias("uncertainty"))
+    """The state of each instrument at a time, from the events in force then."""
+    scored, exposed, messages = _scored(spark, folder)
+    live = cut_lineage(scores.active(scored, exposed, _ts(AS_OF)))
+    out = scores.states(live).join(scores.flow(live, messages, _ts(AS_OF)), "instrument_id", "left").withColumns({"volume": F.coalesce("volume", F.lit(0)), "acceleration": F.coalesce("acceleration", F.lit(0.0))})
+    return out.select("instrument_id", "n_events", "n_direct", "n_indirect", "volume", "acceleration", *[F.round(c, 6).alias(c) for c in ("positive_intensity", "negative_intensity", *(f"{b}_risk" for b in scores.RISK_NAMES), "novelty_intensity", "uncertainty", "confidence")])
 
 
 def jn4(spark, folder):
@@ -368,11 +381,10 @@ def jn4(spark, folder):
 
 
 def jn6(spark, folder):
-    """Of each event the latest revision then, with the instruments its entities had."""
+    """Of each event the latest revision known at a time, with the exposures that revision had when it became available."""
     latest = asof.latest_as_of(_revisions(spark, folder), ["event_id"], ["available_at", "revision_number", "revision_id"], "available_at", _ts(AS_OF)).select("event_id", "revision_id")
-    owners = raw(spark, folder).where("event_id IS NOT NULL AND entity_id IS NOT NULL").select("event_id", "entity_id").distinct()
-    links = table(spark, folder, "entity_instrument_links").where(asof.valid_at(F.col("valid_from"), F.col("valid_to"), _ts(AS_OF))).select("entity_id", "instrument_id").distinct()
-    return latest.join(owners, "event_id").join(links, "entity_id").select("instrument_id", "event_id", "revision_id").distinct()
+    exposed = scores.exposures(scores.with_previous(_revisions(spark, folder)), _messages(spark, folder), table(spark, folder, "entity_instrument_links"))
+    return latest.join(exposed, "revision_id").select("instrument_id", "event_id", "revision_id", "is_direct", F.round("confidence", 8).alias("confidence"))
 
 
 def jn13(spark, folder):
@@ -393,8 +405,10 @@ def nw7(spark, folder):
 
 
 def nw8(spark, folder):
-    s = news.event_scores(_revisions(spark, folder))
-    return s.select("revision_id", *[F.round(c, 8).alias(c) for c in ("severity", "novelty", "uncertainty")])
+    """All scores of each revision with the parts they are made of."""
+    s, _, _ = _scored(spark, folder)
+    parts = dict.fromkeys(("credibility", "sentiment", "severity", "novelty", "confidence", "uncertainty", *scores.NOVELTY, *scores.CONFIDENCE, *scores.UNCERTAINTY))
+    return s.select("revision_id", *[F.round(F.col(c).cast("double"), 8).alias(c) for c in parts])
 
 
 def _names(spark, folder):
@@ -526,14 +540,43 @@ paths AS (SELECT 'r' || r_regionkey AS start, 'r' || r_regionkey AS node, ['r' |
   UNION ALL SELECT start, dst, list_append(nodes, dst), magnitude * m * 0.7::DOUBLE, confidence * c, depth + 1 FROM paths JOIN edges ON node = src WHERE depth < 3 AND NOT list_contains(nodes, dst))"""
 
 _UNC = _lookup(t.STATE_UNCERTAINTY, "event_state")
+_OFFICIAL = "coalesce(" + " OR ".join(f"(source_type = '{k}' AND event_type IN ({', '.join(map(repr, v))}))" for k, v in t.OFFICIAL.items()) + ", false)"
+_DIRECTION = f"CASE WHEN subtype = 'COMPANY.BUYBACK' THEN 1 WHEN subtype = 'COMPANY.DIVIDEND' AND {_has(('suspends dividend', 'suspend dividend', 'cuts dividend', 'cancels dividend')).replace('|| n ||', '|| h ||')} THEN -1 WHEN subtype LIKE 'REGULATORY.%' AND {_has(('rejects', 'rejection', 'denies', 'denied')).replace('|| n ||', '|| h ||')} THEN -1 WHEN subtype = 'REGULATORY.APPROVAL' THEN 1 WHEN subtype = 'GEOPOLITICAL.SANCTION' THEN -1 ELSE 0 END::DOUBLE"
+#: Each rule by itself: what a revision knew is what its event's messages said by the time it became available.
+_SCORES = f"""WITH {NORMED}, {_REV},
+msg AS (SELECT event_id, news_id, process_time, source, source_type, entity_id, provider_tickers, provider_entities, {_TOKENS.format(h='h')} AS tokens, confidence AS classifier, {_DIRECTION} AS direction, {_CRED} AS prior FROM normed WHERE event_id IS NOT NULL),
+rp AS (SELECT *, lag(available_at) OVER w AS before_at, lag(event_state) OVER w AS before_state, lag(revision_id) OVER w AS before_id FROM rev WINDOW w AS (PARTITION BY event_id ORDER BY revision_number, revision_id)),
+said AS (SELECT r.revision_id, r.event_type, r.available_at, coalesce(m.process_time <= r.before_at, false) AS old, m.* FROM rp r JOIN msg m ON m.event_id = r.event_id AND m.process_time <= r.available_at),
+src AS (SELECT revision_id, lower(source) AS name, max(prior) AS prior, bool_or(old) AS old, arg_max(source_type, prior) AS kind, bool_or({_OFFICIAL}) AS official, bool_or({_OFFICIAL} AND old) AS official_before FROM said GROUP BY ALL),
+srcs AS (SELECT revision_id, count(*) AS n, count(*) FILTER (NOT old) AS fresh, 1 - product(1 - prior) AS credibility, max(prior) - min(prior) AS dispersion, bool_and(coalesce(kind = 'SPECULATIVE', false)) AS speculative, bool_or(official) AS official, bool_or(official_before) AS official_before FROM src GROUP BY revision_id),
+ent AS (SELECT revision_id, entity_id, any_value(available_at) AS available_at, bool_or(old) AS old FROM said WHERE entity_id IS NOT NULL GROUP BY revision_id, entity_id),
+ents AS (SELECT revision_id, count(*) AS n, count(*) FILTER (NOT old) AS fresh FROM ent GROUP BY revision_id),
+terms AS (SELECT revision_id, count(DISTINCT term) AS n FROM (SELECT revision_id, unnest(list_concat(list_transform(coalesce(provider_tickers, []), lambda x: 't:' || lower(x)), list_transform(coalesce(provider_entities, []), lambda x: 'e:' || lower(x)))) AS term FROM said) GROUP BY revision_id),
+expo AS (SELECT revision_id, instrument_id, bool_or(direct) AS is_direct, arg_max(confidence, CASE WHEN direct THEN 10 ELSE 0 END + confidence) AS confidence FROM (SELECT e.revision_id, l.instrument_id, coalesce(l.relationship_type = 'PRIMARY_EQUITY', false) AS direct, l.confidence FROM ent e JOIN entity_instrument_links l USING (entity_id) WHERE (valid_from IS NULL OR valid_from <= available_at) AND (valid_to IS NULL OR valid_to > available_at)) GROUP BY revision_id, instrument_id),
+ins AS (SELECT revision_id, list(DISTINCT instrument_id) AS instruments, avg(confidence) AS exposure_confidence FROM expo GROUP BY revision_id),
+head AS (SELECT revision_id, arg_max(struct_pack(t := tokens, c := classifier, d := direction), struct_pack(p := process_time, n := news_id)) AS x FROM said GROUP BY revision_id),
+a0 AS (SELECT rp.*, coalesce(srcs.n, 0) AS n_sources, coalesce(srcs.fresh, 0) AS n_fresh, coalesce(credibility, 0) AS credibility, coalesce(dispersion, 0) AS dispersion, coalesce(speculative::INT, 0) AS speculative_only, coalesce(official, false) AND event_state = 'CONFIRMED' AS conf, coalesce(official_before, false) AND coalesce(before_state, '') = 'CONFIRMED' AS conf0,
+  coalesce(ents.n, 0) AS n_entities, coalesce(ents.fresh, 0) AS n_new_entities, coalesce(terms.n, 0) AS n_terms, coalesce(instruments, []) AS ins, coalesce(exposure_confidence, 0) AS exposure_confidence, coalesce(x.t, []) AS tok, coalesce(x.c, 0) AS classifier, coalesce(x.d, 0) AS sentiment
+  FROM rp LEFT JOIN srcs USING (revision_id) LEFT JOIN ents USING (revision_id) LEFT JOIN terms USING (revision_id) LEFT JOIN ins USING (revision_id) LEFT JOIN head USING (revision_id)),
+a1 AS (SELECT *, coalesce(lag(ins) OVER w, []) AS ins0, coalesce(lag(tok) OVER w, []) AS tok0 FROM a0 WINDOW w AS (PARTITION BY event_id ORDER BY revision_number, revision_id)),
+a2 AS (SELECT * REPLACE (coalesce(severity, {_SEV}) AS severity), coalesce(1 - len(list_intersect(tok, tok0)) / nullif(len(list_distinct(list_concat(tok, tok0))), 0), 0) AS token_change, n_fresh / greatest(n_sources, 1) AS new_sources, n_new_entities / greatest(n_entities, 1) AS new_entities, len(list_filter(ins, lambda x: NOT list_contains(ins0, x))) / greatest(len(ins), 1) AS new_instruments,
+  (conf AND NOT conf0)::INT AS new_confirmation, conf::INT AS confirmed, (NOT conf)::INT AS unconfirmed, least(greatest(n_sources - 1, 0) / 2.0::DOUBLE, 1) AS corroboration, CASE WHEN n_entities > 0 THEN 0.95::DOUBLE ELSE 0 END AS entity_confidence, {_UNC} AS state_uncertainty,
+  CASE WHEN n_terms = 0 THEN 0 ELSE 1 - least(n_entities / n_terms, 1) END AS unresolved, CASE WHEN n_entities > 0 THEN 1 - 0.95::DOUBLE WHEN n_terms > 0 THEN 1 ELSE 0 END AS entity_deficit, 0 AS direction_conflict FROM a1),
+scored AS (SELECT *, CASE WHEN before_id IS NULL THEN 1 ELSE 0.4::DOUBLE * token_change + 0.1::DOUBLE * new_sources + 0.15::DOUBLE * new_entities + 0.15::DOUBLE * new_instruments + 0.2::DOUBLE * new_confirmation END AS novelty,
+  0.3::DOUBLE * credibility + 0.15::DOUBLE * corroboration + 0.2::DOUBLE * classifier + 0.15::DOUBLE * entity_confidence + 0.15::DOUBLE * exposure_confidence + 0.05::DOUBLE * confirmed AS confidence,
+  1 - (1 - 0.35::DOUBLE * state_uncertainty) * (1 - 0.15::DOUBLE * dispersion) * (1 - 0.25::DOUBLE * speculative_only) * (1 - 0.15::DOUBLE * unconfirmed) * (1 - 0.2::DOUBLE * unresolved) * (1 - 0.1::DOUBLE * entity_deficit) AS uncertainty FROM a2)"""
+_FORCE = _SCORES + f""",
+live AS (SELECT *, {_DECAY} AS decay FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY available_at DESC, revision_number DESC, revision_id DESC) AS nth FROM scored WHERE available_at <= {_AT}) WHERE nth = 1 AND event_state <> 'RETRACTED'),
+f0 AS (SELECT live.*, instrument_id, is_direct, CASE WHEN is_direct THEN 1 ELSE 0.7::DOUBLE END AS mag, CASE WHEN is_direct THEN 1 ELSE 0.8::DOUBLE END AS rel FROM live JOIN expo USING (revision_id) WHERE decay >= 0.01),
+force AS (SELECT *, mag * rel * severity * novelty * credibility * confidence * decay AS intensity, mag * rel * severity * decay * (0.5::DOUBLE + 0.25::DOUBLE * credibility + 0.25::DOUBLE * confidence) * (0.5::DOUBLE + 0.5::DOUBLE * uncertainty) AS risk, novelty * mag * rel * decay AS newness, mag * rel * decay AS weight,
+  CASE WHEN event_type = 'COMPANY' THEN 'company' WHEN event_type = 'SECTOR' THEN 'sector' WHEN event_type IN ('MACRO', 'RATE', 'CURRENCY', 'COMMODITY') THEN 'macro' WHEN event_type = 'GEOPOLITICAL' THEN 'geopolitical' WHEN event_type = 'REGULATORY' THEN 'regulatory' ELSE 'systemic' END AS bucket FROM f0)"""
 ORACLE = {
     "jn4_relations": f"WITH l AS (SELECT DISTINCT link_id, entity_id, instrument_id FROM entity_instrument_links WHERE {_VALID}) SELECT node, way, count(*) AS n FROM (SELECT entity_id AS node, 'OUT' AS way FROM l UNION ALL SELECT instrument_id, 'IN' FROM l) GROUP BY ALL",
-    "jn6_exposed": f"WITH {_REV}, {_LATEST} SELECT DISTINCT instrument_id, latest.event_id, revision_id FROM latest JOIN (SELECT DISTINCT event_id, entity_id FROM raw_news) o ON o.event_id = latest.event_id JOIN entity_instrument_links l ON l.entity_id = o.entity_id WHERE {_VALID}",
+    "jn6_exposed": _SCORES + f" SELECT instrument_id, event_id, revision_id, is_direct, round(expo.confidence, 8) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY available_at DESC, revision_number DESC, revision_id DESC) AS nth FROM rev WHERE available_at <= {_AT}) l JOIN expo USING (revision_id) WHERE nth = 1",
     "jn13_mentions": f"WITH {NORMED}, e AS (SELECT entity_id, {_norm('canonical_name')} AS k FROM entities) SELECT news_id, e.entity_id FROM nf JOIN e ON contains(' ' || n || ' ', ' ' || k || ' ') WHERE k <> ''",
     "fn20_prj2_direction": f"WITH {_REV}, p AS (SELECT unnest([" + ", ".join(f"{{'r': '{r}', 'd': '{d}', 'k': '{k[0] if k else ''}'}}" for r, _, d, k in t.POLICIES) + "]) AS p) SELECT revision_id, p.r AS relation, CASE WHEN p.d = 'PRESERVE' AND (p.k = '' OR p.k = event_type) THEN -0.5 ELSE 0 END::DOUBLE AS exposure FROM rev CROSS JOIN p",
     "nw7_unprocessed": f"WITH {_REV} SELECT revision_id FROM rev WHERE NOT available_at <= {_AT}",
-    "nw8_scores": f"WITH {_REV}, b AS (SELECT *, lag(revision_id) OVER w AS r0, coalesce(lag(source_names) OVER w, []) AS s0, lag(event_state) OVER w AS e0 FROM rev WINDOW w AS (PARTITION BY event_id ORDER BY revision_number)) SELECT revision_id, round(coalesce(severity, {_SEV}), 8) AS severity, round(CASE WHEN r0 IS NULL THEN 1.0::DOUBLE ELSE 0.1::DOUBLE * (len(list_filter(list_distinct(source_names), lambda x: NOT list_contains(s0, x))) / greatest(len(source_names), 1)) + CASE WHEN event_state = 'CONFIRMED' AND coalesce(e0, '') <> 'CONFIRMED' THEN 0.2::DOUBLE ELSE 0 END END, 8) AS novelty, "
-    f"round(1 - (1 - 0.35::DOUBLE * {_UNC}) * (1 - CASE WHEN len(source_names) < 2 THEN 0.15::DOUBLE ELSE 0 END) * (1 - CASE WHEN event_state <> 'CONFIRMED' THEN 0.15::DOUBLE ELSE 0 END), 8) AS uncertainty FROM b",
+    "nw8_scores": _SCORES + " SELECT revision_id, " + ", ".join(f"round({c}::DOUBLE, 8) AS {c}" for c in dict.fromkeys(("credibility", "sentiment", "severity", "novelty", "confidence", "uncertainty", *scores.NOVELTY, *scores.CONFIDENCE, *scores.UNCERTAINTY))) + " FROM scored",
     "src5_exists": f"SELECT news_id, EXISTS (SELECT 1 FROM raw_news o WHERE o.batch_id < {FIRST_INCOMING_BATCH} AND o.source = r.source AND o.provider_item_id = r.provider_item_id) AS exists_item, EXISTS (SELECT 1 FROM raw_news o WHERE o.batch_id < {FIRST_INCOMING_BATCH} AND o.content_hash = r.content_hash) AS exists_hash FROM raw_news r WHERE batch_id >= {FIRST_INCOMING_BATCH}",
     "src6_scan_as_of": f"SELECT news_id, process_time FROM raw_news WHERE process_time <= {_AT}",
     "src7_stream_scan": f"SELECT event_id, instrument_id, sequence_number, process_time FROM raw_market_events WHERE venue = 'XBRU' AND sequence_stream_id = 'XBRU-ch0' AND sequence_number BETWEEN 3 AND 40 AND process_time <= {_AT}",
@@ -572,7 +615,7 @@ ORACLE = {
     "fn7_keys": "SELECT instrument_id, upper(trim(ticker)) AS ticker_key, regexp_replace(lower(ticker), '[^a-z0-9]', '', 'g') AS comparison_key FROM instruments",
     "fn8_elapsed": "SELECT news_id, CASE WHEN receive_time >= event_time THEN CAST((epoch_us(receive_time) - epoch_us(event_time)) / 1000000.0 AS DECIMAL(20,6)) END AS delay_s, CAST((epoch_us(event_time) - epoch_us(process_time)) / 1000000.0 AS DECIMAL(20,6)) AS signed_s FROM raw_news",
     "fn9_fn10_decay": f"WITH {_REV} SELECT revision_id, round({_DECAY}, 8) AS decay, round(greatest(0, 1 - abs({_AGE}) / {news.HORIZON_S}), 8) AS proximity FROM rev",
-    "fn16_fn18_intensity": f"WITH {_REV}, u AS (SELECT *, {_lookup(t.STATE_UNCERTAINTY, 'event_state')} AS u FROM rev WHERE severity IS NOT NULL) SELECT revision_id, round(0.6::DOUBLE * severity * 0.8::DOUBLE * (1 - u), 10) AS intensity, round(0.6::DOUBLE * severity * (0.5::DOUBLE + 0.25::DOUBLE * 0.8::DOUBLE + 0.25::DOUBLE * (1 - u)) * (0.5::DOUBLE + 0.5::DOUBLE * u), 10) AS risk, round(u * 0.6::DOUBLE, 10) AS novelty, round(-0.6::DOUBLE * severity, 10) AS signed_exposure FROM u",
+    "fn16_fn18_intensity": _FORCE + " SELECT instrument_id, event_id, round(intensity, 8) AS intensity, round(intensity * sentiment, 8) AS signed, round(risk, 8) AS risk, round(newness, 8) AS newness FROM force",
     "fn29_uuid5": f"SELECT news_id, {_uuid('source || chr(124) || news_id')} AS uuid FROM raw_news",
     "nw1_similarity": f"WITH {NORMED}, r AS (SELECT event_id, news_id, process_time, subtype, {_TOKENS.format(h='h')} AS t, {_ANCHORS.format(x='text')} AS a FROM normed WHERE event_id IS NOT NULL), l AS (SELECT *, lag(t) OVER w AS t0, lag(a) OVER w AS a0, lag(process_time) OVER w AS p0, lag(subtype) OVER w AS s0 FROM r WINDOW w AS (PARTITION BY event_id ORDER BY process_time, news_id)), "
     f"g AS (SELECT *, (epoch_us(process_time) - epoch_us(p0)) / 1e6 AS age, len(list_intersect(t, t0)) AS ti, len(list_distinct(list_concat(t, t0))) AS tu, len(list_intersect(a, a0)) AS ai, len(list_distinct(list_concat(a, a0))) AS au FROM l WHERE p0 IS NOT NULL) SELECT news_id, round(CASE WHEN subtype <> s0 OR age > {news.HORIZON_S} OR (subtype LIKE 'COMPANY.%' AND ai = 0) THEN 0 ELSE 0.55::DOUBLE * coalesce(ti / nullif(tu, 0), 0) + 0.25::DOUBLE * coalesce(ai / nullif(au, 0), 0) + 0.1::DOUBLE * greatest(0, 1 - age / {news.HORIZON_S}) + 0.1::DOUBLE END, 6) AS similarity FROM g",
@@ -584,6 +627,7 @@ ORACLE = {
     "nw6_path_ids": f"WITH RECURSIVE {_EDGES}, q AS (SELECT start || '|' || array_to_string(nodes, '|') AS x FROM paths) SELECT DISTINCT {_uuid('x')} AS path_id FROM q",
     "tk4_strongest": f"WITH RECURSIVE {_EDGES}, p AS (SELECT node, array_to_string(nodes, '>') AS path, row_number() OVER (PARTITION BY node ORDER BY CASE WHEN depth > 2 THEN 1 ELSE 0 END, round(magnitude, 10) DESC, round(confidence, 10) DESC, array_to_string(nodes, '>')) AS nth FROM paths WHERE node LIKE 's%') SELECT node, path FROM p WHERE nth = 1",
     "nw9_priors": f"WITH {_REV} SELECT revision_id, {_TAU} AS tau_hours, {_SEV} AS prior FROM rev",
-    "nw10_ag4_state": f"WITH {_REV}, {_LATEST}, active AS (SELECT *, {_DECAY} AS decay, coalesce(severity, {_SEV}) AS sev, {_lookup(t.STATE_UNCERTAINTY, 'event_state')} AS unc FROM latest WHERE event_state <> 'RETRACTED'), owners AS (SELECT DISTINCT event_id, entity_id FROM raw_news WHERE event_id IS NOT NULL AND entity_id IS NOT NULL AND process_time <= {_AT}), links AS (SELECT entity_id, instrument_id, max(confidence) AS confidence FROM entity_instrument_links WHERE {_VALID} GROUP BY ALL), x AS (SELECT *, sev * decay * confidence AS intensity FROM active JOIN owners USING (event_id) JOIN links USING (entity_id) WHERE decay >= 0.01) "
-    "SELECT instrument_id, count(DISTINCT event_id) AS n_events, round(sum(intensity), 6) AS intensity, round(1 - product(1 - intensity), 6) AS risk, round(coalesce(sum(confidence * intensity) / nullif(sum(intensity), 0), 0), 6) AS confidence, round(1 - product(1 - unc * decay), 6) AS uncertainty FROM x GROUP BY instrument_id",
+    "nw10_ag4_state": _FORCE + f""", fl AS (SELECT instrument_id, count(DISTINCT news_id) FILTER (age < 86400) AS volume, count(DISTINCT news_id) FILTER (age < 900) AS recent, count(DISTINCT news_id) FILTER (age >= 900 AND age < 4500) AS prior FROM (SELECT instrument_id, news_id, (epoch_us({_AT}) - epoch_us(process_time)) / 1e6 AS age FROM force JOIN msg USING (event_id) WHERE process_time <= {_AT}) GROUP BY instrument_id)
+    SELECT instrument_id, count(*) AS n_events, count(*) FILTER (is_direct) AS n_direct, count(*) FILTER (NOT is_direct) AS n_indirect, coalesce(any_value(volume), 0) AS volume, coalesce(any_value(recent) * 4.0::DOUBLE - any_value(prior), 0) AS acceleration, round(sum(greatest(intensity * sentiment, 0)), 6) AS positive_intensity, round(sum(abs(least(intensity * sentiment, 0))), 6) AS negative_intensity, """ + ", ".join(f"round(1 - product(CASE bucket WHEN '{b}' THEN 1 - risk ELSE 1 END), 6) AS {b}_risk" for b in scores.RISK_NAMES) + """, round(1 - product(1 - newness), 6) AS novelty_intensity,
+    round(CASE WHEN count(DISTINCT CASE WHEN sentiment <> 0 THEN sign(sentiment) END) > 1 THEN 1 - product(1 - uncertainty * weight) * 0.65::DOUBLE ELSE 1 - product(1 - uncertainty * weight) END, 6) AS uncertainty, round(coalesce(sum(confidence * weight) / nullif(sum(weight), 0), 0), 6) AS confidence FROM force LEFT JOIN fl USING (instrument_id) GROUP BY instrument_id""",
 }

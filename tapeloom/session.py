@@ -24,9 +24,13 @@ def build_session(app: str = "tapeloom", cores: str = "*", shuffle_partitions: i
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only an unset one is given a local folder."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tapeloom-checkpoint-"))
+    """Use the shared folder the cluster names. Only a session within one process may go without, and gets a local folder."""
+    if spark.conf.get("spark.checkpoint.dir", None) is not None or spark.sparkContext.getCheckpointDir() is not None:
+        return
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tapeloom-checkpoint-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
