@@ -89,19 +89,19 @@ def replenishment(trans: DataFrame, gap: int = EPISODE_GAP) -> DataFrame:
     withdrawn of an order is taken from its additions, first in first out; a raised order makes its episode incomplete,
     as not all that it shows was added there. One pass over each stream's sorted transitions.
     """
-    t = trans.select(F.col("stream").cast("long"), F.col("sequence").cast("long"), F.col("order_id").cast("string"), "action", "side", F.coalesce("post_price", "pre_price").cast("double").alias("price"), *[F.col(c).cast("double") for c in ("added", "executed", "withdrawn")])
+    t = trans.where("error IS NULL").select(F.col("stream").cast("long"), F.col("sequence").cast("long"), F.col("order_id").cast("string"), "action", "side", F.coalesce("post_price", "pre_price").cast("double").alias("price"), *[F.col(c).cast("double") for c in ("added", "executed", "withdrawn")])
     return t.repartition("stream").sortWithinPartitions("stream", "sequence").mapInArrow(_replenish(gap), EPISODE)
 
 
 def attacked_orders(trans: DataFrame, window: Column) -> DataFrame:
     """Orders that stood at a window's start and were touched in it: what was there, executed, withdrawn, left."""
-    g = trans.withColumn("window", window).groupBy("stream", "window", "order_id").agg(F.min_by("pre_qty", "sequence").alias("before"), F.sum("executed").alias("executed"), F.sum("withdrawn").alias("withdrawn"), F.max_by("post_qty", "sequence").alias("after"))
-    return g.where("before > 0").withColumn("survived", m.over(F.col("after"), F.col("before")))
+    g = trans.where("error IS NULL").withColumn("window", window).groupBy("stream", "window", "order_id").agg(F.min_by("pre_qty", "sequence").alias("before"), F.sum("executed").alias("executed"), F.sum("withdrawn").alias("withdrawn"), F.max_by("post_qty", "sequence").alias("after"))
+    return g.where("before > 0").withColumn("survived", m.over(F.col("after").cast("double"), F.col("before").cast("double")))
 
 
 def order_credibility(life: DataFrame) -> Column:
     """Of an order: executed, long-lived, still there, not withdrawn."""
-    return m.convex((F.col("executed_share"), 0.4), (m.saturation(F.col("lifetime_s"), 30.0), 0.2), (m.over(F.col("remaining"), F.col("largest")), 0.2), (1 - F.col("withdrawn_share"), 0.2))
+    return m.convex((F.col("executed_share"), 0.4), (m.saturation(F.col("lifetime_s"), 30.0), 0.2), (m.over(F.col("remaining").cast("double"), F.col("largest").cast("double")), 0.2), (1 - F.col("withdrawn_share"), 0.2))
 
 
 TOXICITY_WEIGHTS = (("flow", 0.2), ("shocks", 0.15), ("impact", 0.15), ("failure", 0.15), ("withdrawal", 0.1), ("spread", 0.1), ("volatility", 0.15))

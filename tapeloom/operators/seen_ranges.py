@@ -204,6 +204,17 @@ def seen_ranges(df: DataFrame, row_id: str = "news_id", source: str = "source",
     return islands.groupBy("key", "block", "island").agg(F.min("number").alias("range_start"), (F.max("number") + 1).alias("range_end")).select("key", "range_start", "range_end")
 
 
+def merge_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges of several runs as one disjoint set; those that overlap or touch within a block become one."""
+    from pyspark.sql import Window
+
+    block = F.shiftright("range_start", BLOCK_BITS).alias("block")
+    w = Window.partitionBy("key", "block").orderBy("range_start", "range_end")
+    reach = F.max("range_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    islands = ranges.select("key", "range_start", "range_end", block).withColumn("opens", (reach.isNull() | (F.col("range_start") > reach)).cast("int")).withColumn("island", F.sum("opens").over(w))
+    return islands.groupBy("key", "block", "island").agg(F.min("range_start").alias("range_start"), F.max("range_end").alias("range_end")).select("key", "range_start", "range_end")
+
+
 def copies(df: DataFrame, **columns: str) -> DataFrame:
     """The row ids to drop."""
     row_id = columns.get("row_id", "news_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.operators import book as b
@@ -9,6 +10,11 @@ from tapeloom.operators import liquidity as lq
 from tapeloom.plans.frames import book_events, book_sql
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """Exact numbers as doubles, as the SQL has them."""
+    return df.withColumns({c: F.col(c).cast("double") for c, kind in df.dtypes if kind.startswith("decimal")})
+
+
 def _trans(spark, folder, broken=False):
     return b.transitions(book_events(spark, folder, broken))
 
@@ -18,70 +24,70 @@ def _levels(spark, folder):
 
 
 def ob1(spark, folder):
-    return _trans(spark, folder).select("stream", "sequence", "action", "pre_price", "post_price", "pre_qty", "post_qty")
+    return plain(_trans(spark, folder).select("stream", "sequence", "action", "pre_price", "post_price", "pre_qty", "post_qty"))
 
 
 def ob2_depth(spark, folder):
-    return b.depth_changes(_trans(spark, folder)).drop("epoch")
+    return plain(b.depth_changes(_trans(spark, folder)).drop("epoch"))
 
 
 def ob2_snapshots(spark, folder):
     """The touch after every event, by replay; its SQL has it from the levels' depth by windows."""
     s = b.snapshots(book_events(spark, folder), 1)
-    return s.groupBy("stream").agg(F.count("*").alias("n_events"), F.count("error").alias("n_errors"), F.max("sequence").alias("last"), F.max_by(F.get("bids", 0)["price"], "sequence").alias("bid"), F.max_by(F.get("bids", 0)["qty"], "sequence").alias("bid_qty"), F.max_by(F.get("asks", 0)["price"], "sequence").alias("ask"), F.max_by(F.get("asks", 0)["orders"], "sequence").alias("ask_orders"))
+    return plain(s.groupBy("stream").agg(F.count("*").alias("n_events"), F.count("error").alias("n_errors"), F.max("sequence").alias("last"), F.max_by(F.get("bids", 0)["price"], "sequence").alias("bid"), F.max_by(F.get("bids", 0)["qty"], "sequence").alias("bid_qty"), F.max_by(F.get("asks", 0)["price"], "sequence").alias("ask"), F.max_by(F.get("asks", 0)["orders"], "sequence").alias("ask_orders")))
 
 
 def ob3(spark, folder):
-    return b.first_errors(_trans(spark, folder, True))
+    return plain(b.first_errors(_trans(spark, folder, True)))
 
 
 def ob4(spark, folder):
     f = b.book_features(_levels(spark, folder))
-    return f.select("stream", "bid", "ask", *[F.round(c, 8).alias(c) for c in ("spread", "mid", "microprice")])
+    return plain(f.select("stream", "bid", "ask", *[F.round(c, 8).alias(c) for c in ("spread", "mid", "microprice")]))
 
 
 def ob5(spark, folder):
-    return _trans(spark, folder, True).select("stream", "epoch", "sequence", "life", "added", "executed", "withdrawn")
+    return plain(_trans(spark, folder, True).select("stream", "epoch", "sequence", "life", "added", "executed", "withdrawn"))
 
 
 def ob6(spark, folder):
     events = book_events(spark, folder, True)
     t = b.transitions(events)
     resets = events.where("action = 'RESET'").select("stream", (F.row_number().over(b.Window.partitionBy("stream").orderBy("sequence")) - 1).alias("epoch"))
-    return b.lifecycles(t, resets).groupBy("stream", "reason").agg(F.count("*").alias("n"))
+    return plain(b.lifecycles(t, resets).groupBy("stream", "reason").agg(F.count("*").alias("n")))
 
 
 def ob7(spark, folder):
-    return b.lifecycles(_trans(spark, folder)).groupBy("stream").agg(F.count("*").alias("n"), F.count(F.when(F.col("balanced"), 1)).alias("n_balanced"), F.round(F.avg("executed_share"), 8).alias("executed_share"), F.round(F.avg("withdrawn_share"), 8).alias("withdrawn_share"), F.round(F.avg("lifetime_s"), 6).alias("lifetime_s"))
+    return plain(b.lifecycles(_trans(spark, folder)).groupBy("stream").agg(F.count("*").alias("n"), F.count(F.when(F.col("balanced"), 1)).alias("n_balanced"), F.round(F.avg("executed_share"), 8).alias("executed_share"), F.round(F.avg("withdrawn_share"), 8).alias("withdrawn_share"), F.round(F.avg("lifetime_s"), 6).alias("lifetime_s")))
 
 
 def ag7(spark, folder):
-    return _levels(spark, folder)
+    return plain(_levels(spark, folder))
 
 
 def ag11(spark, folder):
-    return b.lifecycles(_trans(spark, folder)).select("stream", "order_id", "added", "executed", "withdrawn", "largest", "remaining", "modifies", "executions", "price_changes")
+    return plain(b.lifecycles(_trans(spark, folder)).select("stream", "order_id", "added", "executed", "withdrawn", "largest", "remaining", "modifies", "executions", "price_changes"))
 
 
 def tk2(spark, folder):
-    return b.top_levels(_levels(spark, folder), 5)
+    return plain(b.top_levels(_levels(spark, folder), 5))
 
 
 def fn14_15(spark, folder):
     f = b.book_features(_levels(spark, folder))
-    return f.select("stream", *[F.round(c, 8).alias(c) for c in ("imbalance", "weighted_bid", "weighted_ask")])
+    return plain(f.select("stream", *[F.round(c, 8).alias(c) for c in ("imbalance", "weighted_bid", "weighted_ask")]))
 
 
 def ag12(spark, folder):
     """Quantity-weighted credibility of each side: what was executed of what was shown, and the depth that is worth."""
     life = b.lifecycles(_trans(spark, folder)).withColumn("score", F.coalesce("executed_share", F.lit(0.0)))
-    return life.groupBy("stream", "side").agg(F.round(F.try_divide(F.sum(F.col("largest") * F.col("score")), F.sum("largest")), 8).alias("credibility"), F.round(F.sum(F.col("remaining") * (1 - F.col("withdrawn_share"))), 6).alias("credible_depth"), F.round(F.try_divide(F.sum("withdrawn"), F.sum("added")), 8).alias("withdrawn_fraction"))
+    return plain(life.groupBy("stream", "side").agg(F.round(F.try_divide(F.sum(F.col("largest").cast("double") * F.col("score")), F.sum(F.col("largest").cast("double"))), 8).alias("credibility"), F.round(F.sum(F.col("remaining").cast("double") * (1 - F.col("withdrawn_share"))), 6).alias("credible_depth"), F.round(F.try_divide(F.sum("withdrawn").cast("double"), F.sum("added").cast("double")), 8).alias("withdrawn_fraction")))
 
 
 QUERIES = {"ob1_transitions": ob1, "ob2_depth": ob2_depth, "ob2_snapshots": ob2_snapshots, "ob3_errors": ob3, "ob4_touch": ob4, "ob5_lifecycle_steps": ob5, "ob6_terminal_reasons": ob6, "ob7_accounting": ob7, "ag7_levels": ag7, "ag11_lifecycle_totals": ag11, "tk2_top_levels": tk2, "fn14_fn15_depth": fn14_15, "ag12_side_credibility": ag12}
 
-_B, _X = f"WITH {book_sql()}", f"WITH {book_sql(True)}"
-_LIFE = ", life AS (SELECT stream, epoch, order_id, life, any_value(side) AS side, sum(added) AS added, sum(executed) AS executed, sum(withdrawn) AS withdrawn, max(post_qty) AS largest, arg_max(post_qty, sequence) AS remaining, arg_max(action, sequence) AS last_action, count(*) FILTER (action = 'MODIFY') AS modifies, count(*) FILTER (action = 'EXECUTE') AS executions, count(*) FILTER (action = 'MODIFY' AND pre_price <> post_price) AS price_changes, (max(at_us) - min(at_us)) / 1e6 AS lifetime_s FROM trans GROUP BY stream, epoch, order_id, life)"
+_B, _X = f"WITH RECURSIVE {book_sql()}", f"WITH RECURSIVE {book_sql(True)}"
+_LIFE = ", life AS (SELECT stream, epoch, order_id, life, any_value(side) AS side, sum(added) AS added, sum(executed) AS executed, sum(withdrawn) AS withdrawn, max(post_qty) AS largest, arg_max(post_qty, sequence) AS remaining, arg_max(action, sequence) AS last_action, count(*) FILTER (action = 'MODIFY') AS modifies, count(*) FILTER (action = 'EXECUTE') AS executions, count(*) FILTER (action = 'MODIFY' AND pre_price <> post_price) AS price_changes, (max(at_us) - min(at_us)) / 1e6 AS lifetime_s FROM trans WHERE error IS NULL GROUP BY stream, epoch, order_id, life)"
 _TOUCH = ", touch AS (SELECT stream, max(price) FILTER (side = 'BID' AND level = 1) AS bid, max(depth) FILTER (side = 'BID' AND level = 1) AS bid_size, max(price) FILTER (side = 'ASK' AND level = 1) AS ask, max(depth) FILTER (side = 'ASK' AND level = 1) AS ask_size, max(orders) FILTER (side = 'ASK' AND level = 1) AS ask_orders FROM top GROUP BY stream)"
 _W = "CASE level WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 WHEN 3 THEN 0.25 WHEN 4 THEN 0.125 WHEN 5 THEN 0.0625 END"
 
@@ -103,17 +109,17 @@ ORACLE = {
 
 
 def sr12(spark, folder):
-    return lq.replenishment(_trans(spark, folder))
+    return plain(lq.replenishment(_trans(spark, folder)))
 
 
 def sr13(spark, folder):
     life = b.lifecycles(_trans(spark, folder))
-    return life.select("stream", "order_id", F.round(lq.order_credibility(life), 8).alias("credibility"))
+    return plain(life.select("stream", "order_id", F.round(lq.order_credibility(life), 8).alias("credibility")))
 
 
 def sr14(spark, folder):
     a = lq.attacked_orders(_trans(spark, folder), F.floor(F.col("sequence") / 200))
-    return a.groupBy("stream", "window").agg(F.count("*").alias("n"), F.round(F.sum("before"), 6).alias("before"), F.round(F.sum("executed"), 6).alias("executed"), F.round(F.sum("withdrawn"), 6).alias("withdrawn"), F.round(F.avg("survived"), 8).alias("survived"))
+    return plain(a.groupBy("stream", "window").agg(F.count("*").alias("n"), F.round(F.sum("before"), 6).alias("before"), F.round(F.sum("executed"), 6).alias("executed"), F.round(F.sum("withdrawn"), 6).alias("withdrawn"), F.round(F.avg("survived"), 8).alias("survived")))
 
 
 QUERIES |= {"sr12_replenishment": sr12, "sr13_credibility": sr13, "sr14_attacked_orders": sr14}

@@ -78,17 +78,16 @@ def book_sql(broken: bool = False) -> str:
         f"ev AS ({' UNION ALL '.join(parts)}), "
         "book AS (SELECT l_suppkey AS stream, rn AS order_id, CASE l_linestatus WHEN 'F' THEN 'BID' ELSE 'ASK' END AS side, action, price, CAST(qty AS DOUBLE) AS qty, row_number() OVER (PARTITION BY l_suppkey ORDER BY ordinal, rn) - 1 AS sequence, ordinal * 1000 AS at_us FROM ev), "
         "ep AS (SELECT * FROM (SELECT *, sum(CASE action WHEN 'RESET' THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY sequence) AS epoch FROM book) WHERE action <> 'RESET'), "
-        "lf AS (SELECT *, sum(CASE action WHEN 'ADD' THEN 1 ELSE 0 END) OVER (PARTITION BY stream, epoch, order_id ORDER BY sequence) AS life FROM ep), "
-        "bs AS (SELECT *, sum(CASE WHEN action IN ('ADD', 'MODIFY') THEN 1 ELSE 0 END) OVER (PARTITION BY stream, epoch, order_id, life ORDER BY sequence) AS base FROM lf), "
-        "lt AS (SELECT *, CASE action WHEN 'DELETE' THEN 0 ELSE sum(CASE WHEN action IN ('ADD', 'MODIFY') THEN qty ELSE -qty END) OVER (PARTITION BY stream, epoch, order_id, life, base ORDER BY sequence) END AS post_qty, "
-        "first_value(price) OVER (PARTITION BY stream, epoch, order_id, life, base ORDER BY sequence) AS p0 FROM bs), "
-        "pq AS (SELECT *, CASE WHEN base > 0 THEN p0 END AS post_price FROM lt), "
-        "tr AS (SELECT *, coalesce(lag(post_qty) OVER w, 0) AS pre_qty, lag(post_price) OVER w AS pre_price, coalesce(lag(post_qty) OVER (PARTITION BY stream, epoch, order_id ORDER BY sequence), 0) AS live FROM pq WINDOW w AS (PARTITION BY stream, epoch, order_id, life ORDER BY sequence)), "
-        "trans AS (SELECT stream, epoch, sequence, order_id, life, action, side, at_us, pre_price, post_price, pre_qty, post_qty, CASE WHEN action = 'ADD' THEN qty WHEN action = 'MODIFY' AND qty > pre_qty THEN qty - pre_qty ELSE 0 END AS added, "
-        "CASE WHEN action = 'EXECUTE' THEN qty ELSE 0 END AS executed, CASE WHEN action = 'CANCEL' THEN qty WHEN action = 'DELETE' THEN pre_qty WHEN action = 'MODIFY' AND qty < pre_qty THEN pre_qty - qty ELSE 0 END AS withdrawn, "
-        "CASE WHEN action = 'ADD' AND live > 0 THEN 'DUPLICATE_ORDER' WHEN action <> 'ADD' AND (life = 0 OR pre_qty <= 0) THEN 'UNKNOWN_ORDER' WHEN action IN ('CANCEL', 'EXECUTE') AND price <> pre_price THEN 'PRICE_MISMATCH' WHEN action IN ('CANCEL', 'EXECUTE') AND qty > pre_qty THEN 'EXCESS_QUANTITY' END AS error FROM tr), "
-        "moves AS (SELECT stream, epoch, side, price, sequence, sum(d) AS d, sum(n) AS n FROM (SELECT stream, epoch, side, pre_price AS price, sequence, -pre_qty AS d, CASE WHEN pre_qty > 0 THEN -1 ELSE 0 END AS n FROM trans WHERE pre_price IS NOT NULL "
-        "UNION ALL SELECT stream, epoch, side, post_price, sequence, post_qty, CASE WHEN post_qty > 0 THEN 1 ELSE 0 END FROM trans WHERE post_price IS NOT NULL) GROUP BY ALL), "
+        "nx AS (SELECT *, row_number() OVER (PARTITION BY stream, epoch, order_id ORDER BY sequence) AS k FROM ep), "
+        "fold AS (SELECT DISTINCT stream, epoch, order_id, 0::BIGINT AS k, 0::BIGINT AS life, NULL::BIGINT AS sequence, NULL::VARCHAR AS action, NULL::VARCHAR AS side, NULL::BIGINT AS at_us, NULL::DOUBLE AS qty, NULL::DOUBLE AS pre_price, NULL::DOUBLE AS post_price, 0::DOUBLE AS pre_qty, 0::DOUBLE AS post_qty, NULL::VARCHAR AS error, NULL::VARCHAR AS opened FROM nx "
+        "UNION ALL SELECT stream, epoch, order_id, k, life0 + CASE WHEN err IS NULL AND action = 'ADD' THEN 1 ELSE 0 END, sequence, action, side, at_us, qty, CASE WHEN err IS NULL AND action = 'ADD' THEN NULL ELSE p0 END, CASE WHEN err IS NULL AND action IN ('ADD', 'MODIFY') THEN price ELSE p0 END, q0, "
+        "CASE WHEN err IS NOT NULL THEN q0 WHEN action IN ('ADD', 'MODIFY') THEN qty WHEN action = 'DELETE' THEN 0 ELSE q0 - qty END, err, CASE WHEN err IS NULL AND action = 'ADD' THEN side ELSE side0 END "
+        "FROM (SELECT e.*, f.life AS life0, f.post_qty AS q0, f.post_price AS p0, f.opened AS side0, CASE WHEN e.action = 'ADD' AND f.post_qty > 0 THEN 'DUPLICATE_ORDER' WHEN e.action <> 'ADD' AND f.post_qty <= 0 THEN 'UNKNOWN_ORDER' WHEN e.action <> 'ADD' AND e.side <> f.opened THEN 'SIDE_MISMATCH' WHEN e.action IN ('CANCEL', 'EXECUTE', 'DELETE') AND e.price <> f.post_price THEN 'PRICE_MISMATCH' WHEN e.action IN ('CANCEL', 'EXECUTE') AND e.qty > f.post_qty THEN 'EXCESS_QUANTITY' END AS err "
+        "FROM fold f JOIN nx e ON e.stream = f.stream AND e.epoch = f.epoch AND e.order_id = f.order_id AND e.k = f.k + 1)), "
+        "trans AS (SELECT stream, epoch, sequence, order_id, life, action, side, at_us, pre_price, post_price, pre_qty, post_qty, error, CASE WHEN error IS NULL AND action IN ('ADD', 'MODIFY') THEN greatest(post_qty - pre_qty, 0) ELSE 0 END AS added, CASE WHEN error IS NULL AND action = 'EXECUTE' THEN qty ELSE 0 END AS executed, "
+        "CASE WHEN error IS NULL AND action IN ('CANCEL', 'DELETE', 'MODIFY') THEN greatest(pre_qty - post_qty, 0) ELSE 0 END AS withdrawn FROM fold WHERE k > 0), "
+        "moves AS (SELECT stream, epoch, side, price, sequence, sum(d) AS d, sum(n) AS n FROM (SELECT stream, epoch, side, pre_price AS price, sequence, -pre_qty AS d, CASE WHEN pre_qty > 0 THEN -1 ELSE 0 END AS n FROM trans WHERE pre_price IS NOT NULL AND error IS NULL "
+        "UNION ALL SELECT stream, epoch, side, post_price, sequence, post_qty, CASE WHEN post_qty > 0 THEN 1 ELSE 0 END FROM trans WHERE post_price IS NOT NULL AND error IS NULL) GROUP BY ALL), "
         "depths AS (SELECT stream, epoch, side, price, sequence, sum(d) OVER w AS depth, sum(n) OVER w AS orders FROM moves WINDOW w AS (PARTITION BY stream, epoch, side, price ORDER BY sequence)), "
         "levels AS (SELECT stream, side, price, depth, orders FROM (SELECT stream, epoch, side, price, arg_max(depth, sequence) AS depth, arg_max(orders, sequence) AS orders, max(epoch) OVER (PARTITION BY stream) AS newest FROM depths GROUP BY stream, epoch, side, price) WHERE epoch = newest AND depth > 0), "
         "top AS (SELECT *, row_number() OVER (PARTITION BY stream, side ORDER BY CASE side WHEN 'BID' THEN -price ELSE price END) AS level FROM levels)"

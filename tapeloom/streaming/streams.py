@@ -1,4 +1,9 @@
-"""The stateful operators over Structured Streaming. Each gives what its batch form gives, for input that keeps its lateness bound."""
+"""The stateful operators over Structured Streaming.
+
+Books, clusters and accepted messages come out as from their batch forms, for input in order or within its lateness bound.
+Period counts and news flow are the plain windowed sums: they close a period by the watermark of the whole stream, where the
+batch form judges each receipt against its own period.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from tapeloom.operators import news, seen_ranges
-from tapeloom.operators.book import SNAPSHOT, Book
+from tapeloom.operators.book import SNAPSHOT, Book, exact_levels, scaled
 
 
 def first_copies(stream: DataFrame, bound: str = "24 hours") -> DataFrame:
@@ -23,18 +28,23 @@ def first_copies(stream: DataFrame, bound: str = "24 hours") -> DataFrame:
 
 
 def accept_batches(stream: DataFrame, accepted: str, seen: str, checkpoint: str) -> StreamingQuery:
-    """Deliveries against ranges seen in all earlier ones, without a time bound: each micro-batch writes what is new under its own number, so a replayed one overwrites itself."""
+    """Deliveries against ranges seen in all earlier ones, without a time bound.
+
+    Each micro-batch reads the merged ranges as the one before it left them and writes its own, and what is new, under its number, so
+    a replayed one overwrites itself. The ranges before the last are removed, so neither plan nor folder grows with the batches.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = None
-        for n in range(number):
-            part = spark.read.parquet(f"{seen}/batch={n}")
-            known = part if known is None else known.unionByName(part)
+        known = spark.read.parquet(f"{seen}/state={number - 1}") if number else None
         carry = [c for c in batch.columns if c != "news_id"]
         kept = seen_ranges.mark_copies(batch, carry=carry, seen=known).where("kept").drop("kept")
         kept.write.mode("overwrite").parquet(f"{accepted}/batch={number}")
-        seen_ranges.seen_ranges(batch).write.mode("overwrite").parquet(f"{seen}/batch={number}")
+        own = seen_ranges.seen_ranges(batch)
+        seen_ranges.merge_ranges(own if known is None else known.unionByName(own)).write.mode("overwrite").parquet(f"{seen}/state={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{seen}/state={number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
 
@@ -45,7 +55,7 @@ def period_counts(stream: DataFrame, key: str, event_time: str, cutoff: str = "2
 
 
 def news_flow(stream: DataFrame, window: str = "15 minutes", slide: str = "5 minutes", bound: str = "1 hour") -> DataFrame:
-    return stream.withWatermark("process_time", bound).groupBy(F.window("process_time", window, slide).alias("w"), "source").agg(F.approx_count_distinct("content_hash").alias("volume")).select("source", F.col("w.end").alias("as_of"), "volume")
+    return stream.withWatermark("process_time", bound).groupBy(F.window("process_time", window, slide).alias("w"), "source").agg(F.size(F.collect_set("content_hash")).alias("volume")).select("source", F.col("w.end").alias("as_of"), "volume")
 
 
 def _cluster(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,7 +76,7 @@ def _book(k: int):
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         book = pickle.loads(state.get[0]) if state.exists else Book()
         rows = pd.concat(list(parts)).sort_values("sequence")
-        out = [(key[0], r.sequence, *book.step(k, str(r.order_id), r.action, r.side, r.price, r.qty)) for r in rows.itertuples()]
+        out = [(key[0], r.sequence, *book.step(k, r.order_id, r.action, r.side, *(None if pd.isna(x) else int(x) for x in (r.price, r.qty)))) for r in rows.itertuples()]
         state.update((pickle.dumps(book),))
         yield pd.DataFrame(out, columns=["stream", "sequence", "bids", "asks", "error"])
 
@@ -75,4 +85,4 @@ def _book(k: int):
 
 def snapshots(stream: DataFrame, k: int = 5) -> DataFrame:
     """Books kept across micro-batches, one a stream; batches must come in the order of sequence."""
-    return stream.groupBy("stream").applyInPandasWithState(_book(k), SNAPSHOT, "state binary", "append", "NoTimeout")
+    return exact_levels(scaled(stream).groupBy("stream").applyInPandasWithState(_book(k), SNAPSHOT, "state binary", "append", "NoTimeout"))

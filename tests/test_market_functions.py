@@ -149,6 +149,21 @@ def test_errors_leave_the_book(spark):
     got = book.snapshots(spark.createDataFrame(rows, EVENTS)).orderBy("sequence").collect()
     assert [r.error for r in got] == [None, "DUPLICATE_ORDER", "UNKNOWN_ORDER", "EXCESS_QUANTITY", "PRICE_MISMATCH", "SIDE_MISMATCH", None]
     assert [r.bids[0]["qty"] for r in got] == [5.0] * 6 + [3.0]
+    steps = book.transitions(spark.createDataFrame(rows, EVENTS)).orderBy("sequence").collect()
+    assert [r.error for r in steps] == [r.error for r in got] and [r.post_qty for r in steps] == [5, 5, 0, 5, 5, 5, 3]
+
+
+def test_failed_events_change_nothing(spark):
+    rows = [(1, 0, "a", "ADD", "BID", 10.0, 10.0, 0), (1, 1, "a", "CANCEL", "BID", 10.0, 15.0, 1), (1, 2, "a", "EXECUTE", "BID", 10.0, 4.0, 2), (1, 3, "b", "ADD", "ASK", 9.99, 1.0, 3), (1, 4, "c", "ADD", "ASK", 10.0, 1.0, 4), (1, 5, "c", "MODIFY", "ASK", 9.5, 1.0, 5), (1, 6, "b", "DELETE", "ASK", None, None, 6)]
+    df = spark.createDataFrame(rows, EVENTS)
+    shots = book.snapshots(df)
+    assert [r.error for r in shots.orderBy("sequence").collect()] == [None, "EXCESS_QUANTITY", None, "CROSSED", None, "CROSSED", "UNKNOWN_ORDER"]
+    trans = book.transitions(df, shots.where("error = 'CROSSED'"))
+    got = {r.sequence: r for r in trans.collect()}
+    assert [float(got[i].post_qty) for i in range(3)] == [10, 10, 6] and [float(got[i].withdrawn) for i in range(3)] == [0, 0, 0] and got[6].error == "UNKNOWN_ORDER"
+    assert {(r.side, float(r.price)): (float(r.depth), r.orders) for r in book.final_levels(book.depth_changes(trans)).collect()} == {("BID", 10.0): (6, 1), ("ASK", 10.0): (1, 1)}
+    life = {r.order_id: r for r in book.lifecycles(trans).collect()}
+    assert set(life) == {"a", "c"} and life["a"].balanced and life["a"].executed_share == 0.4
 
 
 def test_episodes_by_hand(spark):
