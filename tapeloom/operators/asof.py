@@ -30,8 +30,9 @@ def forward_asof(left: DataFrame, right: DataFrame, key: str, left_at: str, righ
     """
     a = left.select(key, F.col(left_at).alias("at_"), F.struct(*left.columns).alias("row_"), F.lit(None).cast(right.schema[value].dataType).alias("value_"), F.lit(None).cast(right.schema[right_at].dataType).alias("when_"))
     b = right.select(F.col(key), F.col(right_at).alias("at_"), F.lit(None).cast(a.schema["row_"].dataType).alias("row_"), F.col(value).alias("value_"), F.col(right_at).alias("when_"))
-    w = Window.partitionBy(key).orderBy("at_", F.col("row_").isNotNull().desc()).rowsBetween(0, Window.unboundedFollowing)
-    hit = F.first(F.when(F.col("row_").isNull(), F.struct("value_", "when_")), ignorenulls=True).over(w)
+    # backwards in time, so that the frame only ever grows; of rows of right at the same time the least value counts
+    w = Window.partitionBy(key).orderBy(F.desc("at_"), F.col("row_").isNotNull(), F.desc("value_")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = F.last(F.when(F.col("row_").isNull(), F.struct("value_", "when_")), ignorenulls=True).over(w)
     return a.unionByName(b).withColumn("hit_", hit).where("row_ IS NOT NULL").select("row_.*", F.col("hit_.value_").alias(value), F.col("hit_.when_").alias(right_at))
 
 

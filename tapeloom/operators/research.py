@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
-from itertools import accumulate
+from itertools import accumulate, permutations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.session import cut_lineage, default_parallelism
@@ -26,30 +26,68 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> Data
     for r in sorted(placed.groupBy("pid_").count().collect()):
         offsets.append((r["pid_"], before))
         before += r["count"]
-    shift = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "pid_ int, shift_ long"))
+    shift = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "pid_ int, shift_ long"))  # one row a partition
     return placed.join(shift, "pid_").withColumn(name, F.col("shift_") + F.col("row_").bitwiseAND((1 << 33) - 1)).drop("pid_", "row_", "shift_")
 
 
+def _fold_count(n: int, least_train: int, step: int) -> int:
+    return max(0, -(-(n - least_train) // step))
+
+
 def folds(observations: DataFrame, order: Sequence[str], least_train: int, test: int, step: int | None = None, rolling: int | None = None) -> DataFrame:
-    """(fold, role, *columns): chronological folds with all earlier (or the last `rolling`) observations as training.
+    """(fold, role, *columns): chronological folds with all earlier (or the last `rolling`) observations as training, written out.
 
-    The folds a row belongs to follow from its rank by arithmetic, so no row meets any other.
+    The folds a row belongs to follow from its rank by arithmetic, so no row meets any other. With all earlier rows as training, what is written
+    out grows with rows times folds; fold_exceptions() gives the same without the training rows.
     """
     step = step or test
     ranked = global_rank(observations, order)
     total = ranked.agg(F.max("rank")).first()[0]
-    n = 0 if total is None else total + 1
-    count = max(0, -(-(n - least_train) // step))
-    starts = F.sequence(F.lit(0), F.lit(max(count - 1, 0))) if count else F.array().cast("array<int>")
-    r = F.col("rank")
+    count = _fold_count(0 if total is None else total + 1, least_train, step)
+    r, none = F.col("rank"), F.array().cast("array<bigint>")
+
+    def run(low: Column, high: Column) -> Column:
+        low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(count - 1))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(none)
+
+    tests = run(F.floor((r - least_train - test) / step) + 1, F.floor((r - least_train) / step))
+    trains = run(F.floor((r - least_train) / step) + 1, F.lit(count - 1).cast("long") if rolling is None else F.floor((r - least_train + rolling) / step))
+    tagged = ranked.withColumn("f", F.explode(F.concat(F.transform(tests, lambda k: F.struct(k.alias("fold"), F.lit("TEST").alias("role"))), F.transform(trains, lambda k: F.struct(k.alias("fold"), F.lit("TRAIN").alias("role"))))))
+    return tagged.select(F.col("f.fold").cast("int").alias("fold"), "f.role", *observations.columns)
 
-    def role(k: Column) -> Column:
-        cursor = least_train + k * step
-        train = (r < cursor) if rolling is None else (r < cursor) & (r >= cursor - rolling)
-        return F.when((r >= cursor) & (r < cursor + test), "TEST").when(train, "TRAIN")
 
-    tagged = ranked.withColumn("folds", F.filter(F.transform(starts, lambda k: F.struct(k.alias("fold"), role(k).alias("role"))), lambda x: x["role"].isNotNull()))
-    return tagged.withColumn("f", F.explode("folds")).select("f.fold", "f.role", *observations.columns)
+def fold_exceptions(observations: DataFrame, order: Sequence[str], least_train: int, test: int, market: str, index: str, label_end: str, embargo_events: int, total: str) -> tuple[DataFrame, DataFrame]:
+    """Folds over all earlier rows without writing these out: (the rows tested, embargoed or purged in each fold, sums by fold and role).
+
+    The first has (fold, role, *columns), TEST, EMBARGOED or PURGED; all other rows before a fold's first test row are its training. The second has
+    (fold, role, n, sum of `total`) of all four roles. Rules as in embargo_and_purge(). A row trains from one fold on, so what a fold's training is comes
+    from running sums over folds; purged are only rows whose label is as near to the market's first test row as labels reach, and these meet it by
+    buckets of that width.
+    """
+    ranked = cut_lineage(global_rank(observations, order))
+    n, reach = ranked.agg(F.count("*"), F.max(F.col(label_end) - F.col(index))).first()
+    count, width = _fold_count(n, least_train, test), max(1, (reach or 0) + 1)
+    from_fold = F.greatest(F.floor((F.col("rank") - least_train) / test) + 1, F.lit(0))
+    rows = ranked.withColumn("from_fold", from_fold)
+    tested = rows.where(F.col("rank") >= least_train).withColumn("fold", F.floor((F.col("rank") - least_train) / test))
+    marks = rows.groupBy(market, F.col("from_fold").alias("k")).agg(F.max(index).alias("last")).withColumn("asked", F.lit(0))
+    asked = tested.select(market, F.col("fold").alias("k")).distinct().select(market, "k", F.lit(None).cast(rows.schema[index].dataType).alias("last"), F.lit(1).alias("asked"))
+    w = Window.partitionBy(market).orderBy("k", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = marks.unionByName(asked).withColumn("last_train", F.max("last").over(w)).where("asked = 1").select(market, F.col("k").alias("fold"), "last_train")
+    gap = F.col(index) - F.col("last_train")
+    judged = tested.join(last, [market, "fold"]).withColumn("role", F.when((gap > 0) & (gap <= embargo_events), "EMBARGOED").otherwise("TEST"))
+    first = judged.where("role = 'TEST'").groupBy(market, "fold").agg(F.min(index).alias("first_test"))
+    bucket = lambda c: F.floor(c / width)
+    near = first.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("first_test") - width), bucket(F.col("first_test"))))))
+    purged = rows.withColumn("bucket", bucket(F.col(index))).join(near, [market, "bucket"]).where((F.col("from_fold") <= F.col("fold")) & (F.col(label_end) >= F.col("first_test"))).withColumn("role", F.lit("PURGED"))
+    exceptions = judged.select("fold", "role", *observations.columns).unionByName(purged.select("fold", "role", *observations.columns))
+    own = exceptions.groupBy("fold", "role").agg(F.count("*").alias("n"), F.sum(total).alias("total"))
+    chunks = rows.groupBy(F.col("from_fold").alias("fold")).agg(F.count("*").alias("n"), F.sum(total).alias("total"))
+    over = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a fold
+    before = chunks.where(F.col("fold") < count).select("fold", F.sum("n").over(over).alias("n"), F.sum("total").over(over).alias("total"))
+    less = own.where("role = 'PURGED'").select("fold", F.col("n").alias("n0"), F.col("total").alias("total0"))
+    train = before.join(less, "fold", "left").select("fold", F.lit("TRAIN").alias("role"), (F.col("n") - F.coalesce("n0", F.lit(0))).alias("n"), (F.col("total") - F.coalesce("total0", F.lit(0))).alias("total"))
+    return exceptions, own.unionByName(train.where("n > 0"))
 
 
 def embargo_and_purge(tagged: DataFrame, market: str, index: str, label_end: str, embargo_events: int) -> DataFrame:
@@ -63,8 +101,12 @@ def embargo_and_purge(tagged: DataFrame, market: str, index: str, label_end: str
     return e.withColumn("role", F.when((F.col("kept") == "TRAIN") & (F.col(label_end) >= first_test), "PURGED").otherwise(F.col("kept"))).drop("kept")
 
 
+#: The most orders that are enumerated.
+MOST_EXACT = 10_000
+
+
 def block_orders(n_blocks: int, count: int, seed: int) -> list[list[int]]:
-    """Seeded shuffles of the blocks; their number is the product of two parameters, not of the data."""
+    """Seeded shuffles of a few blocks as lists; for blocks as many as the data has, hashed_orders()."""
     rng = random.Random(seed)
     orders = []
     for _ in range(count):
@@ -74,46 +116,77 @@ def block_orders(n_blocks: int, count: int, seed: int) -> list[list[int]]:
     return orders
 
 
+def every_order(n_blocks: int) -> list[list[int]]:
+    """All orders of the blocks, if they are MOST_EXACT at most."""
+    if math.factorial(n_blocks) > MOST_EXACT:
+        raise ValueError(f"{n_blocks} blocks have more than {MOST_EXACT} orders")
+    return [list(o) for o in permutations(range(n_blocks))]
+
+
 def block_sizes(n: int, size: int) -> list[int]:
     """The sizes of the blocks that n rows fall into, the last one as short as it comes."""
     return [min(size, n - start) for start in range(0, n, size)]
 
 
-def permuted_means(rows: DataFrame, orders: list[list[int]], condition: Column, sizes: Sequence[int] | None = None) -> DataFrame:
+def hashed_orders(spark: SparkSession, n: int, size: int, count: int, seed: int) -> DataFrame:
+    """(permutation, block, start): `count` seeded orders of the blocks of n rows, each with the rank at which a block then starts.
+
+    A block's turn is its hash with the permutation's number, so the orders are made where they are used and nothing but n passes the driver.
+    """
+    blocks = spark.range(-(-n // size)).select(F.col("id").alias("block"), F.least(F.lit(size).cast("long"), n - F.col("id") * size).alias("size_"))
+    each = blocks.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("turn_", F.xxhash64(F.lit(seed), "permutation", "block"))
+    before = Window.partitionBy("permutation").orderBy("turn_", "block").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select("permutation", "block", F.coalesce(F.sum("size_").over(before), F.lit(0)).alias("start"))
+
+
+def permuted_means(rows: DataFrame, orders: list[list[int]] | DataFrame, condition: Column, sizes: Sequence[int] | None = None) -> DataFrame:
     """(permutation, statistic): the mean label where the condition holds, labels moved with whole blocks.
 
-    rows: (block, place, label, ...); blocks are of equal length unless their sizes are given. Then rows have their rank
+    rows: (block, place, label, ...); blocks are of equal length unless their sizes are given or orders is a table as from hashed_orders(). Then rows have their rank
     too, and a block starts where those before it in the new order end. Every row goes to
-    its block's new position and meets the condition there by an equi-join, so nothing but sums is gathered.
+    its block's new position and meets the condition there by an equi-join, so nothing but sums is gathered. Orders as lists are for few blocks.
     """
     spark = rows.sparkSession
-    if sizes is not None:
-        starts = [(p, source, start) for p, order in enumerate(orders) for source, start in zip(order, accumulate((sizes[b] for b in order), initial=0))]
-        moves = spark.createDataFrame(starts, "permutation int, block long, start long")
-        labels = rows.select(F.col("block").cast("long"), "place", "label").join(F.broadcast(moves), "block").select("permutation", (F.col("start") + F.col("place")).alias("rank"), "label")
+    if isinstance(orders, DataFrame) or sizes is not None:
+        moves = orders
+        if not isinstance(orders, DataFrame):
+            starts = [(p, source, start) for p, order in enumerate(orders) for source, start in zip(order, accumulate((sizes[b] for b in order), initial=0))]
+            moves = spark.createDataFrame(starts, "permutation int, block long, start long")
+        labels = rows.select(F.col("block").cast("long"), "place", "label").join(moves, "block").select("permutation", (F.col("start") + F.col("place")).alias("rank"), "label")
         return labels.join(rows.where(condition).select("rank"), "rank").groupBy("permutation").agg(F.avg("label").alias("statistic"))
     moves = spark.createDataFrame([(p, source, target) for p, order in enumerate(orders) for target, source in enumerate(order)], "permutation int, block long, target long")
-    labels = rows.select(F.col("block").cast("long"), "place", "label").join(F.broadcast(moves), "block")
+    labels = rows.select(F.col("block").cast("long"), "place", "label").join(moves, "block")
     where = rows.where(condition).select(F.col("block").cast("long").alias("target"), "place")
     return labels.join(where, ["target", "place"]).groupBy("permutation").agg(F.avg("label").alias("statistic"))
 
 
-def p_value(observed: float, null: DataFrame, exact: bool = False) -> DataFrame:
-    """Share of permutations at least as large (ties count); with one added to both unless all orders were tried."""
-    k, n = F.count(F.when(F.col("statistic") >= observed, 1)), F.count("*")
+def p_value(observed: float, null: DataFrame, exact: bool = False, alternative: str = "GREATER") -> DataFrame:
+    """Share of permutations at least as extreme (ties count); with one added to both unless all orders were tried.
+
+    GREATER and LESS look at one side, TWO_SIDED at the distance from the null's mean. Beside it the null's mean, deviation and nearest-rank percentiles, the effect
+    and, unless nothing varies, the standardized effect.
+    """
+    if alternative not in ("GREATER", "LESS", "TWO_SIDED"):
+        raise ValueError(alternative)
+    s, slack = F.col("statistic"), 1e-12  # sums of the same numbers in another order are ties
+    mean = null.agg(F.avg("statistic")).first()[0] if alternative == "TWO_SIDED" else None
+    extreme = {"GREATER": s >= observed - slack, "LESS": s <= observed + slack, "TWO_SIDED": F.abs(s - (mean or 0.0)) >= abs(observed - (mean or 0.0)) - slack}[alternative]
+    k, n = F.count(F.when(extreme, 1)), F.count("*")
     p = k / n if exact else (k + 1) / (n + 1)
     sd = F.stddev_pop("statistic")
-    return null.agg(p.alias("p_value"), F.avg("statistic").alias("null_mean"), sd.alias("null_sd"), F.when(sd > 0, (F.lit(observed) - F.avg("statistic")) / sd).alias("standardized"))
+    ordered = F.array_sort(F.collect_list("statistic"))  # as many as there are permutations
+    rank = lambda q: F.get(ordered, (F.greatest(F.ceil(F.lit(q).cast("decimal(4,3)") * n.cast("decimal(20,0)")), F.lit(1)) - 1).cast("int"))
+    return null.agg(p.alias("p_value"), n.alias("n_permutations"), F.avg("statistic").alias("null_mean"), sd.alias("null_sd"), F.when(sd > 1e-15, (F.lit(observed) - F.avg("statistic")) / sd).alias("standardized"), (F.lit(observed) - F.avg("statistic")).alias("effect"), rank("0.05").alias("p5"), rank("0.5").alias("p50"), rank("0.95").alias("p95"))
 
 
 def corrections(tests: DataFrame, family: str, p: str, key: str) -> DataFrame:
     """Bonferroni and Benjamini-Hochberg within each family."""
     everything = Window.partitionBy(family)
-    up = everything.orderBy(p, key)
     n = F.count("*").over(everything)
-    ranked = tests.withColumns({"m": n, "rank": F.row_number().over(up)})
+    ranked = tests.withColumns({"m": n, "rank": F.row_number().over(everything.orderBy(p, key))})
+    down = everything.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a running minimum from the end
     raw = F.col(p) * F.col("m") / F.col("rank")
-    return ranked.withColumn("raw", raw).withColumns({"bonferroni": F.least(F.lit(1.0), F.col(p) * F.col("m")), "bh": F.least(F.lit(1.0), F.min("raw").over(up.rowsBetween(0, Window.unboundedFollowing)))}).drop("m", "raw")
+    return ranked.withColumn("raw", raw).withColumns({"bonferroni": F.least(F.lit(1.0), F.col(p) * F.col("m")), "bh": F.least(F.lit(1.0), F.min("raw").over(down))}).drop("m", "raw")
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

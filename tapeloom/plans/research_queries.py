@@ -12,6 +12,7 @@ from tapeloom.operators import sequences as s
 from tapeloom.plans.frames import STATES, states
 from tapeloom.plans.problems import _MBO
 from tapeloom.plans.sequence_queries import SEGMENTED, _segmented
+from tapeloom.session import cut_lineage
 from tapeloom.tables import table
 
 
@@ -306,9 +307,19 @@ def rs5(spark, folder):
 TRAIN, TEST = 4000, 1500
 
 
+ORDER = ["at_us", "instrument", "event_index", "event_id"]
+
+
+def _ended(spark, folder):
+    return _labelled(spark, folder).where("later IS NOT NULL").select("event_id", "instrument", "event_index", "at_us", (F.col("event_index") + LABEL).alias("label_end"))
+
+
 def _folded(spark, folder):
-    r = _labelled(spark, folder).where("later IS NOT NULL").select("event_id", "instrument", "event_index", "at_us", (F.col("event_index") + LABEL).alias("label_end"))
-    return research.folds(r, ["at_us", "instrument", "event_index", "event_id"], TRAIN, TEST)
+    return research.folds(_ended(spark, folder), ORDER, TRAIN, TEST)
+
+
+def _exceptions(spark, folder):
+    return research.fold_exceptions(_ended(spark, folder), ORDER, TRAIN, TEST, "instrument", "event_index", "label_end", 5, "event_id")
 
 
 def rs6(spark, folder):
@@ -316,7 +327,7 @@ def rs6(spark, folder):
 
 
 def rs7_8(spark, folder):
-    return research.embargo_and_purge(_folded(spark, folder), "instrument", "event_index", "label_end", 5).groupBy("fold", "role").agg(F.count("*").alias("n"), F.sum("event_id").alias("checksum"))
+    return _exceptions(spark, folder)[1].select(F.col("fold").cast("int").alias("fold"), "role", "n", F.col("total").alias("checksum"))
 
 
 BLOCK, PERMUTATIONS, SEED = 50, 99, 1729
@@ -327,23 +338,52 @@ def rs9(spark, folder):
     return r.select("event_id", F.floor(F.col("event_index") / 25).alias("block"))
 
 
-def _blocks(spark, folder):
-    """All labelled rows with their block and place, the last block as short as it comes, and the blocks' sizes."""
+#: Blocks whose orders are all tried.
+FEW = 5
+
+
+def _blocks(spark, folder, size=None):
+    """All labelled rows with their block and place, the last block as short as it comes, their number and the blocks' size (0: FEW blocks in all)."""
     r = _labelled(spark, folder).where("later IS NOT NULL").select("event_id", "at_us", "instrument", "side", (F.col("later") - F.col("mid")).alias("label"))
     ranked = research.global_rank(r, ["at_us", "instrument", "event_id"])
-    sizes = research.block_sizes(ranked.count(), BLOCK)
-    return ranked.select("event_id", "side", F.floor(F.col("rank") / BLOCK).alias("block"), (F.col("rank") % BLOCK).alias("place"), "rank", "label"), sizes
+    n, size = ranked.count(), BLOCK if size is None else size
+    if size == 0:
+        size = max(1, -(-n // FEW))
+    return ranked.select("event_id", "side", F.floor(F.col("rank") / size).alias("block"), (F.col("rank") % size).alias("place"), "rank", "label"), n, size
 
 
 def rs10(spark, folder):
-    rows, sizes = _blocks(spark, folder)
-    return research.permuted_means(rows, research.block_orders(len(sizes), PERMUTATIONS, SEED), F.col("side") == "BUY", sizes)
+    rows, n, size = _blocks(spark, folder)
+    return research.permuted_means(rows, research.hashed_orders(spark, n, size, PERMUTATIONS, SEED), F.col("side") == "BUY")
+
+
+def _exact(spark, folder):
+    rows, n, size = _blocks(spark, folder, 0)
+    sizes = research.block_sizes(n, size)
+    return rows, research.permuted_means(rows, research.every_order(len(sizes)), F.col("side") == "BUY", sizes)
+
+
+def rs10_exact(spark, folder):
+    """The null distribution over all orders of a few blocks."""
+    return _exact(spark, folder)[1].groupBy(F.round("statistic", 9).alias("statistic")).agg(F.count("*").alias("n"))
+
+
+def rs11_exact(spark, folder):
+    """The p-value of each alternative from all orders."""
+    rows, null = _exact(spark, folder)
+    null = cut_lineage(null)
+    observed = rows.where("side = 'BUY'").agg(F.avg("label")).first()[0] or 0.0
+    out = None
+    for alternative in ("GREATER", "LESS", "TWO_SIDED"):
+        one = research.p_value(observed, null, True, alternative).withColumn("alternative", F.lit(alternative))
+        out = one if out is None else out.unionByName(one)
+    return out.select("alternative", "n_permutations", *[F.round(c, 9).alias(c) for c in ("p_value", "null_mean", "null_sd", "effect", "p5", "p50", "p95")])
 
 
 def rs11_12(spark, folder):
-    rows, sizes = _blocks(spark, folder)
+    rows, n, size = _blocks(spark, folder)
     observed = rows.where("side = 'BUY'").agg(F.avg("label")).first()[0] or 0.0
-    return research.p_value(observed, research.permuted_means(rows, research.block_orders(len(sizes), PERMUTATIONS, SEED), F.col("side") == "BUY", sizes))
+    return research.p_value(observed, research.permuted_means(rows, research.hashed_orders(spark, n, size, PERMUTATIONS, SEED), F.col("side") == "BUY"))
 
 
 def rs13_wn12(spark, folder):
@@ -353,10 +393,12 @@ def rs13_wn12(spark, folder):
 
 
 def rs14(spark, folder):
-    """Each hypothesis (a side) by fold and pooled; where there is too little it says so."""
-    f = research.embargo_and_purge(_folded(spark, folder), "instrument", "event_index", "label_end", 5).where("role = 'TEST'").select("fold", "event_id")
+    """Each hypothesis (a side) by fold and pooled over them (fold -1), weighted by their rows; where there is too little it says so."""
+    f = _exceptions(spark, folder)[0].where("role = 'TEST'").select(F.col("fold").cast("int").alias("fold"), "event_id")
     lab = _labelled(spark, folder).select("event_id", "side", (F.col("later") - F.col("mid")).alias("label"))
-    g = f.join(lab, "event_id").groupBy(F.coalesce("side", F.lit("NONE")).alias("hypothesis"), "fold").agg(F.count("*").alias("n"), F.round(F.avg("label"), 8).alias("statistic"))
+    g = f.join(lab, "event_id").groupBy(F.coalesce("side", F.lit("NONE")).alias("hypothesis"), "fold").agg(F.count("*").alias("n"), F.avg("label").alias("mean"))
+    pooled = g.groupBy("hypothesis").agg(F.lit(-1).alias("fold"), F.sum("n").alias("n"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"))
+    g = g.unionByName(pooled.select(*g.columns)).select("hypothesis", "fold", "n", F.round("mean", 8).alias("statistic"))
     return g.withColumn("status", F.when(F.col("n") < 2, "UNAVAILABLE").otherwise("RUN"))
 
 
@@ -411,7 +453,7 @@ QUERIES = {
     "pv1_shape": pv1, "pv2_price": pv2, "pv3_flags": pv3, "pv4_fingerprints": pv4, "pv5_sequences": pv5, "pv6_events": pv6, "pv7_dense_sequence": pv7, "pv8_process_time": pv8, "pv9_boundaries": pv9, "pv10_gate": pv10, "fn11_sessions": fn11, "fn12_timestamps": fn12, "ag10_inspection": ag10, "jn12_mapping": jn12,
     "jn8_reconcile": jn8, "sr1_observations": sr1, "sr2_sr4_aggression": sr2, "sr3_reach": sr3, "sr5_thresholds": sr5, "sr6_status": sr6, "sr7_fn21_impacts": sr7, "sr8_resiliency": sr8, "sr9_wn13_recovery": sr9, "jn9_nearest_prior": jn9, "sr10_pair_findings": sr10, "sr11_sr17_comparison": sr11, "sr15_flow_after": sr15, "rs3_failed_aggression": rs3, "jn10_range": jn10, "jn11_forward_asof": jn11,
     "fn13_quotes": fn13, "fn22_fn25_ratios": fn22_25, "fn26_fn28_measures": fn26, "ag9_quality": ag9, "ag13_median": ag13, "ag14_moments": ag14, "ag15_tails": ag15, "ag16_percentile": ag16, "ag17_pooled": ag17,
-    "rs1_rs2_features": rs1_2, "rs4_labels": rs4, "rs5_manifest": rs5, "rs6_folds": rs6, "rs7_rs8_st4_purge": rs7_8, "rs9_blocks": rs9, "rs10_permutations": rs10, "rs11_rs12_p_value": rs11_12, "rs13_wn12_corrections": rs13_wn12, "rs14_hypotheses": rs14, "prj1_wide": prj1, "tk3_margin": tk3, "tk5_last_shocks": tk5,
+    "rs1_rs2_features": rs1_2, "rs4_labels": rs4, "rs5_manifest": rs5, "rs6_folds": rs6, "rs7_rs8_st4_purge": rs7_8, "rs9_blocks": rs9, "rs10_permutations": rs10, "rs10_every_order": rs10_exact, "rs11_alternatives": rs11_exact, "rs11_rs12_p_value": rs11_12, "rs13_wn12_corrections": rs13_wn12, "rs14_hypotheses": rs14, "prj1_wide": prj1, "tk3_margin": tk3, "tk5_last_shocks": tk5,
 }
 
 # SQL
@@ -451,6 +493,12 @@ _CMP = f"WITH {_after_sql(RECOVERY_HORIZONS)}, {_PAIRS}, ef AS (SELECT shock_id,
 _LAB = STATES + f", lab AS (SELECT *, lead(mid, {LABEL}) OVER w AS later, CASE WHEN lead(mid, {LABEL}) OVER w IS NOT NULL THEN max(mid) OVER (PARTITION BY instrument ORDER BY event_index ROWS BETWEEN CURRENT ROW AND {LABEL} FOLLOWING) END AS highest FROM states WINDOW w AS (PARTITION BY instrument ORDER BY event_index))"
 _FOLD = _LAB + f", rk AS (SELECT *, event_index + {LABEL} AS label_end, row_number() OVER (ORDER BY at_us, instrument, event_index, event_id) - 1 AS r FROM lab WHERE later IS NOT NULL), nf AS (SELECT unnest(range(0, greatest(0, CAST(ceil((count(*) - {TRAIN}) / {TEST}) AS BIGINT)))) AS fold FROM rk), fo AS (SELECT fold, CASE WHEN r < {TRAIN} + fold * {TEST} THEN 'TRAIN' ELSE 'TEST' END AS role, rk.* FROM nf JOIN rk ON r < {TRAIN} + (fold + 1) * {TEST})"
 _PURGE = _FOLD + ", em AS (SELECT *, event_index - max(CASE role WHEN 'TRAIN' THEN event_index END) OVER (PARTITION BY fold, instrument) AS gap FROM fo), kp AS (SELECT *, CASE WHEN role = 'TEST' AND gap > 0 AND gap <= 5 THEN 'EMBARGOED' ELSE role END AS kept FROM em), pg AS (SELECT *, CASE WHEN kept = 'TRAIN' AND label_end >= min(CASE kept WHEN 'TEST' THEN event_index END) OVER (PARTITION BY fold, instrument) THEN 'PURGED' ELSE kept END AS final FROM kp)"
+#: All 120 orders of five blocks, each label put at its block's new start plus its place.
+_NULL = f"WITH {_LAB}, lb AS (SELECT side, later - mid AS label, row_number() OVER (ORDER BY at_us, instrument, event_id) - 1 AS r, greatest(1, (count(*) OVER () + {FEW - 1}) // {FEW}) AS size, count(*) OVER () AS n FROM lab WHERE later IS NOT NULL), bk AS (SELECT *, r // size AS b, r % size AS place FROM lb), bs AS (SELECT b, count(*) AS w FROM bk GROUP BY b), " + (
+    "od AS (SELECT row_number() OVER (ORDER BY a.b, c.b, d.b, e.b) AS p, [a.b, c.b, d.b, e.b, f.b] AS o FROM bs a JOIN bs c ON c.b <> a.b JOIN bs d ON d.b NOT IN (a.b, c.b) JOIN bs e ON e.b NOT IN (a.b, c.b, d.b) JOIN bs f ON f.b NOT IN (a.b, c.b, d.b, e.b)), "
+    "ps AS (SELECT p, unnest(o) AS b, generate_subscripts(o, 1) AS k FROM od), st AS (SELECT p, ps.b, coalesce(sum(w) OVER (PARTITION BY p ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ps JOIN bs USING (b)), "
+    "nul AS (SELECT p, avg(x.label) AS statistic FROM bk x JOIN st ON st.b = x.b JOIN bk y ON y.r = start + x.place WHERE y.side = 'BUY' GROUP BY p), ob AS (SELECT avg(label) AS obs FROM bk WHERE side = 'BUY')"
+)
 _R = "r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 10 AS x, l_tax * 10 AS y, l_quantity AS q FROM lineitem)"
 _K = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 _MEDIAN = "SELECT instrument_id, price, row_number() OVER (PARTITION BY instrument_id ORDER BY price) AS r, count(*) OVER (PARTITION BY instrument_id) AS n FROM raw_market_events WHERE event_kind = 'TRADE' AND price IS NOT NULL"
@@ -517,7 +565,11 @@ ORACLE = {
     "rs7_rs8_st4_purge": f"WITH {_PURGE} SELECT fold, final AS role, count(*) AS n, sum(event_id) AS checksum FROM pg GROUP BY fold, final",
     "rs9_blocks": f"WITH {_LAB} SELECT event_id, event_index // 25 AS block FROM lab WHERE later IS NOT NULL",
     "rs13_wn12_corrections": "WITH r AS (SELECT c_custkey, c_nationkey, abs(c_acctbal) / 20000 AS p, row_number() OVER (PARTITION BY c_nationkey ORDER BY abs(c_acctbal) / 20000, c_custkey) AS k, count(*) OVER (PARTITION BY c_nationkey) AS m FROM customer) SELECT c_custkey, round(least(1, p * m), 7) AS bonferroni, round(least(1, min(p * m / k) OVER (PARTITION BY c_nationkey ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 7) AS bh FROM r",
-    "rs14_hypotheses": f"WITH {_PURGE} SELECT coalesce(side, 'NONE') AS hypothesis, fold, count(*) AS n, round(avg(later - mid), 8) AS statistic, CASE WHEN count(*) < 2 THEN 'UNAVAILABLE' ELSE 'RUN' END AS status FROM pg WHERE final = 'TEST' GROUP BY ALL",
+    "rs14_hypotheses": f"WITH {_PURGE}, h AS (SELECT coalesce(side, 'NONE') AS hypothesis, fold, later - mid AS label FROM pg WHERE final = 'TEST') SELECT hypothesis, coalesce(fold, -1)::INT AS fold, count(*) AS n, round(avg(label), 8) AS statistic, CASE WHEN count(*) < 2 THEN 'UNAVAILABLE' ELSE 'RUN' END AS status FROM h GROUP BY GROUPING SETS ((hypothesis, fold), (hypothesis))",
+    "rs10_every_order": _NULL + " SELECT round(statistic, 9) AS statistic, count(*) AS n FROM nul GROUP BY ALL",
+    "rs11_alternatives": _NULL + ", q AS (SELECT statistic, row_number() OVER (ORDER BY statistic) AS r FROM nul), s AS (SELECT avg(statistic) AS m, stddev_pop(statistic) AS sd, count(*) AS k FROM nul), a AS (SELECT unnest(['GREATER', 'LESS', 'TWO_SIDED']) AS alternative) "
+    "SELECT alternative, k AS n_permutations, round((SELECT count(*) FILTER (CASE alternative WHEN 'GREATER' THEN statistic >= obs - 1e-12 WHEN 'LESS' THEN statistic <= obs + 1e-12 ELSE abs(statistic - m) >= abs(obs - m) - 1e-12 END) FROM nul) / k, 9) AS p_value, round(m, 9) AS null_mean, round(sd, 9) AS null_sd, round(obs - m, 9) AS effect, "
+    "(SELECT round(statistic, 9) FROM q WHERE r = (k + 19) // 20) AS p5, (SELECT round(statistic, 9) FROM q WHERE r = (k + 1) // 2) AS p50, (SELECT round(statistic, 9) FROM q WHERE r = (k * 19 + 19) // 20) AS p95 FROM a, s, ob",
     "prj1_wide": f"WITH {_after_sql(SHOCK_HORIZONS)} SELECT shock_id, " + ", ".join(f"round(max(di) FILTER (horizon = {h}), 8) AS impact_h{h}" for h in SHOCK_HORIZONS) + " FROM im GROUP BY shock_id",
     "tk3_margin": f"WITH {SHOCKS}, r AS (SELECT *, row_number() OVER w AS nth, lead(aggression) OVER w AS nxt FROM shocks WINDOW w AS (PARTITION BY instrument ORDER BY aggression DESC, shock_id)) SELECT instrument, shock_id, coalesce(aggression - nxt < 0.05, false) AS ambiguous FROM r WHERE nth = 1",
     "tk5_last_shocks": f"WITH {SHOCKS} SELECT shock_id, count(*) OVER w AS n, round(abs(sum(CASE direction WHEN 'BUY' THEN 1 ELSE -1 END) OVER w) / count(*) OVER w, 6) AS persistence FROM shocks WINDOW w AS (PARTITION BY instrument ORDER BY first_index ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)",

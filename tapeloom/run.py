@@ -61,13 +61,13 @@ def evaluate(spark: SparkSession, x: Experiment) -> dict[str, bytes]:
     lab = s.forward(st, "instrument", "event_index", "mid", (x.horizon,)).join(st.select("instrument", "event_index", "event_id", "at_us", "side"), ["instrument", "event_index"])
     lab = lab.where("later IS NOT NULL").select("event_id", "instrument", "event_index", "at_us", "side", (F.col("later") - F.col("mid")).alias("label"), (F.col("event_index") + x.horizon).alias("label_end"))
     order = ["at_us", "instrument", "event_index", "event_id"]
-    tagged = research.embargo_and_purge(research.folds(lab, order, x.least_train, x.test), "instrument", "event_index", "label_end", x.embargo_events)
-    roles = [r.asDict() for r in tagged.groupBy("fold", "role").agg(F.count("*").alias("n")).orderBy("fold", "role").collect()]
+    _, by_role = research.fold_exceptions(lab, order, x.least_train, x.test, "instrument", "event_index", "label_end", x.embargo_events, "event_id")
+    roles = [r.asDict() for r in by_role.select("fold", "role", "n").orderBy("fold", "role").collect()]
     ranked = research.global_rank(lab, order)
-    sizes = research.block_sizes(ranked.count(), x.block)
-    n = len(sizes)
+    n_rows = ranked.count()
+    n = -(-n_rows // x.block)
     rows = ranked.select("side", F.floor(F.col("rank") / x.block).alias("block"), (F.col("rank") % x.block).alias("place"), "rank", "label")
-    orders = research.block_orders(n, x.permutations, x.seed)
+    orders = research.hashed_orders(spark, n_rows, x.block, x.permutations, x.seed)
     results = []
     for h in x.hypotheses:
         condition = F.col("side") == h["side"]
@@ -75,7 +75,7 @@ def evaluate(spark: SparkSession, x: Experiment) -> dict[str, bytes]:
         if seen["n"] < 2:
             results.append({"name": h["name"], "status": "UNAVAILABLE", "n": seen["n"]})
             continue
-        r = research.p_value(seen["m"], research.permuted_means(rows, orders, condition, sizes)).first().asDict()
+        r = research.p_value(seen["m"], research.permuted_means(rows, orders, condition)).first().asDict()
         results.append({"name": h["name"], "status": "RUN", "n": seen["n"], "statistic": round(seen["m"], 10), **{k: None if v is None else round(v, 10) for k, v in r.items()}})
     tested = [r for r in results if r["status"] == "RUN"]
     if tested:
@@ -85,7 +85,7 @@ def evaluate(spark: SparkSession, x: Experiment) -> dict[str, bytes]:
     dump = lambda v: (json.dumps(v, sort_keys=True, indent=1) + "\n").encode()
     report = "\n".join([f"# Experiment {x.hash[:12]}", "", "| hypothesis | status | n | statistic | p | BH |", "| --- | --- | --- | --- | --- | --- |", *[f"| {r['name']} | {r['status']} | {r['n']} | {r.get('statistic')} | {r.get('p_value')} | {r.get('bh')} |" for r in results], ""])
     neutral = {k: v for k, v in asdict(x).items() if k not in ("data", "output_root")}
-    return {"experiment.json": dump(neutral), "folds.json": dump(roles), "results.json": dump(results), "quality.json": dump({"n_labelled": ranked.count(), "n_blocks": n}), "manifest.json": dump({"hash": x.hash, "files": ["experiment.json", "folds.json", "quality.json", "results.json", "report.md"]}), "report.md": report.encode()}
+    return {"experiment.json": dump(neutral), "folds.json": dump(roles), "results.json": dump(results), "quality.json": dump({"n_labelled": n_rows, "n_blocks": n}), "manifest.json": dump({"hash": x.hash, "files": ["experiment.json", "folds.json", "quality.json", "results.json", "report.md"]}), "report.md": report.encode()}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -72,3 +72,37 @@ def test_late_recovery_and_all_labels(spark, monkeypatch):
     monkeypatch.setattr(rq, "_after", lambda spark, folder, horizons: after.where(F.col("horizon").isin(*horizons)))
     monkeypatch.setattr(rq.shocks, "resiliency", lambda x: x)
     assert {r.threshold: r.events for r in rq.QUERIES["sr9_wn13_recovery_all_horizons"](spark, "").collect()}[1.0] == 50
+
+
+def test_fold_exceptions_are_the_folds(spark):
+    """Without writing training rows out, the same roles come out as from all of them."""
+    import random
+
+    rng = random.Random(8)
+    at, index, rows = 0, {}, []
+    for i in range(400):
+        market = rng.choice("aaab")
+        index[market] = index.get(market, -1) + 1
+        at += rng.randrange(3)
+        rows.append((i, market, index[market], at, index[market] + rng.randrange(1, 9)))
+    df = spark.createDataFrame(rows, "id long, market string, i long, at long, label_end long")
+    order = ["at", "market", "i", "id"]
+    for train, test in ((100, 50), (7, 120), (399, 10), (500, 10)):
+        want = research.embargo_and_purge(research.folds(df, order, train, test), "market", "i", "label_end", 4)
+        got, sums = research.fold_exceptions(df, order, train, test, "market", "i", "label_end", 4, "id")
+        assert {(r.fold, r.role, r.id) for r in got.collect()} == {(r.fold, r.role, r.id) for r in want.where("role <> 'TRAIN'").collect()}
+        assert {(r.fold, r.role, r.n, r.total) for r in sums.collect()} == {(r.fold, r.role, r.n, r.total) for r in want.groupBy("fold", "role").agg(F.count("*").alias("n"), F.sum("id").alias("total")).collect()}
+
+
+def test_hashed_orders(spark):
+    moves = research.hashed_orders(spark, 23, 5, 40, 3).collect()
+    by = {}
+    for r in moves:
+        by.setdefault(r.permutation, []).append((r.start, 5 if r.block < 4 else 3))
+    assert len(by) == 40 and len({tuple(sorted(x)) for x in by.values()}) > 1
+    for starts in by.values():
+        at = 0
+        for start, size in sorted(starts):
+            assert start == at
+            at += size
+        assert at == 23
