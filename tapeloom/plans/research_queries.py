@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
-from tapeloom.operators import asof, late_events, liquidity, provider, research, shocks, structural_csv
+from tapeloom.operators import asof, late_events, provider, research, shocks, structural_csv
 from tapeloom.operators import sequences as s
 from tapeloom.plans.frames import STATES, states
 from tapeloom.plans.problems import _MBO
@@ -429,29 +429,12 @@ def sr15(spark, folder):
     return j.groupBy("shock_id").agg(F.round(F.coalesce(F.sum(F.when(F.col("side") == F.col("direction"), F.col("qty"))), F.lit(0.0)), 6).alias("with_it"), F.round(F.coalesce(F.sum(F.when(F.col("side") != F.col("direction"), F.col("qty"))), F.lit(0.0)), 6).alias("against_it"))
 
 
-def sr16(spark, folder):
-    """Toxicity of each shock from what was known 25 events after it."""
-    sh, st = _shocks(spark, folder), _depths(states(spark, folder))
-    x = shocks.at_indices(sh, st, (25,))
-    now = shocks.impacts(x).select("shock_id", "instrument", "directional_impact").join(shocks.resiliency(x).select("shock_id", "ratio"), "shock_id").join(sh.select("shock_id", "first_index", "last_index"), "shock_id")
-    w = s.Window.partitionBy("instrument").orderBy("first_index")
-    now = now.withColumn("before", F.lag("directional_impact").over(w))
-    flow = s.rolling_flow(states(spark, folder), "instrument", "event_index", 50).select("instrument", F.col("event_index").alias("last_index"), F.col("persistence").alias("flow"))
-    vol = s.backward(states(spark, folder), "instrument", "event_index", "mid", (20,)).select("instrument", "event_index", "realized_volatility")
-    v0 = vol.select("instrument", (F.col("event_index") + 1).alias("first_index"), F.col("realized_volatility").alias("v0"))
-    v1 = vol.select("instrument", (F.col("event_index") - 25).alias("last_index"), F.col("realized_volatility").alias("v1"))
-    j = now.join(flow, ["instrument", "last_index"], "left").join(v0, ["instrument", "first_index"], "left").join(v1, ["instrument", "last_index"], "left").join(tk5(spark, folder).select("shock_id", F.col("persistence").alias("shocks")), "shock_id").join(sr15(spark, folder), "shock_id", "left")
-    c = j.withColumns({"impact": m.impact_component(F.col("before"), F.col("directional_impact")), "failure": m.bounded_failure(F.col("ratio")), "withdrawal": m.share(F.col("with_it"), F.col("with_it") + F.col("against_it")), "spread": m.bounded_excess(F.abs(F.col("directional_impact")) + 0.5), "volatility": m.bounded_excess(m.baseline_ratio(F.col("v0"), F.col("v1")))})
-    return liquidity.toxicity(c).select("shock_id", "missing", F.round("toxicity", 5).alias("toxicity"))
-
-
 QUERIES = {
     **{f"{name}_all_horizons": partial(query, horizons=ALL_SHOCK_HORIZONS) for name, query in (("sr7_fn21_impacts", sr7), ("prj1_wide", prj1))},
     **{f"{name}_all_horizons": partial(query, horizons=ALL_RECOVERY_HORIZONS) for name, query in (("sr8_resiliency", sr8), ("sr9_wn13_recovery", sr9), ("sr11_sr17_comparison", sr11), ("rs3_failed_aggression", rs3))},
     "rs4_labels_all_horizons": rs4_all,
-    "sr16_toxicity": sr16,
     "pv1_shape": pv1, "pv2_price": pv2, "pv3_flags": pv3, "pv4_fingerprints": pv4, "pv5_sequences": pv5, "pv6_events": pv6, "pv7_dense_sequence": pv7, "pv8_process_time": pv8, "pv9_boundaries": pv9, "pv10_gate": pv10, "fn11_sessions": fn11, "fn12_timestamps": fn12, "ag10_inspection": ag10, "jn12_mapping": jn12,
-    "jn8_reconcile": jn8, "sr1_observations": sr1, "sr2_sr4_aggression": sr2, "sr3_reach": sr3, "sr5_thresholds": sr5, "sr6_status": sr6, "sr7_fn21_impacts": sr7, "sr8_resiliency": sr8, "sr9_wn13_recovery": sr9, "jn9_nearest_prior": jn9, "sr10_pair_findings": sr10, "sr11_sr17_comparison": sr11, "sr15_flow_after": sr15, "rs3_failed_aggression": rs3, "jn10_range": jn10, "jn11_forward_asof": jn11,
+    "jn8_reconcile": jn8, "sr1_observations": sr1, "sr2_sr4_aggression": sr2, "sr3_reach": sr3, "sr5_thresholds": sr5, "sr6_status": sr6, "sr7_fn21_impacts": sr7, "sr8_resiliency": sr8, "sr9_wn13_recovery": sr9, "jn9_nearest_prior": jn9, "sr10_pair_findings": sr10, "sr11_sr17_comparison": sr11, "jn10_flow_after": sr15, "rs3_failed_aggression": rs3, "jn10_range": jn10, "jn11_forward_asof": jn11,
     "fn13_quotes": fn13, "fn22_fn25_ratios": fn22_25, "fn26_fn28_measures": fn26, "ag9_quality": ag9, "ag13_median": ag13, "ag14_moments": ag14, "ag15_tails": ag15, "ag16_percentile": ag16, "ag17_pooled": ag17,
     "rs1_rs2_features": rs1_2, "rs4_labels": rs4, "rs5_manifest": rs5, "rs6_folds": rs6, "rs7_rs8_st4_purge": rs7_8, "rs9_blocks": rs9, "rs10_permutations": rs10, "rs10_every_order": rs10_exact, "rs11_alternatives": rs11_exact, "rs11_rs12_p_value": rs11_12, "rs13_wn12_corrections": rs13_wn12, "rs14_hypotheses": rs14, "prj1_wide": prj1, "tk3_margin": tk3, "tk5_last_shocks": tk5,
 }
@@ -503,20 +486,7 @@ _R = "r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount *
 _K = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 _MEDIAN = "SELECT instrument_id, price, row_number() OVER (PARTITION BY instrument_id ORDER BY price) AS r, count(*) OVER (PARTITION BY instrument_id) AS n FROM raw_market_events WHERE event_kind = 'TRADE' AND price IS NOT NULL"
 
-_TOX = (
-    f"WITH {_after_sql((25,))}, nx AS (SELECT *, lag(di) OVER (PARTITION BY instrument ORDER BY first_index) AS before, abs(sum(CASE direction WHEN 'BUY' THEN 1 ELSE -1 END) OVER w) / count(*) OVER w AS shocks_c FROM im WINDOW w AS (PARTITION BY instrument ORDER BY first_index ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)), "
-    "sg AS (SELECT *, CASE side WHEN 'BUY' THEN qty WHEN 'SELL' THEN -qty ELSE 0 END AS g, (mid - lag(mid) OVER (PARTITION BY instrument ORDER BY event_index)) / lag(mid) OVER (PARTITION BY instrument ORDER BY event_index) AS step FROM states), "
-    "fv AS (SELECT instrument, event_index, coalesce(abs(sum(g) OVER f) / nullif(sum(abs(g)) OVER f, 0), 0) AS flow, CASE WHEN event_index >= 20 THEN sqrt(avg(step * step) OVER (PARTITION BY instrument ORDER BY event_index ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) END AS v FROM sg WINDOW f AS (PARTITION BY instrument ORDER BY event_index ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)), "
-    "wd AS (SELECT shock_id, coalesce(sum(d.qty) FILTER (d.side = s.direction), 0) AS a, coalesce(sum(d.qty) FILTER (d.side <> s.direction), 0) AS b FROM shocks s JOIN dep d ON d.instrument = s.instrument AND d.event_index BETWEEN s.last_index + 1 AND s.last_index + 10 GROUP BY shock_id), "
-    "c AS (SELECT nx.shock_id, p.flow, nx.shocks_c, CASE WHEN before IS NOT NULL AND di IS NOT NULL THEN greatest(di, 0) / CASE WHEN abs(before) + greatest(di, 0) = 0 THEN 1e-6::DOUBLE ELSE abs(before) + greatest(di, 0) END END AS impact, CASE WHEN ratio IS NOT NULL THEN 1 - least(greatest(ratio, 0), 1) END AS failure, coalesce(round(a, 6) / nullif(round(a, 6) + round(b, 6), 0), 0) AS withdrawal, "
-    "CASE WHEN di IS NOT NULL THEN greatest(abs(di) + 0.5 - 1, 0) / (1 + greatest(abs(di) + 0.5 - 1, 0)) END AS spread, CASE WHEN v0.v IS NOT NULL AND v1.v IS NOT NULL THEN greatest(v1.v / CASE WHEN v0.v = 0 THEN 1e-6::DOUBLE ELSE v0.v END - 1, 0) / (1 + greatest(v1.v / CASE WHEN v0.v = 0 THEN 1e-6::DOUBLE ELSE v0.v END - 1, 0)) END AS vol "
-    "FROM nx LEFT JOIN fv p ON p.instrument = nx.instrument AND p.event_index = nx.last_index LEFT JOIN fv v0 ON v0.instrument = nx.instrument AND v0.event_index = nx.first_index - 1 LEFT JOIN fv v1 ON v1.instrument = nx.instrument AND v1.event_index = nx.last_index + 25 LEFT JOIN wd USING (shock_id)) "
-    "SELECT shock_id, array_to_string(list_filter([CASE WHEN flow IS NULL THEN 'FLOW' END, CASE WHEN shocks_c IS NULL THEN 'SHOCKS' END, CASE WHEN impact IS NULL THEN 'IMPACT' END, CASE WHEN failure IS NULL THEN 'FAILURE' END, CASE WHEN withdrawal IS NULL THEN 'WITHDRAWAL' END, CASE WHEN spread IS NULL THEN 'SPREAD' END, CASE WHEN vol IS NULL THEN 'VOLATILITY' END], lambda x: x IS NOT NULL), ',') AS missing, "
-    "round(flow * 0.2 + shocks_c * 0.15 + impact * 0.15 + failure * 0.15 + withdrawal * 0.1 + spread * 0.1 + vol * 0.15, 5) AS toxicity FROM c"
-)
-
 ORACLE = {
-    "sr16_toxicity": _TOX,
     "pv1_shape": _REC + f" SELECT {_SHAPE} AS finding, count(*) AS n FROM rec GROUP BY ALL",
     "pv2_price": _REC + " SELECT record_id, CAST(price AS DECIMAL(20,6)) AS price FROM rec",
     "pv3_flags": _REC + " SELECT publisher_id, " + ", ".join(f"count(*) FILTER (flags & {v} <> 0) AS {k}" for k, v in provider.FLAGS.items()) + " FROM rec GROUP BY publisher_id",
@@ -543,7 +513,7 @@ ORACLE = {
     "jn9_nearest_prior": f"WITH {SHOCKS}, {_PAIRS} SELECT shock_id, prior_id, instrument, direction, events_between FROM pairs",
     "sr10_pair_findings": f"WITH {SHOCKS}, l AS (SELECT *, lag(shock_id) OVER w AS prior_id, lag(direction) OVER w AS d0, lag(segment) OVER w AS s0, lag(last_index) OVER w AS l0, lag(end_us) OVER w AS e0, lag(aggression) OVER w AS a0 FROM shocks WINDOW w AS (PARTITION BY instrument ORDER BY first_index)) SELECT shock_id, prior_id, array_to_string(list_filter([CASE WHEN d0 <> direction THEN 'DIRECTION' END, CASE WHEN s0 <> segment THEN 'STRUCTURAL_BREAK' END, CASE WHEN first_index - l0 > 500 THEN 'EVENT_DISTANCE' END, CASE WHEN start_us - e0 > 60000000 THEN 'TIME_DISTANCE' END, CASE WHEN NOT aggression / a0 BETWEEN 0.5 AND 2.0 THEN 'AGGRESSION_RATIO' END], lambda x: x IS NOT NULL), ',') AS reasons FROM l WHERE prior_id IS NOT NULL",
     "sr11_sr17_comparison": _CMP + " SELECT * FROM cmp",
-    "sr15_flow_after": f"WITH {SHOCKS} SELECT shock_id, round(coalesce(sum(d.qty) FILTER (d.side = s.direction), 0), 6) AS with_it, round(coalesce(sum(d.qty) FILTER (d.side <> s.direction), 0), 6) AS against_it FROM shocks s JOIN dep d ON d.instrument = s.instrument AND d.event_index BETWEEN s.last_index + 1 AND s.last_index + 10 GROUP BY shock_id",
+    "jn10_flow_after": f"WITH {SHOCKS} SELECT shock_id, round(coalesce(sum(d.qty) FILTER (d.side = s.direction), 0), 6) AS with_it, round(coalesce(sum(d.qty) FILTER (d.side <> s.direction), 0), 6) AS against_it FROM shocks s JOIN dep d ON d.instrument = s.instrument AND d.event_index BETWEEN s.last_index + 1 AND s.last_index + 10 GROUP BY shock_id",
     "rs3_failed_aggression": _CMP + " SELECT shock_id, horizon FROM cmp WHERE d_effectiveness < 0 AND d_ratio > 0",
     "jn10_range": f"WITH {SHOCKS} SELECT shock_id, count(*) AS n_events, count(d.side) AS n_trades FROM shocks s JOIN dep d ON d.instrument = s.instrument AND d.event_index BETWEEN s.last_index + 1 AND s.last_index + 5 GROUP BY shock_id",
     "jn11_forward_asof": f"WITH {SHOCKS} SELECT s.shock_id, d.at_us AS anchor_us, d.event_index FROM (SELECT shock_id, instrument, end_us + 1000000 AS ready FROM shocks) s ASOF LEFT JOIN dep d ON s.instrument = d.instrument AND s.ready <= d.at_us",
