@@ -13,6 +13,7 @@ from tapeloom.tables import table
 
 AS_OF = "2023-01-07 12:00:00"
 FIRST_INCOMING_BATCH = 5
+EXCHANGE, ASSET = "XKAL", "EQUITY"
 NAMESPACE = "f137d5c2-53a8-4dcf-a112-d48e3cc54d8e"
 
 
@@ -81,7 +82,26 @@ def snk5(spark, folder):
     r = _revisions(spark, folder)
     b = r.select("event_id", "revision_number", F.lag("revision_number").over(w).alias("n0"), "available_at", F.lag("available_at").over(w).alias("a0"), "event_type", F.lag("event_type").over(w).alias("t0"), "source_names", F.lag("source_names").over(w).alias("s0"))
     first = F.col("n0").isNull()
-    return b.select("event_id", "revision_number", F.coalesce(F.col("revision_number") == F.coalesce("n0", F.lit(0)) + 1, F.lit(False)).alias("next_number"), (first | (F.col("available_at") >= F.col("a0"))).alias("monotonic"), (first | F.col("event_type").eqNullSafe(F.col("t0"))).alias("same_type"), (first | (F.size(F.array_except(F.col("s0"), F.col("source_names"))) == 0)).alias("sources_kept"))
+    return b.select("event_id", "revision_number", F.coalesce(F.col("revision_number") == F.coalesce("n0", F.lit(0)) + 1, F.lit(False)).alias("next_number"), (first | (F.col("available_at") >= F.col("a0"))).alias("monotonic"), (first | F.col("event_type").eqNullSafe(F.col("t0"))).alias("same_type"), (first | (F.size(F.array_except(F.col("s0"), F.col("source_names"))) == 0)).alias("sources_kept"), (F.size(F.array_except(F.col("source_names"), F.coalesce("s0", F.array().cast("array<string>")))) > 0).alias("source_added"))
+
+
+def snk5_owners(spark, folder):
+    """Messages that more than one event claims; there must be none."""
+    return raw(spark, folder).where("event_id IS NOT NULL").groupBy("news_id").agg(F.countDistinct("event_id").alias("n_events"), F.count("*").alias("n_rows")).groupBy((F.col("n_events") == 1).alias("one_event")).agg(F.count("*").alias("n"))
+
+
+def jn2_listed(spark, folder):
+    """As jn2, among the shares of one exchange alone."""
+    r = raw(spark, folder).select("news_id", F.explode(text.tickers(F.col("provider_tickers"))).alias("k"))
+    i = table(spark, folder, "instruments").where((F.col("exchange") == EXCHANGE) & (F.col("asset_type") == ASSET)).select("instrument_id", F.upper(F.trim("ticker")).alias("k"))
+    return asof.resolve(r, i, "k", "instrument_id")
+
+
+def jn1_normal(spark, folder):
+    """As jn1, by the normal form of names."""
+    a = table(spark, folder, "entity_aliases").select("alias_id", text.normal_form(F.col("alias")).alias("k"))
+    names = _names(spark, folder).select("entity_id", F.col("name").alias("k"))
+    return asof.resolve(a, names, "k", "entity_id").select("alias_id", "status", "entity_id")
 
 
 def val1(spark, folder):
@@ -458,7 +478,7 @@ def nw4_tiers(spark, folder):
 
 
 QUERIES = {
-    "jn3_links_at_messages": jn3_each, "jn13_mentions_short": jn13_short, "nw4_entity_tiers": nw4_tiers, "jn4_relations": jn4, "jn6_exposed": jn6, "jn13_mentions": jn13, "fn20_prj2_direction": fn20, "nw7_unprocessed": nw7, "nw8_scores": nw8,
+    "snk5_owners": snk5_owners, "jn2_listed": jn2_listed, "jn1_normal_form": jn1_normal, "jn3_links_at_messages": jn3_each, "jn13_mentions_short": jn13_short, "nw4_entity_tiers": nw4_tiers, "jn4_relations": jn4, "jn6_exposed": jn6, "jn13_mentions": jn13, "fn20_prj2_direction": fn20, "nw7_unprocessed": nw7, "nw8_scores": nw8,
     "src5_exists": src5, "src6_scan_as_of": src6, "src7_stream_scan": src7, "snk1_insert_status": snk1, "snk2_market_status": snk2, "snk3_summary": snk3, "snk5_invariants": snk5,
     "val1_causality": val1, "val2_shape": val2, "val3_ranges": val3, "val4_tickers": val4, "val5_tick": val5, "flt1_valid_links": flt1, "flt2_scope": flt2, "flt3_active": flt3,
     "jn1_alias": jn1, "jn2_ticker": jn2, "jn3_links_as_of": jn3, "jn5_candidates": jn5, "jn7_previous": jn7, "wn1_latest": wn1, "ag1_noisy_or": ag1, "ag2_weighted_mean": ag2, "ag3_exposure": ag3, "ag5_news_flow": ag5, "ag8_sources": ag8,
@@ -584,7 +604,7 @@ ORACLE = {
     "snk2_market_status": "WITH p AS (SELECT *, hash(instrument_id, event_kind, venue, sequence_stream_id, sequence_number, exchange_time, receive_time, process_time, price, quantity) AS h, row_number() OVER w AS nth, first_value(event_id) OVER (PARTITION BY instrument_id, venue, sequence_stream_id, sequence_number ORDER BY receive_time, process_time, event_id) AS holder FROM raw_market_events WINDOW w AS (PARTITION BY event_id ORDER BY receive_time, process_time)), "
     "q AS (SELECT *, first_value(h) OVER (PARTITION BY event_id ORDER BY receive_time, process_time) = h AS same FROM p) SELECT venue, CASE WHEN nth > 1 AND same THEN 'DUPLICATE_EVENT' WHEN nth > 1 THEN 'CONFLICTING_EVENT_ID' WHEN holder <> event_id THEN 'CONFLICTING_SEQUENCE' ELSE 'INSERTED' END AS status, count(*) AS n FROM q GROUP BY ALL",
     "snk3_summary": f"WITH {_STATUS} SELECT count(*) AS received, count(*) FILTER (status = 'INSERTED') AS inserted, count(*) FILTER (status <> 'INSERTED') AS duplicate FROM status",
-    "snk5_invariants": f"WITH {_REV}, b AS (SELECT *, lag(revision_number) OVER w AS n0, lag(available_at) OVER w AS a0, lag(event_type) OVER w AS t0, lag(source_names) OVER w AS s0 FROM rev WINDOW w AS (PARTITION BY event_id ORDER BY revision_number)) SELECT event_id, revision_number, revision_number = coalesce(n0, 0) + 1 AS next_number, n0 IS NULL OR available_at >= a0 AS monotonic, n0 IS NULL OR event_type = t0 AS same_type, n0 IS NULL OR list_has_all(source_names, s0) AS sources_kept FROM b",
+    "snk5_invariants": f"WITH {_REV}, b AS (SELECT *, lag(revision_number) OVER w AS n0, lag(available_at) OVER w AS a0, lag(event_type) OVER w AS t0, lag(source_names) OVER w AS s0 FROM rev WINDOW w AS (PARTITION BY event_id ORDER BY revision_number)) SELECT event_id, revision_number, revision_number = coalesce(n0, 0) + 1 AS next_number, n0 IS NULL OR available_at >= a0 AS monotonic, n0 IS NULL OR event_type = t0 AS same_type, n0 IS NULL OR list_has_all(source_names, s0) AS sources_kept, len(list_filter(source_names, lambda x: NOT list_contains(coalesce(s0, []), x))) > 0 AS source_added FROM b",
     "val1_causality": "SELECT source, count(*) FILTER (receive_time < event_time) AS n_before_event, count(*) FILTER (process_time < receive_time) AS n_before_receipt FROM raw_news GROUP BY source",
     "val2_shape": "SELECT event_kind, CASE WHEN event_kind = 'BOOK' AND book_action = 'RESET' AND (book_side IS NOT NULL OR price IS NOT NULL OR quantity IS NOT NULL) THEN 'RESET_WITH_FIELDS' WHEN event_kind = 'BOOK' AND book_action <> 'RESET' AND (book_side IS NULL OR price IS NULL) THEN 'NO_SIDE_OR_PRICE' WHEN event_kind = 'BOOK' AND book_action IN ('ADD', 'MODIFY', 'CANCEL', 'EXECUTE') AND coalesce(quantity, 0) <= 0 THEN 'NO_QUANTITY' "
     "WHEN event_kind = 'BOOK' AND book_action = 'DELETE' AND quantity IS NOT NULL THEN 'DELETE_WITH_QUANTITY' WHEN event_kind = 'BOOK' AND book_action <> 'EXECUTE' AND trade_id IS NOT NULL THEN 'TRADE_ID_WITHOUT_EXECUTE' WHEN event_kind = 'QUOTE' AND best_bid_price > best_ask_price THEN 'CROSSED_QUOTE' ELSE 'OK' END AS finding, count(*) AS n FROM raw_market_events GROUP BY ALL",
@@ -598,6 +618,9 @@ ORACLE = {
     "jn2_ticker": "WITH x AS (SELECT DISTINCT news_id, upper(trim(unnest(provider_tickers))) AS k FROM raw_news) SELECT x.k, news_id, CASE WHEN instrument_id IS NULL THEN 'NOT_FOUND' ELSE 'RESOLVED' END AS status, instrument_id FROM x LEFT JOIN instruments i ON upper(trim(i.ticker)) = x.k WHERE x.k <> ''",
     "jn3_links_as_of": "WITH r AS (SELECT DISTINCT entity_id, CAST(process_time AT TIME ZONE 'UTC' AS DATE) AS day FROM raw_news WHERE entity_id IS NOT NULL), l AS (SELECT DISTINCT ON (link_id, valid_from, valid_to) * FROM entity_instrument_links) SELECT day, count(*) AS n_links, count(DISTINCT instrument_id) AS n_instruments FROM r JOIN l USING (entity_id) WHERE (valid_from IS NULL OR valid_from <= CAST(day AS TIMESTAMP) AT TIME ZONE 'UTC') AND (valid_to IS NULL OR valid_to > CAST(day AS TIMESTAMP) AT TIME ZONE 'UTC') GROUP BY day",
     "jn5_candidates": f"WITH {_REV}, r AS (SELECT DISTINCT event_id, available_at, unnest(source_names) AS source FROM rev) SELECT news_id, count(DISTINCT r.event_id) AS n_candidates, bool_or(coalesce(i.event_id = r.event_id, false)) AS own_among_them FROM raw_news i JOIN r ON i.source = r.source AND available_at <= process_time AND epoch_us(process_time) - epoch_us(available_at) <= {news.HORIZON_S * 1_000_000} GROUP BY news_id",
+    "snk5_owners": "SELECT n_events = 1 AS one_event, count(*) AS n FROM (SELECT news_id, count(DISTINCT event_id) AS n_events FROM raw_news WHERE event_id IS NOT NULL GROUP BY news_id) GROUP BY ALL",
+    "jn2_listed": f"WITH x AS (SELECT DISTINCT news_id, upper(trim(unnest(provider_tickers))) AS k FROM raw_news), i AS (SELECT * FROM instruments WHERE exchange = '{EXCHANGE}' AND asset_type = '{ASSET}') SELECT x.k, news_id, CASE WHEN instrument_id IS NULL THEN 'NOT_FOUND' ELSE 'RESOLVED' END AS status, instrument_id FROM x LEFT JOIN i ON upper(trim(i.ticker)) = x.k WHERE x.k <> ''",
+    "jn1_normal_form": f"WITH names AS (SELECT {_norm('canonical_name')} AS k, entity_id FROM entities UNION SELECT {_norm('a')}, entity_id FROM (SELECT unnest(aliases) AS a, entity_id FROM entities)), g AS (SELECT k, count(DISTINCT entity_id) AS n, min(entity_id) AS e FROM names WHERE k <> '' GROUP BY k), al AS (SELECT alias_id, {_norm('alias')} AS k FROM entity_aliases) SELECT alias_id, CASE WHEN n IS NULL THEN 'NOT_FOUND' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status, CASE WHEN n = 1 THEN e END AS entity_id FROM al LEFT JOIN g USING (k)",
     "jn7_previous": f"WITH {_REV} SELECT revision_id, lag(revision_id) OVER w AS before, len(list_filter(list_distinct(source_names), lambda x: NOT list_contains(coalesce(s0, []), x))) AS new_sources FROM (SELECT *, lag(source_names) OVER (PARTITION BY event_id ORDER BY revision_number) AS s0 FROM rev) WINDOW w AS (PARTITION BY event_id ORDER BY revision_number)",
     "wn1_latest": f"WITH {_REV}, {_LATEST} SELECT event_id, revision_id, revision_number, event_state FROM latest",
     "ag1_noisy_or": f"WITH {_IND} SELECT event_id, round(1 - product(1 - credibility), 8) AS credibility FROM ind GROUP BY event_id",

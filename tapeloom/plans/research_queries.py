@@ -291,12 +291,15 @@ def rs4(spark, folder):
 
 
 def rs4_all(spark, folder):
-    """As rs4, one row an event and horizon."""
+    """As rs4, one row an event and horizon; a label that reaches past the last event, or over a structural break, is unavailable, for the first of these reasons."""
+    st = _segmented(spark, folder).select("instrument", "event_index", "event_id", "side", "segment")
     f = s.forward(states(spark, folder), "instrument", "event_index", "mid", ALL_LABELS)
-    r = f.join(states(spark, folder).select("instrument", "event_index", "event_id", "side"), ["instrument", "event_index"]).where("side IN ('BUY', 'SELL')")
-    reversal = F.when(F.col("side") == "BUY", -1).otherwise(1) * (F.col("later") - F.col("mid")) / F.col("mid")
-    reason = F.when(F.col("later").isNull(), "MISSING_FUTURE_EVENT")
-    return r.select("event_id", "horizon", (F.round(reversal, 8) + 0.0).alias("reversal"), (reversal > 0).alias("success"), F.round((F.col("highest") - F.col("mid")) / F.col("mid"), 8).alias("favourable"), reason.alias("unavailable"))
+    later = st.select("instrument", F.col("event_index").alias("end_index"), F.col("segment").alias("end_segment"))
+    r = f.join(st, ["instrument", "event_index"]).where("side IN ('BUY', 'SELL')").withColumn("end_index", F.col("event_index") + F.col("horizon")).join(later, ["instrument", "end_index"], "left")
+    reason = F.when(F.col("later").isNull(), "MISSING_FUTURE_EVENT").when(F.col("end_segment") != F.col("segment"), "STRUCTURAL_GAP")
+    reversal = F.when(reason.isNull(), F.when(F.col("side") == "BUY", -1).otherwise(1) * (F.col("later") - F.col("mid")) / F.col("mid"))
+    best = F.when(reason.isNull(), (F.col("highest") - F.col("mid")) / F.col("mid"))
+    return r.select("event_id", "horizon", (F.round(reversal, 8) + 0.0).alias("reversal"), (reversal > 0).alias("success"), F.round(best, 8).alias("favourable"), reason.alias("unavailable"))
 
 
 def rs5(spark, folder):
@@ -472,7 +475,8 @@ def _after_sql(horizons) -> str:
 
 _FAILED = "array_to_string(list_filter([CASE WHEN aggression IS NULL THEN 'NO_AGGRESSION' WHEN aggression < 0.5 THEN 'AGGRESSION' END, CASE WHEN volume < 100 THEN 'VOLUME' END], lambda x: x IS NOT NULL), ',')"
 _PAIRS = f"pairs AS (SELECT * FROM (SELECT a.shock_id, b.shock_id AS prior_id, a.instrument, a.direction, a.first_index - b.last_index AS events_between, row_number() OVER (PARTITION BY a.shock_id ORDER BY b.last_index DESC, b.shock_id) AS nth FROM shocks a JOIN shocks b ON a.instrument = b.instrument AND a.segment = b.segment AND a.direction = b.direction AND b.last_index < a.first_index AND a.first_index - b.last_index <= 500 AND a.start_us - b.end_us <= {PAIR_S * 1_000_000} AND a.aggression / b.aggression BETWEEN 0.5 AND 2.0) WHERE nth = 1)"
-_CMP = f"WITH {_after_sql(RECOVERY_HORIZONS)}, {_PAIRS}, ef AS (SELECT shock_id, horizon, di / (aggression + 1e-6) AS e, ratio AS r FROM im), cmp AS (SELECT p.shock_id, a.horizon, round(a.e - b.e, 8) AS d_effectiveness, round((a.e - b.e) / (abs(b.e) + 1e-6), 6) AS relative, CASE WHEN a.e - b.e < -1e-6 THEN 'WEAKENING' WHEN a.e - b.e > 1e-6 THEN 'STRENGTHENING' ELSE 'STABLE' END AS trend, round(a.r - b.r, 8) AS d_ratio, round(a.r / (abs(a.e) + 1e-6) - b.r / (abs(b.e) + 1e-6), 3) AS d_absorption FROM pairs p JOIN ef a ON a.shock_id = p.shock_id JOIN ef b ON b.shock_id = p.prior_id AND b.horizon = a.horizon WHERE a.e IS NOT NULL AND b.e IS NOT NULL)"
+_CMP_OF = lambda horizons: f"WITH {_after_sql(horizons)}, {_PAIRS}, ef AS (SELECT shock_id, horizon, di / (aggression + 1e-6) AS e, ratio AS r FROM im), cmp AS (SELECT p.shock_id, a.horizon, round(a.e - b.e, 8) AS d_effectiveness, round((a.e - b.e) / (abs(b.e) + 1e-6), 6) AS relative, CASE WHEN a.e - b.e < -1e-6 THEN 'WEAKENING' WHEN a.e - b.e > 1e-6 THEN 'STRENGTHENING' ELSE 'STABLE' END AS trend, round(a.r - b.r, 8) AS d_ratio, round(a.r / (abs(a.e) + 1e-6) - b.r / (abs(b.e) + 1e-6), 3) AS d_absorption FROM pairs p JOIN ef a ON a.shock_id = p.shock_id JOIN ef b ON b.shock_id = p.prior_id AND b.horizon = a.horizon WHERE a.e IS NOT NULL AND b.e IS NOT NULL)"
+_CMP, _CMP_ALL = _CMP_OF(RECOVERY_HORIZONS), _CMP_OF(ALL_RECOVERY_HORIZONS)
 _LAB = STATES + f", lab AS (SELECT *, lead(mid, {LABEL}) OVER w AS later, CASE WHEN lead(mid, {LABEL}) OVER w IS NOT NULL THEN max(mid) OVER (PARTITION BY instrument ORDER BY event_index ROWS BETWEEN CURRENT ROW AND {LABEL} FOLLOWING) END AS highest FROM states WINDOW w AS (PARTITION BY instrument ORDER BY event_index))"
 _FOLD = _LAB + f", rk AS (SELECT *, event_index + {LABEL} AS label_end, row_number() OVER (ORDER BY at_us, instrument, event_index, event_id) - 1 AS r FROM lab WHERE later IS NOT NULL), nf AS (SELECT unnest(range(0, greatest(0, CAST(ceil((count(*) - {TRAIN}) / {TEST}) AS BIGINT)))) AS fold FROM rk), fo AS (SELECT fold, CASE WHEN r < {TRAIN} + fold * {TEST} THEN 'TRAIN' ELSE 'TEST' END AS role, rk.* FROM nf JOIN rk ON r < {TRAIN} + (fold + 1) * {TEST})"
 _PURGE = _FOLD + ", em AS (SELECT *, event_index - max(CASE role WHEN 'TRAIN' THEN event_index END) OVER (PARTITION BY fold, instrument) AS gap FROM fo), kp AS (SELECT *, CASE WHEN role = 'TEST' AND gap > 0 AND gap <= 5 THEN 'EMBARGOED' ELSE role END AS kept FROM em), pg AS (SELECT *, CASE WHEN kept = 'TRAIN' AND label_end >= min(CASE kept WHEN 'TEST' THEN event_index END) OVER (PARTITION BY fold, instrument) THEN 'PURGED' ELSE kept END AS final FROM kp)"
@@ -544,3 +548,16 @@ ORACLE = {
     "tk3_margin": f"WITH {SHOCKS}, r AS (SELECT *, row_number() OVER w AS nth, lead(aggression) OVER w AS nxt FROM shocks WINDOW w AS (PARTITION BY instrument ORDER BY aggression DESC, shock_id)) SELECT instrument, shock_id, coalesce(aggression - nxt < 0.05, false) AS ambiguous FROM r WHERE nth = 1",
     "tk5_last_shocks": f"WITH {SHOCKS} SELECT shock_id, count(*) OVER w AS n, round(abs(sum(CASE direction WHEN 'BUY' THEN 1 ELSE -1 END) OVER w) / count(*) OVER w, 6) AS persistence FROM shocks WINDOW w AS (PARTITION BY instrument ORDER BY first_index ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)",
 }
+ORACLE |= {
+    f"{name}_all_horizons": ORACLE[name].replace(_after_sql(of), _after_sql(every))
+    for name, of, every in (("sr7_fn21_impacts", SHOCK_HORIZONS, ALL_SHOCK_HORIZONS), ("sr8_resiliency", RECOVERY_HORIZONS, ALL_RECOVERY_HORIZONS), ("sr9_wn13_recovery", RECOVERY_HORIZONS, ALL_RECOVERY_HORIZONS))
+}
+ORACLE |= {
+    "sr11_sr17_comparison_all_horizons": _CMP_ALL + " SELECT * FROM cmp",
+    "rs3_failed_aggression_all_horizons": _CMP_ALL + " SELECT shock_id, horizon FROM cmp WHERE d_effectiveness < 0 AND d_ratio > 0",
+    "prj1_wide_all_horizons": f"WITH {_after_sql(ALL_SHOCK_HORIZONS)} SELECT shock_id, " + ", ".join(f"round(max(di) FILTER (horizon = {h}), 8) AS impact_h{h}" for h in ALL_SHOCK_HORIZONS) + " FROM im GROUP BY shock_id",
+    "rs4_labels_all_horizons": f"WITH {SEGMENTED}, hz AS (SELECT unnest([{', '.join(map(str, ALL_LABELS))}]) AS horizon), ends AS (SELECT a.*, horizon, b.mid AS later, b.segment AS s1 FROM segmented a CROSS JOIN hz LEFT JOIN segmented b ON b.instrument = a.instrument AND b.event_index = a.event_index + horizon WHERE a.side IN ('BUY', 'SELL')), "
+    "path AS (SELECT e.event_id, e.horizon, max(x.mid) AS highest FROM ends e JOIN segmented x ON x.instrument = e.instrument AND x.event_index BETWEEN e.event_index AND e.event_index + e.horizon GROUP BY ALL), "
+    "why AS (SELECT *, CASE WHEN later IS NULL THEN 'MISSING_FUTURE_EVENT' WHEN s1 <> segment THEN 'STRUCTURAL_GAP' END AS reason FROM ends JOIN path USING (event_id, horizon)), rv AS (SELECT *, CASE WHEN reason IS NULL THEN CASE side WHEN 'BUY' THEN -1 ELSE 1 END * (later - mid) / mid END AS r FROM why) "
+    "SELECT event_id, horizon, round(r, 8) + 0.0::DOUBLE AS reversal, r > 0 AS success, CASE WHEN reason IS NULL THEN round((highest - mid) / mid, 8) END AS favourable, reason AS unavailable FROM rv",
+}
