@@ -291,7 +291,16 @@ def rs4(spark, folder):
 
 
 def rs4_all(spark, folder):
-    """As rs4, one row an event and horizon; a label that reaches past the last event, or over a structural break, is unavailable, for the first of these reasons."""
+    """As rs4, one row an event and horizon."""
+    f = s.forward(states(spark, folder), "instrument", "event_index", "mid", ALL_LABELS)
+    r = f.join(states(spark, folder).select("instrument", "event_index", "event_id", "side"), ["instrument", "event_index"]).where("side IN ('BUY', 'SELL')")
+    reversal = F.when(F.col("side") == "BUY", -1).otherwise(1) * (F.col("later") - F.col("mid")) / F.col("mid")
+    reason = F.when(F.col("later").isNull(), "MISSING_FUTURE_EVENT")
+    return r.select("event_id", "horizon", (F.round(reversal, 8) + 0.0).alias("reversal"), (reversal > 0).alias("success"), F.round((F.col("highest") - F.col("mid")) / F.col("mid"), 8).alias("favourable"), reason.alias("unavailable"))
+
+
+def rs4_gaps(spark, folder):
+    """As rs4_all; a label that reaches past the last event, or over a structural break, is unavailable, for the first of these reasons."""
     st = _segmented(spark, folder).select("instrument", "event_index", "event_id", "side", "segment")
     f = s.forward(states(spark, folder), "instrument", "event_index", "mid", ALL_LABELS)
     later = st.select("instrument", F.col("event_index").alias("end_index"), F.col("segment").alias("end_segment"))
@@ -435,7 +444,7 @@ def sr15(spark, folder):
 QUERIES = {
     **{f"{name}_all_horizons": partial(query, horizons=ALL_SHOCK_HORIZONS) for name, query in (("sr7_fn21_impacts", sr7), ("prj1_wide", prj1))},
     **{f"{name}_all_horizons": partial(query, horizons=ALL_RECOVERY_HORIZONS) for name, query in (("sr8_resiliency", sr8), ("sr9_wn13_recovery", sr9), ("sr11_sr17_comparison", sr11), ("rs3_failed_aggression", rs3))},
-    "rs4_labels_all_horizons": rs4_all,
+    "rs4_labels_all_horizons": rs4_all, "rs4_labels_and_gaps": rs4_gaps,
     "pv1_shape": pv1, "pv2_price": pv2, "pv3_flags": pv3, "pv4_fingerprints": pv4, "pv5_sequences": pv5, "pv6_events": pv6, "pv7_dense_sequence": pv7, "pv8_process_time": pv8, "pv9_boundaries": pv9, "pv10_gate": pv10, "fn11_sessions": fn11, "fn12_timestamps": fn12, "ag10_inspection": ag10, "jn12_mapping": jn12,
     "jn8_reconcile": jn8, "sr1_observations": sr1, "sr2_sr4_aggression": sr2, "sr3_reach": sr3, "sr5_thresholds": sr5, "sr6_status": sr6, "sr7_fn21_impacts": sr7, "sr8_resiliency": sr8, "sr9_wn13_recovery": sr9, "jn9_nearest_prior": jn9, "sr10_pair_findings": sr10, "sr11_sr17_comparison": sr11, "jn10_flow_after": sr15, "rs3_failed_aggression": rs3, "jn10_range": jn10, "jn11_forward_asof": jn11,
     "fn13_quotes": fn13, "fn22_fn25_ratios": fn22_25, "fn26_fn28_measures": fn26, "ag9_quality": ag9, "ag13_median": ag13, "ag14_moments": ag14, "ag15_tails": ag15, "ag16_percentile": ag16, "ag17_pooled": ag17,
@@ -558,6 +567,10 @@ ORACLE |= {
     "prj1_wide_all_horizons": f"WITH {_after_sql(ALL_SHOCK_HORIZONS)} SELECT shock_id, " + ", ".join(f"round(max(di) FILTER (horizon = {h}), 8) AS impact_h{h}" for h in ALL_SHOCK_HORIZONS) + " FROM im GROUP BY shock_id",
     "rs4_labels_all_horizons": f"WITH {SEGMENTED}, hz AS (SELECT unnest([{', '.join(map(str, ALL_LABELS))}]) AS horizon), ends AS (SELECT a.*, horizon, b.mid AS later, b.segment AS s1 FROM segmented a CROSS JOIN hz LEFT JOIN segmented b ON b.instrument = a.instrument AND b.event_index = a.event_index + horizon WHERE a.side IN ('BUY', 'SELL')), "
     "path AS (SELECT e.event_id, e.horizon, max(x.mid) AS highest FROM ends e JOIN segmented x ON x.instrument = e.instrument AND x.event_index BETWEEN e.event_index AND e.event_index + e.horizon GROUP BY ALL), "
+    "why AS (SELECT *, CASE WHEN later IS NULL THEN 'MISSING_FUTURE_EVENT' END AS reason FROM ends JOIN path USING (event_id, horizon)), rv AS (SELECT *, CASE WHEN reason IS NULL THEN CASE side WHEN 'BUY' THEN -1 ELSE 1 END * (later - mid) / mid END AS r FROM why) "
+    "SELECT event_id, horizon, round(r, 8) + 0.0::DOUBLE AS reversal, r > 0 AS success, CASE WHEN reason IS NULL THEN round((highest - mid) / mid, 8) END AS favourable, reason AS unavailable FROM rv",
+    "rs4_labels_and_gaps": f"WITH {SEGMENTED}, hz AS (SELECT unnest([{', '.join(map(str, ALL_LABELS))}]) AS horizon), ends AS (SELECT a.*, horizon, b.mid AS later, b.segment AS s1 FROM segmented a CROSS JOIN hz LEFT JOIN segmented b ON b.instrument = a.instrument AND b.event_index = a.event_index + horizon WHERE a.side IN ('BUY', 'SELL')), "
+    "path AS (SELECT e.event_id, e.horizon, max(x.mid) AS highest FROM ends e JOIN segmented x ON x.instrument = e.instrument AND x.event_index BETWEEN e.event_index AND e.event_index + e.horizon GROUP BY ALL), "
     "why AS (SELECT *, CASE WHEN later IS NULL THEN 'MISSING_FUTURE_EVENT' WHEN s1 <> segment THEN 'STRUCTURAL_GAP' END AS reason FROM ends JOIN path USING (event_id, horizon)), rv AS (SELECT *, CASE WHEN reason IS NULL THEN CASE side WHEN 'BUY' THEN -1 ELSE 1 END * (later - mid) / mid END AS r FROM why) "
     "SELECT event_id, horizon, round(r, 8) + 0.0::DOUBLE AS reversal, r > 0 AS success, CASE WHEN reason IS NULL THEN round((highest - mid) / mid, 8) END AS favourable, reason AS unavailable FROM rv",
 }
