@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import taxonomy as t
+from tapeloom.session import cut_lineage
 
 
 def insert_statuses(rows: DataFrame, is_incoming: Column) -> DataFrame:
@@ -202,3 +203,47 @@ def mentions(texts: DataFrame, text_id: str, normal: str, names: DataFrame, name
 
 def _run(words: Column, k: int):
     return lambda i: F.array_join(F.slice(words, i, k), " ")
+
+
+#: Microseconds of a cell in which candidates() counts row by row.
+CELL_US = 3_600_000_000
+
+
+def candidates(items: DataFrame, mentions: DataFrame, horizon: int) -> DataFrame:
+    """(news_id, n_candidates, own_among_them): the distinct events that the item's source mentioned at most `horizon` before it; items without a mention are left out.
+
+    items: (news_id, source, at, own); mentions: (event_id, source, at). Items don't meet their events: an event's mentions by a source count as one where
+    they reach into each other, so the events in reach are those begun less those ended, a running sum by source. Whole cells are summed up first, so that
+    a source isn't one task. Only an id that stands for several sources or times is joined with its events.
+    """
+    items, mentions = (x.where("source IS NOT NULL AND at IS NOT NULL") for x in (items, mentions))
+    item, at = F.col("item"), F.col("at")
+    nobody = F.lit(None).cast(items.schema["news_id"].dataType)
+    both = mentions.select("source", "event_id", "at", F.lit(False).alias("item"), nobody.alias("news_id")).unionByName(items.select("source", F.col("own").alias("event_id"), "at", F.lit(True).alias("item"), "news_id"))
+    earlier = Window.partitionBy("source", "event_id").orderBy("at", "item").rowsBetween(Window.unboundedPreceding, -1)
+    b = both.withColumn("last", F.max(F.when(~item, at)).over(earlier))
+    reached, known = F.coalesce(at - F.col("last") <= horizon, F.lit(False)), F.col("event_id").isNotNull()
+    row = lambda when, n: F.struct(when.alias("at"), F.lit(n).cast("long").alias("all"), (known.cast("long") * n).alias("events"), (known & reached).alias("own"))
+    span = F.array(row(F.when(reached, F.col("last") + horizon + 1).otherwise(at), 1), row(at + horizon + 1, -1))
+    marks = b.select("source", "item", "news_id", F.explode(F.when(item, F.array(row(at, 0))).otherwise(span)).alias("x")).select("source", "item", "news_id", "x.*")
+    marks = marks.withColumn("cell", F.floor(at / CELL_US))
+
+    counts = ("all", "events")
+    cells = marks.groupBy("source", "cell").agg(*[F.sum(c).alias(c) for c in counts])
+    before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = cells.select("source", "cell", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in counts])
+    inside = Window.partitionBy("source", "cell").orderBy("at", "item").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = marks.withColumns({c: F.sum(c).over(inside) for c in counts}).where("item").join(base, ["source", "cell"])
+    asked = asked.select("news_id", "source", "at", "own", *[(F.col(c) + F.col(f"{c}_before")).alias(c) for c in counts])
+
+    place = F.struct("source", "at")
+    ids = cut_lineage(asked.groupBy("news_id").agg(F.max("events").alias("n_candidates"), F.max("own").alias("own_among_them"), F.max("all").alias("all"), (F.min(place) != F.max(place)).alias("several")).where("all > 0").drop("all"))
+    once = ids.where("NOT several").drop("several")
+    several = ids.where("several").select(F.col("news_id").alias("id_"))
+    if several.isEmpty():
+        return once
+    cell = lambda c: F.floor(c / horizon)
+    some = items.join(several, F.col("news_id").eqNullSafe(F.col("id_")), "left_semi").withColumn("cell", cell(at))
+    near = mentions.select("source", "event_id", at.alias("then"), F.explode(F.array(cell(at), cell(at) + 1)).alias("cell"))
+    pairs = some.join(near, ["source", "cell"]).where((F.col("then") <= at) & (at - F.col("then") <= horizon))
+    return once.unionByName(pairs.groupBy("news_id").agg(F.countDistinct("event_id").alias("n_candidates"), F.max(F.coalesce(F.col("own") == F.col("event_id"), F.lit(False))).alias("own_among_them")))

@@ -191,12 +191,10 @@ def jn7(spark, folder):
 
 
 def jn5(spark, folder):
-    """The events with a revision in the 36 h before each message that names its source; buckets of 36 h make it an equi-join."""
-    bucket = lambda c: F.floor(F.unix_micros(c) / (news.HORIZON_S * 1_000_000))
-    items = raw(spark, folder).select("news_id", "source", "process_time", F.col("event_id").alias("own"), bucket("process_time").alias("b"))
-    r = _revisions(spark, folder).select("event_id", "available_at", F.explode(F.array_distinct("source_names")).alias("source")).withColumn("b", F.explode(F.array(bucket("available_at"), bucket("available_at") + 1)))
-    j = items.join(r, ["source", "b"]).where((F.col("available_at") <= F.col("process_time")) & (F.unix_micros("process_time") - F.unix_micros("available_at") <= news.HORIZON_S * 1_000_000))
-    return j.groupBy("news_id").agg(F.countDistinct("event_id").alias("n_candidates"), F.max(F.coalesce(F.col("own") == F.col("event_id"), F.lit(False))).alias("own_among_them"))
+    """The events with a revision in the 36 h before each message that names its source."""
+    items = raw(spark, folder).select("news_id", "source", F.unix_micros("process_time").alias("at"), F.col("event_id").alias("own"))
+    r = _revisions(spark, folder).select("event_id", F.unix_micros("available_at").alias("at"), F.explode(F.array_distinct("source_names")).alias("source"))
+    return news.candidates(items, r, news.HORIZON_S * 1_000_000)
 
 
 def wn1(spark, folder):

@@ -4,7 +4,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
-from tapeloom.operators import research
+from tapeloom.operators import news, research
 from tapeloom.plans import news_queries as q
 from tapeloom.plans import research_queries as rq
 
@@ -106,3 +106,35 @@ def test_hashed_orders(spark):
             assert start == at
             at += size
         assert at == 23
+
+
+def test_candidates_without_pairs(spark):
+    """The counts are those of all pairs; no operator's rows grow with items times events."""
+    import random
+
+    rng = random.Random(5)
+    mentions = [(rng.choice(["e1", "e2", "e3", None]), rng.choice("ab"), rng.randrange(60)) for _ in range(60)]
+    items = [(f"n{rng.randrange(90)}" if i else None, rng.choice(["a", "b", None]), rng.randrange(90) or None, rng.choice(["e1", "e2", None])) for i in range(120)]
+    frames = spark.createDataFrame(items, "news_id string, source string, at long, own string"), spark.createDataFrame(mentions, "event_id string, source string, at long")
+    want = {}
+    for news_id, source, when, own in items:
+        for event, by, then in mentions:
+            if source == by and when is not None and 0 <= when - then <= 7:
+                found, hit = want.setdefault(news_id, (set(), set()))
+                found |= {event} - {None}
+                hit.add(event is not None and own == event)
+    assert {tuple(r) for r in news.candidates(*frames, 7).collect()} == {(n, len(f), any(h)) for n, (f, h) in want.items()}
+
+    many = spark.range(2000).select(F.lit("s").alias("source"), F.col("id").alias("at"), F.col("id").cast("string").alias("event_id"))
+    asked = many.select(F.col("event_id").alias("news_id"), "source", "at", F.col("event_id").alias("own"))
+    out = news.candidates(asked, many, 10_000)
+    assert out.agg(F.sum("n_candidates"), F.min(F.col("own_among_them").cast("int"))).first() == (2000 * 2001 // 2, 1)
+    seen = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    out.collect()
+    plans, most = [out._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        p = plans.pop()
+        plans += list(seen(p.children())) + ([p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if p.nodeName().endswith("QueryStage") else [])
+        rows = p.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+    assert 2000 <= most < 20_000
