@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import accumulate, permutations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +163,141 @@ def permuted_means(rows: DataFrame, orders: list[list[int]] | DataFrame, conditi
     return labels.join(where, ["target", "place"]).groupBy("permutation").agg(F.avg("label").alias("statistic"))
 
 
+#: Rows that are packed together, about.
+PIECE = 1 << 16
+_PIECE = "pid int, position long, n int, labels binary, flags binary, total double, hits long"
+_MASK64 = (1 << 64) - 1
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+
+
+def _record(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    names, types = zip(*(c.split(" ") for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(names), types, strict=True)], names=names)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pid, position = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, PIECE):
+            label, hit = batch.column(0).slice(start, PIECE), batch.column(1).slice(start, PIECE)
+            known = label.is_valid().to_numpy(zero_copy_only=False)
+            hit = hit.fill_null(False).to_numpy(zero_copy_only=False)
+            x = np.where(known, label.fill_null(0.0).to_numpy(zero_copy_only=False), 0.0)
+            both = known & hit
+            yield _record(_PIECE, [(pid, position, len(x), x.tobytes(), (hit + 2 * known).astype("u1").tobytes(), float(x[both].sum()), int(both.sum()))])
+            position += len(x)
+
+
+def packed(df: DataFrame, order: Sequence[str], label: Column, condition: Column) -> DataFrame:
+    """Labels and whether the condition holds, in the order of all rows, as arrays of pieces of a partition: nine bytes a row are all that is kept."""
+    df = df.select(*order, label.cast("double").alias("label_"), condition.alias("hit_"))
+    ranged = df.repartitionByRange(default_parallelism(df.sparkSession), *order).sortWithinPartitions(*order)
+    return cut_lineage(ranged.select("label_", "hit_").mapInArrow(_pack, _PIECE))
+
+
+def _fmix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(_P2)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(_P3)
+    return h ^ (h >> np.uint64(32))
+
+
+def _rotl(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def _hash_int(value: int, seed: np.ndarray) -> np.ndarray:
+    h = (seed + np.uint64(_P5 + 4)) ^ np.uint64((value & 0xFFFFFFFF) * _P1 & _MASK64)
+    return _fmix(_rotl(h, 23) * np.uint64(_P2) + np.uint64(_P3))
+
+
+def turns(n_blocks: int, permutation: int, seed: int) -> np.ndarray:
+    """xxhash64(seed, permutation, block) of each block, as Spark has it and hashed_orders() sorts by."""
+    at = _hash_int(permutation, _hash_int(seed, np.array([42], "u8")))
+    h = (at + np.uint64(_P5 + 8)) ^ (_rotl(np.arange(n_blocks, dtype="u8") * np.uint64(_P2), 31) * np.uint64(_P1))
+    return _fmix(_rotl(h, 27) * np.uint64(_P1) + np.uint64(_P4)).view("i8")
+
+
+def packed_means(pieces: DataFrame, size: int, count: int, seed: int) -> DataFrame:
+    """(permutation, statistic) as of permuted_means() with the orders of hashed_orders(), from the pieces of packed().
+
+    A task makes some permutations' orders by itself and looks up, for every label, whether the condition holds where it goes; that is one bit a label and
+    permutation, and all that is sent to the labels. A task holds the condition's bits and one order of the blocks.
+    """
+    spark = pieces.sparkSession
+    before, n = {}, 0
+    for r in sorted(pieces.groupBy("pid").agg(F.sum("n").alias("n")).collect()):
+        before[r["pid"]] = n
+        n += r["n"]
+    n_blocks, tasks = -(-n // size), default_parallelism(spark)
+    groups = max(1, min(count, 2 * tasks))
+    span = size * max(1, 4 * PIECE // size)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pid, position, flags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                start = before[pid] + position
+                hit = np.concatenate([np.zeros(start % 8, "u1"), np.frombuffer(flags, "u1") & 1])
+                yield _record("start long, bits binary", [(start // 8, np.packbits(hit).tobytes())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pid, position, m, labels, flags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, end = before[pid] + position, before[pid] + position + m
+                first = at
+                while at < end:
+                    stop = min(end, (at // span + 1) * span)
+                    yield _record(_PART, [(at // span, -1, at % span, labels[8 * (at - first) : 8 * (stop - first)], flags[at - first : stop - first])])
+                    at = stop
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, mine = np.zeros(0, "u1"), set()
+        for batch in batches:
+            for group, start, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not mine:
+                    held = np.zeros(-(-n // 8), "u1")
+                mine.add(group)
+                part = np.frombuffer(part, "u1")
+                held[start : start + len(part)] |= part
+        for permutation in (p for group in sorted(mine) for p in range(group, count, groups)):
+            order = np.argsort(turns(n_blocks, permutation, seed), kind="stable")
+            sizes = np.full(n_blocks, size, "i8")
+            sizes[-1] = n - (n_blocks - 1) * size
+            shift = np.empty(n_blocks, "i8")
+            shift[order] = np.cumsum(sizes[order]) - sizes[order]
+            shift -= np.arange(n_blocks, dtype="i8") * size
+            for low in range(0, n, span):
+                high = min(n, low + span)
+                to = np.repeat(shift[low // size : -(-high // size)], size)[: high - low] + np.arange(low, high)
+                there = (held[to >> 3] >> (7 - (to & 7)).astype("u1")) & 1
+                yield _record(_PART, [(low // span, permutation, 0, np.packbits(there).tobytes(), None)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whose, x, known = None, np.zeros(span), np.zeros(span, bool)
+        for batch in batches:
+            out = []
+            for chunk, permutation, at, part, flags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk != whose:
+                    whose, known[:] = chunk, False
+                if permutation < 0:
+                    x[at : at + len(flags)] = np.frombuffer(part)
+                    known[at : at + len(flags)] = (np.frombuffer(flags, "u1") & 2) > 0
+                    continue
+                hit = np.unpackbits(np.frombuffer(part, "u1"), count=min(span, n - chunk * span)).astype(bool)
+                both = hit & known[: len(hit)]
+                out.append((permutation, float(x[: len(hit)][both].sum()), int(both.sum()), int(hit.sum())))
+            yield _record("permutation int, total double, known long, hits long", out)
+
+    masks = pieces.select("pid", "position", "flags").mapInArrow(bits, "start long, bits binary").select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "start", "bits")
+    found = masks.repartition(groups, "group").mapInArrow(look, _PART)
+    labels = pieces.select("pid", "position", "n", "labels", "flags").mapInArrow(cut, _PART)
+    sums = labels.unionByName(found).repartition(tasks, "chunk").sortWithinPartitions("chunk", "permutation").mapInArrow(add, "permutation int, total double, known long, hits long")
+    return sums.groupBy("permutation").agg(*[F.sum(c).alias(c) for c in ("total", "known", "hits")]).where("hits > 0").select("permutation", F.try_divide("total", "known").alias("statistic"))
+
+
+_PART = "chunk long, permutation int, at long, labels binary, flags binary"
+
+
 def p_value(observed: float, null: DataFrame, exact: bool = False, alternative: str = "GREATER") -> DataFrame:
     """Share of permutations at least as extreme (ties count); with one added to both unless all orders were tried.
 

@@ -9,13 +9,17 @@ from tapeloom.operators.sequences import event_index
 from tapeloom.tables import table
 
 
-def states(spark: SparkSession, folder: str) -> DataFrame:
+def market_states(spark: SparkSession, folder: str) -> DataFrame:
     """events as market states: one market a user, a purchase is a BUY, a click a SELL, an error an UNKNOWN, the rest quotes."""
     e = table(spark, folder, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     side = F.when(F.col("event_type") == "purchase", "BUY").when(F.col("event_type") == "click", "SELL").when(F.col("event_type") == "error", "UNKNOWN")
-    base = e.select("event_id", F.col("user_id").alias("instrument"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "event_type", side.alias("side"), F.col("value").alias("qty"), (F.lit(100) + k / 100.0).alias("mid"))
-    return event_index(base, "instrument", "at_us", "event_id")
+    return e.select("event_id", F.col("user_id").alias("instrument"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "event_type", side.alias("side"), F.col("value").alias("qty"), (F.lit(100) + k / 100.0).alias("mid"))
+
+
+def states(spark: SparkSession, folder: str) -> DataFrame:
+    """market_states() with each event's place in its market."""
+    return event_index(market_states(spark, folder), "instrument", "at_us", "event_id")
 
 
 STATES = """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import market as m
 from tapeloom.operators import asof, late_events, provider, research, shocks, structural_csv
 from tapeloom.operators import sequences as s
-from tapeloom.plans.frames import STATES, states
+from tapeloom.plans.frames import STATES, market_states, states
 from tapeloom.plans.problems import _MBO
 from tapeloom.plans.sequence_queries import SEGMENTED, _segmented
 from tapeloom.session import cut_lineage
@@ -364,9 +364,17 @@ def _blocks(spark, folder, size=None):
     return ranked.select("event_id", "side", F.floor(F.col("rank") / size).alias("block"), (F.col("rank") % size).alias("place"), "rank", "label"), n, size
 
 
+def _pieces(spark, folder):
+    """What _blocks() has, packed: the labels as in _labelled() from one window a market."""
+    w = s.ordered("instrument", "at_us", "event_id")
+    path = w.rowsBetween(0, LABEL)
+    st = market_states(spark, folder).select("event_id", "at_us", "instrument", "mid", (F.col("side") == "BUY").alias("buy"))
+    r = st.withColumns({"later": F.lead("mid", LABEL).over(w), "whole": F.count("mid").over(path) == LABEL + 1}).where("whole AND later IS NOT NULL")
+    return research.packed(r, ["at_us", "instrument", "event_id"], F.col("later") - F.col("mid"), F.col("buy"))
+
+
 def rs10(spark, folder):
-    rows, n, size = _blocks(spark, folder)
-    return research.permuted_means(rows, research.hashed_orders(spark, n, size, PERMUTATIONS, SEED), F.col("side") == "BUY")
+    return research.packed_means(_pieces(spark, folder), BLOCK, PERMUTATIONS, SEED)
 
 
 def _exact(spark, folder):

@@ -138,3 +138,21 @@ def test_candidates_without_pairs(spark):
         rows = p.metrics().get("numOutputRows")
         most = max(most, rows.get().value() if rows.isDefined() else 0)
     assert 2000 <= most < 20_000
+
+
+def test_packed_means(spark):
+    """Without a row a label and permutation, the statistics of permuted_means() over the same orders."""
+    n, size, count, seed = 2003, 5, 12, 3
+    rows = spark.range(n).select(F.col("id").alias("rank"), F.floor(F.col("id") / size).alias("block"), (F.col("id") % size).alias("place"), F.when(F.col("id") % 11 != 4, F.sin("id") * 10).alias("label"), F.when(F.col("id") % 13 != 5, F.col("id") % 3 == 1).alias("hit"))
+    want = research.permuted_means(rows, research.hashed_orders(spark, n, size, count, seed), F.col("hit"))
+    pieces = research.packed(rows.repartition(7), ["rank"], F.col("label"), F.col("hit"))
+    assert pieces.count() <= 8
+    got = {r.permutation: r.statistic for r in research.packed_means(pieces, size, count, seed).collect()}
+    assert len(got) == count and all(abs(got[r.permutation] - r.statistic) < 1e-9 for r in want.collect())
+    observed = rows.where("hit").agg(F.avg("label")).first()[0]
+    assert abs(pieces.agg(F.sum("total") / F.sum("hits")).first()[0] - observed) < 1e-12
+    turns = [r.t for r in spark.range(20).select(F.xxhash64(F.lit(seed), F.lit(4), "id").alias("t")).collect()]
+    assert research.turns(20, 4, seed).tolist() == turns
+    nothing = research.packed(rows.where("rank < 0"), ["rank"], F.col("label"), F.col("hit"))
+    assert research.packed_means(nothing, size, count, seed).count() == 0
+    assert research.packed_means(research.packed(rows.where("rank < 3"), ["rank"], F.col("label"), F.col("rank") > 5), size, count, seed).count() == 0
