@@ -401,9 +401,9 @@ def rs11_exact(spark, folder):
 
 
 def rs11_12(spark, folder):
-    rows, n, size = _blocks(spark, folder)
-    observed = rows.where("side = 'BUY'").agg(F.avg("label")).first()[0] or 0.0
-    return research.p_value(observed, research.permuted_means(rows, research.hashed_orders(spark, n, size, PERMUTATIONS, SEED), F.col("side") == "BUY"))
+    pieces = _pieces(spark, folder)
+    total, hits = pieces.agg(F.sum("total"), F.sum("hits")).first()
+    return research.p_value(total / hits if hits else 0.0, research.packed_means(pieces, BLOCK, PERMUTATIONS, SEED))
 
 
 def rs13_wn12(spark, folder):

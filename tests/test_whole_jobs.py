@@ -156,3 +156,16 @@ def test_packed_means(spark):
     nothing = research.packed(rows.where("rank < 0"), ["rank"], F.col("label"), F.col("hit"))
     assert research.packed_means(nothing, size, count, seed).count() == 0
     assert research.packed_means(research.packed(rows.where("rank < 3"), ["rank"], F.col("label"), F.col("rank") > 5), size, count, seed).count() == 0
+
+
+def test_p_value_without_rows_a_permutation(spark, monkeypatch):
+    """rs11_12 gives what p_value() gives of all rows, and writes out no row a label and permutation."""
+    states = spark.range(3000).select(F.col("id").alias("event_id"), F.col("id").alias("at_us"), (F.col("id") % 3).alias("instrument"), (100 + F.pmod(F.xxhash64("id"), F.lit(100)) / 100).alias("mid"), F.when(F.col("id") % 7 < 3, "BUY").alias("side"))
+    monkeypatch.setattr(rq, "states", lambda *_: rq.s.event_index(states, "instrument", "at_us", "event_id"))
+    monkeypatch.setattr(rq, "market_states", lambda *_: states, raising=False)
+    rows, n, size = rq._blocks(spark, "")
+    observed = rows.where("side = 'BUY'").agg(F.avg("label")).first()[0]
+    want = research.p_value(observed, research.permuted_means(rows, research.hashed_orders(spark, n, size, rq.PERMUTATIONS, rq.SEED), F.col("side") == "BUY")).first()
+    monkeypatch.setattr(research, "permuted_means", None)
+    got = rq.rs11_12(spark, "").first()
+    assert n == 2970 and all(abs(x - y) < 1e-9 for x, y in zip(got, want, strict=True))
