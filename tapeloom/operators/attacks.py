@@ -6,13 +6,19 @@ recovery of these. Look-ups by sequence are equi-joins: on the sequence itself,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+import math
+from bisect import bisect_left, bisect_right
+from collections import deque
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
 from tapeloom.operators import liquidity
+from tapeloom.operators.book import _MILLION, Book, fault, scaled
 
 GAP, LEAST, LEVELS, AFTER = 4, 2, 3, 25
 FLOW_EVENTS, SHOCKS, VOLATILITY_EVENTS = 50, 4, 20
@@ -123,15 +129,19 @@ def toxicity(found: DataFrame, states: DataFrame, recovered: DataFrame, flows: D
     before = found.join(_at(states, seq + 1, "0", "mid", "spread", "volatility").withColumnRenamed("look_", "start"), ["stream", "start"], "left")
     during = before.join(_at(states, seq, "1", "flow").withColumnRenamed("look_", "end"), ["stream", "end"], "left")
     later = during.join(_at(states, seq - AFTER, "2", "mid", "spread", "volatility").withColumnRenamed("look_", "end"), ["stream", "end"], "left")
-    a = later.withColumn("directional", m.directional(F.col("direction"), F.col("mid_2") - F.col("mid_0")))
-    own, recent = Window.partitionBy("stream", "side").orderBy("start"), Window.partitionBy("stream").orderBy("start", "side").rowsBetween(-(SHOCKS - 1), 0)
-    sign = F.when(F.col("direction") == "BUY", 1).otherwise(-1)
-    a = a.withColumns({"directional_before": F.lag("directional").over(own), "shocks": F.abs(F.sum(sign).over(recent)) / F.count("*").over(recent)})
     ratio = recovered.where(F.col("horizon") == AFTER).select("attack_id", "ratio")
     pressure = flows.where("attacked").select("attack_id", F.col("pressure").alias("withdrawal"))
-    j = a.join(ratio, "attack_id", "left").join(pressure, "attack_id", "left")
-    parts = j.withColumns({"flow": F.col("flow_1"), "impact": m.impact_component(F.col("directional_before"), F.col("directional")), "failure": m.bounded_failure(F.col("ratio")), "spread": m.bounded_excess(m.baseline_ratio(F.col("spread_0"), F.col("spread_2"))), "volatility": m.bounded_excess(m.baseline_ratio(F.col("volatility_0"), F.col("volatility_2")))})
-    return liquidity.toxicity(parts).select("attack_id", "stream", "side", "start", *[c for c, _ in liquidity.TOXICITY_WEIGHTS], "missing", "toxicity")
+    return scored(later.join(ratio, "attack_id", "left").join(pressure, "attack_id", "left")).select("attack_id", "stream", "side", "start", *[c for c, _ in liquidity.TOXICITY_WEIGHTS], "missing", "toxicity")
+
+
+def scored(a: DataFrame) -> DataFrame:
+    """The components, missing and toxicity of attacks with what was measured of each (mid_0, mid_2, ..., flow_1, ratio, withdrawal)."""
+    own, recent = Window.partitionBy("stream", "side").orderBy("start"), Window.partitionBy("stream").orderBy("start", "side").rowsBetween(-(SHOCKS - 1), 0)
+    sign = F.when(F.col("direction") == "BUY", 1).otherwise(-1)
+    a = a.withColumn("shocks", F.abs(F.sum(sign).over(recent)) / F.count("*").over(recent))  # by stream first: that serves both
+    a = a.withColumn("directional", m.directional(F.col("direction"), F.col("mid_2") - F.col("mid_0")))
+    a = a.withColumn("directional_before", F.lag("directional").over(own))
+    return liquidity.toxicity(a.withColumns({"flow": F.col("flow_1"), "impact": m.impact_component(F.col("directional_before"), F.col("directional")), "failure": m.bounded_failure(F.col("ratio")), "spread": m.bounded_excess(m.baseline_ratio(F.col("spread_0"), F.col("spread_2"))), "volatility": m.bounded_excess(m.baseline_ratio(F.col("volatility_0"), F.col("volatility_2")))}))
 
 
 def credibility(found: DataFrame, trans: DataFrame) -> DataFrame:
@@ -148,8 +158,222 @@ def credibility(found: DataFrame, trans: DataFrame) -> DataFrame:
 
 def comparisons(found: DataFrame, toxic: DataFrame, credible: DataFrame) -> DataFrame:
     """(attack_id, before_id, d_credibility, d_toxicity, reason) of each attack and the one before it on the same side; a difference is null, with the reason, where either is unknown."""
+    return compared(found.select("attack_id", "stream", "side", "start").join(toxic.select("attack_id", "toxicity"), "attack_id", "left").join(credible.select("attack_id", "credibility"), "attack_id", "left"))
+
+
+def compared(j: DataFrame) -> DataFrame:
+    """comparisons() of attacks that have their toxicity and credibility."""
     w = Window.partitionBy("stream", "side").orderBy("start")
-    j = found.select("attack_id", "stream", "side", "start").join(toxic.select("attack_id", "toxicity"), "attack_id", "left").join(credible.select("attack_id", "credibility"), "attack_id", "left")
     b = j.withColumns({f"{c}_before": F.lag(c).over(w) for c in ("attack_id", "toxicity", "credibility")}).where("attack_id_before IS NOT NULL")
     dc, dt = F.col("credibility") - F.col("credibility_before"), F.col("toxicity") - F.col("toxicity_before")
     return b.select("attack_id", F.col("attack_id_before").alias("before_id"), dc.alias("d_credibility"), dt.alias("d_toxicity"), F.concat_ws(",", F.when(dc.isNull(), "CREDIBILITY_UNKNOWN"), F.when(dt.isNull(), "TOXICITY_UNKNOWN")).alias("reason"))
+
+
+class _Run:
+    """An attack as it goes on, with what stood before it."""
+
+    __slots__ = ("end", "flow", "levels", "n", "start", "tape")
+
+    def __init__(self, start: int, levels: list[tuple[int, int]], tape: tuple) -> None:
+        self.start, self.end, self.n, self.levels, self.tape, self.flow = start, start, 0, levels, tape, None
+
+
+class _Stream:
+    """One stream's events in turn: its orders as transitions() has them, its book as snapshots() has it, and the attacks not yet measured.
+
+    The two differ only after an event that would cross the book, which snapshots() leaves out; from there to the next RESET a Book goes beside the orders.
+    What no open attack reaches back to is dropped.
+    """
+
+    def __init__(self, stream: int) -> None:
+        self.stream, self.last, self.mid, self.spread = stream, None, None, None
+        self.steps, self.signed, self.net, self.gross = deque(maxlen=VOLATILITY_EVENTS), deque([0] * FLOW_EVENTS), 0, 0
+        self.log: dict[str, tuple[list[int], list[tuple]]] = {}
+        self.runs: dict[str, deque[_Run]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.orders: dict[str, tuple] = {}
+        self.levels: dict[str, dict[int, list[int]]] = {"BID": {}, "ASK": {}}
+        self.best: dict[str, int | None] = {"BID": None, "ASK": None}
+        self.book: Book | None = None
+
+    def _fork(self) -> None:
+        self.book = Book()
+        for order, (_, side, price, qty) in self.orders.items():
+            self.book._put(order, None, (side, price, qty))
+
+    def _top(self, side: str) -> list[tuple[int, int]]:
+        levels = self.book.levels[side] if self.book else self.levels[side]
+        return [(p, levels[p][0]) for p in (heapq.nlargest if side == "BID" else heapq.nsmallest)(LEVELS, levels)]
+
+    def _volatility(self) -> float | None:
+        return math.sqrt(sum([x * x for x in self.steps]) / VOLATILITY_EVENTS) if len(self.steps) == VOLATILITY_EVENTS and None not in self.steps else None
+
+    def _move(self, side: str, price: int, qty: int, n: int) -> int:
+        levels = self.levels[side]
+        level = levels.get(price)
+        if level is None:
+            level = levels[price] = [0, 0]
+            best = self.best[side]
+            if best is None or (price > best if side == "BID" else price < best):
+                self.best[side] = price
+        level[0] += qty
+        level[1] += n
+        if level[1] <= 0:
+            del levels[price]
+            if self.best[side] == price:
+                self.best[side] = (max if side == "BID" else min)(levels, default=None)
+        return level[0]
+
+    def step(self, sequence: int, order: str, action: str, side: str, price: int | None, qty: int | None, out: list[tuple]) -> None:
+        signed, run = 0, None
+        if action == "RESET":
+            self.clear()
+        else:
+            qty = qty or 0
+            life, side_of, now, held = self.orders.get(order, (0, None, None, 0))
+            error = fault(held > 0, side_of, now, held, action, side, price, qty)
+            if error is None and self.book is None and price is not None and action in ("ADD", "MODIFY"):
+                other = self.best["ASK" if side == "BID" else "BID"]
+                if other is not None and (price > other if side == "BID" else price < other):
+                    self._fork()
+            if error is None and action == "EXECUTE":
+                runs = self.runs.setdefault(side, deque())
+                if runs and sequence - runs[-1].end <= GAP:
+                    run = runs[-1]
+                else:
+                    there = self.last == sequence - 1
+                    run = _Run(sequence, self._top(side) if there else [], (self.mid, self.spread, self._volatility()) if there else (None, None, None))
+                    runs.append(run)
+                run.end, run.n = sequence, run.n + 1
+                signed = qty if side == "ASK" else -qty
+            if self.book is not None:
+                self.book.apply(order, action, side, price, qty)
+            if error is None:
+                before, left, added, executed, withdrawn = now, held, 0, 0, 0
+                if action == "ADD":
+                    life, before, now, left, added = life + 1, None, price, qty, qty
+                elif action == "MODIFY":
+                    added, withdrawn, now, left = max(qty - held, 0), max(held - qty, 0), price, qty
+                elif action == "EXECUTE":
+                    executed, left = qty, held - qty
+                else:
+                    withdrawn = held if action == "DELETE" else qty
+                    left = held - withdrawn
+                self.orders[order] = (life, side, now, left)
+                here = there = None
+                if now is not None and now == before:
+                    here = there = self._move(side, now, left - held, (left > 0) - (held > 0))
+                else:
+                    if before is not None:
+                        here = self._move(side, before, -held, -(held > 0))
+                    if now is not None:
+                        there = self._move(side, now, left, int(left > 0))
+                seen, rows = self.log.setdefault(side, ([], []))
+                seen.append(sequence)
+                rows.append((order, life, action, before, now, held, left, added, executed, withdrawn, here, there))
+                if len(seen) > 4096:
+                    self._trim(side)
+        if self.book is None:
+            bid, ask = self.best["BID"], self.best["ASK"]
+        else:
+            bid, ask = max(self.book.levels["BID"], default=None), min(self.book.levels["ASK"], default=None)
+        mid = spread = None
+        if bid is not None and ask is not None:
+            mid, spread = (bid / _MILLION + ask / _MILLION) / 2, ask / _MILLION - bid / _MILLION
+        self.steps.append(mid / self.mid - 1 if mid is not None and self.mid is not None else None)
+        gone = self.signed.popleft()
+        self.signed.append(signed)
+        self.net, self.gross = self.net + signed - gone, self.gross + abs(signed) - abs(gone)
+        self.last, self.mid, self.spread = sequence, mid, spread
+        if run is not None:
+            run.flow = abs(self.net) / self.gross if self.gross else 0.0
+        for which, runs in self.runs.items():
+            while runs and runs[0].end + AFTER <= sequence:
+                self._measure(which, runs.popleft(), out)
+
+    def _trim(self, side: str) -> None:
+        seen, rows = self.log[side]
+        runs = self.runs.get(side)
+        cut = bisect_left(seen, runs[0].start) if runs else len(seen)
+        if 2 * cut >= len(seen):
+            del seen[:cut], rows[:cut]
+
+    def _measure(self, side: str, run: _Run, out: list[tuple]) -> None:
+        if run.n < LEAST or run.start <= 0:
+            return
+        later = (self.mid, self.spread, self._volatility()) if self.last == run.end + AFTER else (None, None, None)
+        seen, rows = self.log[side]
+        base = dict(run.levels)
+        low, then, added, withdrawn, touched = dict(base), dict(base), 0, 0, {}
+        for i in range(bisect_left(seen, run.start), bisect_right(seen, run.end + AFTER)):
+            order, life, action, before, now, held, left, more, executed, less, here, there = rows[i]
+            t = touched.get((order, life))
+            if t is None:
+                touched[order, life] = [held, executed, less, left]
+            else:
+                t[1] += executed
+                t[2] += less
+                t[3] = left
+            for price, depth in ((before, here), (now, there)):
+                if price in base and depth is not None:
+                    then[price] = depth
+                    if seen[i] <= run.end and depth < low[price]:
+                        low[price] = depth
+            if action == "ADD":
+                added += left if now in base else 0
+            elif action == "MODIFY" and before is not None and now is not None and before != now:
+                added += left if now in base else 0
+                withdrawn += held if before in base else 0
+            elif before in base:
+                added += more
+                withdrawn += less
+        ratio = pressure = credible = None
+        if base:
+            lost = sum(base.values()) - sum(low.values())
+            ratio = (sum(then.values()) - sum(low.values())) / lost if lost else None
+            pressure = withdrawn / _MILLION / (added / _MILLION + withdrawn / _MILLION + m.EPSILON)
+        stood = [t for t in touched.values() if t[0] > 0]
+        if stood:
+            credible = sum([q * (0.5 * min(x / q, 1.0) + 0.25 * min(z / q, 1.0) + 0.25 * (1 - min(w / q, 1.0))) for q, x, w, z in stood]) / sum([t[0] for t in stood])
+        out.append((self.stream, side, run.start, run.end, *run.tape, run.flow, *later, ratio, pressure, credible))
+
+    def close(self, out: list[tuple]) -> None:
+        for side, runs in self.runs.items():
+            for run in runs:
+                self._measure(side, run, out)
+
+
+_MEASURED = "stream long, side string, start long, end long, mid_0 double, spread_0 double, volatility_0 double, flow_1 double, mid_2 double, spread_2 double, volatility_2 double, ratio double, withdrawal double, credibility double"
+_MEASURED_TYPES = pa.schema([(c.split(" ")[0], {"long": pa.int64(), "string": pa.utf8(), "double": pa.float64()}[c.split(" ")[1]]) for c in _MEASURED.split(", ")])
+
+
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now = None
+    for batch in batches:
+        out: list[tuple] = []
+        for stream, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now is None or stream != now.stream:
+                if now is not None:
+                    now.close(out)
+                now = _Stream(stream)
+            now.step(*event, out)
+        yield _measured_batch(out)
+    if now is not None:
+        out = []
+        now.close(out)
+        yield _measured_batch(out)
+
+
+def _measured_batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * len(_MEASURED_TYPES), _MEASURED_TYPES, strict=True)], schema=_MEASURED_TYPES)
+
+
+def measured(events: DataFrame) -> DataFrame:
+    """(attack_id, stream, side, direction, start, end, what scored() reads, credibility) in one pass over each stream's sorted events.
+
+    The same as attacks() with tape(), level_recoveries(), region_flow() and credibility() joined to it, but only attacks leave the pass; no event is written out.
+    """
+    got = scaled(events).repartition("stream").sortWithinPartitions("stream", "sequence").mapInArrow(_replay, _MEASURED)
+    return got.withColumns({"attack_id": F.concat_ws(":", "stream", "side", "start"), "direction": F.when(F.col("side") == "ASK", "BUY").otherwise("SELL")})

@@ -170,8 +170,7 @@ def sr16(spark, folder):
 
 
 def sr17(spark, folder):
-    trans, found, toxic = _toxic(spark, folder)
-    c = at.comparisons(found, toxic, at.credibility(found, trans))
+    c = at.compared(at.scored(at.measured(book_events(spark, folder))))
     return c.select("attack_id", "before_id", F.round("d_credibility", 6).alias("d_credibility"), F.round("d_toxicity", 6).alias("d_toxicity"), "reason")
 
 

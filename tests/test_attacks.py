@@ -35,3 +35,50 @@ def test_nothing(spark):
     trans, shots = book.transitions(df), book.snapshots(df, 3)
     levels = at.met_levels(at.attacks(trans), shots)
     assert at.region_flow(levels, trans).count() == 0 == at.support(at.level_recoveries(levels, book.depth_changes(trans))).count()
+
+
+def test_one_pass(spark):
+    """One pass over each stream gives what the joined frames give, with events that don't fit, would cross or reset the book."""
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for stream in range(4):
+        live = {}
+        for i in range(700):
+            order, what = f"o{rng.randrange(60)}", rng.random()
+            side, price, qty = live.get(order, (rng.choice(["BID", "ASK"]), None, 0))
+            if what < 0.004:
+                rows.append((stream, i, None, "RESET", None, None, None, i))
+                live = {}
+            elif qty <= 0 or what < 0.05:
+                price = round(100 + (-1 if side == "BID" else 1) * rng.randrange(0 if stream < 2 else -1, 6) / 100, 2)
+                rows.append((stream, i, order, "ADD", side, price, q := float(rng.randrange(1, 9)), i))
+                live.setdefault(order, (side, price, q)) if qty > 0 else live.update({order: (side, price, q)})
+            elif what < 0.3:
+                moved = round(price + rng.choice([0, 0, 0.01, -0.01]) * (stream > 1), 2)
+                rows.append((stream, i, order, "MODIFY", side, moved, q := float(rng.randrange(1, 9)), i))
+                live[order] = (side, moved, q)
+            else:
+                action = "EXECUTE" if what < 0.75 else rng.choice(["CANCEL", "DELETE"])
+                q = float(rng.randrange(1, 9)) if what < 0.4 else max(1.0, qty / 2)
+                rows.append((stream, i, order, action, side, price, q, i))
+                if q <= qty or action == "DELETE":
+                    live[order] = (side, price, 0 if action == "DELETE" else qty - q)
+        if stream == 3:
+            rows = [r for r in rows if r[0] < 3 or r[1] % 41]  # places without an event
+    df = spark.createDataFrame(rows, EVENTS).cache()
+    trans, shots = book.transitions(df).cache(), book.snapshots(df, at.LEVELS).cache()
+    assert shots.where("error = 'CROSSED'").count() > 5 and trans.where("error IS NOT NULL").count() > 5
+    found = at.attacks(trans).cache()
+    levels = at.met_levels(found, shots)
+    toxic = at.toxicity(found, at.tape(shots, trans), at.support(at.level_recoveries(levels, book.depth_changes(trans))), at.region_flow(levels, trans))
+    parts = ["flow", "shocks", "impact", "failure", "withdrawal", "spread", "volatility", "toxicity", "credibility"]
+    want = {r.attack_id: r for r in toxic.join(at.credibility(found, trans), "attack_id", "left").collect()}
+    got = {r.attack_id: r for r in at.scored(at.measured(df)).collect()}
+    assert want.keys() == got.keys() and len(want) > 60
+    for k, w in want.items():
+        g = got[k]
+        assert g.missing == w.missing and all((g[c] is None) == (w[c] is None) and (w[c] is None or abs(g[c] - w[c]) < 1e-9) for c in parts), (k, g, w)
+    assert at.compared(at.scored(at.measured(df))).count() == at.comparisons(found, toxic, at.credibility(found, trans)).count() > 50
+    assert at.measured(df.where("stream < 0")).count() == 0
